@@ -49,8 +49,8 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 def label_key() -> Column:
     """Order of a box inside its image; unique per image, not dense."""
     return (
-        F.col("l_linenumber").cast("bigint") * 100000000000000000
-        + F.col("l_partkey") * 100000000
+        F.col("l_linenumber").cast("bigint") * 1000000000000000
+        + F.col("l_partkey") * 10000000
         + F.col("l_suppkey")
     )
 
@@ -227,7 +227,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_KEY = "(CAST(l_linenumber AS BIGINT) * 100000000000000000 + l_partkey * 100000000 + l_suppkey)"
+_KEY = "(CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey * 10000000 + l_suppkey)"
 _CLASS = (
     "((CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 4 END)"
     " + (CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END))"
@@ -345,7 +345,7 @@ def sql(body: str, *views: str) -> str:
     for v in views:
         add(v)
     head = ",\n".join(f"{n} AS ({VIEWS[n][0]})" for n in need)
-    body = body.strip()
+    recursive = "RECURSIVE " if body.startswith("/*recursive*/") else ""
+    body = body.removeprefix("/*recursive*/").strip()
     glue = "" if body.startswith(",") else "\n"
-    recursive = "RECURSIVE " if "/*recursive*/" in body else ""
     return f"WITH {recursive}{head}{glue}{body}"

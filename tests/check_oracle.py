@@ -65,8 +65,9 @@ def compare(spark, con, sf: str, name: str) -> tuple[bool, str]:
     if a == b:
         note = "" if len(a) else " EMPTY"
         return True, f"rows={len(a)}{note} {took:.1f}s sql {sql_took:.1f}s"
-    only_a = [r for r in a if r not in set(b)][:3]
-    only_b = [r for r in b if r not in set(a)][:3]
+    sa, sb = set(a), set(b)
+    only_a = [r for r in a if r not in sb][:3]
+    only_b = [r for r in b if r not in sa][:3]
     return False, f"rows {len(a)} vs {len(b)}\n   spark {only_a}\n   sql   {only_b}"
 
 
