@@ -35,7 +35,7 @@ def _combination_size(distinct: int, distance: int, bits: int) -> int:
         if math.comb(distance + k, k) > 256:
             break
         best = k
-        if distinct / 2 ** (bits * k / (distance + k)) <= 8:
+        if distinct / 2 ** (bits * k / (distance + k)) <= 64:
             break
     return best
 

@@ -31,7 +31,7 @@ def canon(pdf: pd.DataFrame) -> list[tuple]:
     cols = sorted(pdf.columns)
 
     def cell(v):
-        if v is None or v is pd.NaT:
+        if v is None or v is pd.NaT or v is pd.NA:
             return "NULL"
         if isinstance(v, float):
             if v != v:
