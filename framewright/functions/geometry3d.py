@@ -121,22 +121,37 @@ def project_boxes(
         u, v = pinhole(*p, k)
         return F.when(p[2] > 0, F.struct(u.alias("u"), v.alias("v")))
 
-    out = boxes.withColumn("_c", corners)
-    out = out.withColumn("_p", F.filter(F.transform("_c", seen), lambda p: p.isNotNull()))
-    us = F.transform("_p", lambda p: p["u"])
-    vs = F.transform("_p", lambda p: p["v"])
+    pts = F.filter(F.transform(corners, seen), lambda p: p.isNotNull())
+    inf = float("inf")
+    start = F.struct(
+        F.lit(inf).alias("x1"), F.lit(inf).alias("y1"), F.lit(-inf).alias("x2"), F.lit(-inf).alias("y2")
+    )
+    bounds = F.aggregate(
+        pts,
+        start,
+        lambda s, p: F.struct(
+            F.least(s["x1"], p["u"]).alias("x1"), F.least(s["y1"], p["v"]).alias("y1"),
+            F.greatest(s["x2"], p["u"]).alias("x2"), F.greatest(s["y2"], p["v"]).alias("y2"),
+        ),
+    )
 
     def hold(value: Column, top: int) -> Column:
         return F.least(F.lit(float(top)), F.greatest(F.lit(0.0), value))
 
-    raw = {
-        "x1": hold(F.array_min(us), width), "y1": hold(F.array_min(vs), height),
-        "x2": hold(F.array_max(us), width), "y2": hold(F.array_max(vs), height),
-    }
-    out = out.withColumns({f"_{c}": F.when(F.size("_p") > 0, e) for c, e in raw.items()})
-    ok = (F.col("_x2") > F.col("_x1")) & (F.col("_y2") > F.col("_y1"))
-    out = out.withColumns({c: F.when(ok, F.col(f"_{c}")) for c in raw})
-    return out.drop("_c", "_p", *[f"_{c}" for c in raw])
+    def clip(s: Column) -> Column:
+        return F.struct(
+            hold(s["x1"], width).alias("x1"), hold(s["y1"], height).alias("y1"),
+            hold(s["x2"], width).alias("x2"), hold(s["y2"], height).alias("y2"),
+        )
+
+    def solid(s: Column) -> Column:
+        ok = (s["x2"] > s["x1"]) & (s["y2"] > s["y1"])
+        return F.struct(*[F.when(ok, s[c]).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+    # Lambda variables and the generator make each step run once per row, however often later
+    # filters and joins refer to the corners.
+    box = F.transform(F.transform(F.array(bounds), clip), solid)
+    return boxes.select("*", F.inline(box))
 
 
 def yaw_quaternion(yaw: Column) -> Column:

@@ -317,7 +317,7 @@ def frustum_points(spark, sf):
         _FRUSTUM + """ SELECT frame_id, box_id, class_name, count(*) AS point_count,
         round(median(x), 6) AS x, round(median(y) + 1e-9, 6) AS y, round(median(z), 6) AS z,
         round(greatest(0.5, (max(x) - min(x)) * 1.1), 6) AS l,
-        round(greatest(0.5, (max(y) - min(y)) * 1.1), 6) AS w,
+        round(greatest(0.5, (max(y) - min(y)) * 1.1) + 1e-9, 6) AS w,
         round(greatest(0.5, (max(z) - min(z)) * 1.1), 6) AS h,
         round(0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)), 4) AS yaw
         FROM inside GROUP BY 1, 2, 3 HAVING count(*) >= 3""".replace("median(x)", "median(inside.x)")
@@ -327,7 +327,8 @@ def frustum_points(spark, sf):
 )
 def lift_box(spark, sf):
     out = fusion.lift_boxes(_inside(spark, sf), _regions(spark, sf)).drop("confidence")
-    out = out.withColumn("y", F.col("y") + 1e-9)  # keeps rounding ties on one side
+    # The offset keeps exact rounding ties on the same side in both engines.
+    out = out.withColumns({c: F.col(c) + 1e-9 for c in ("y", "w")})
     return out.withColumns(
         {**{c: F.round(c, 6) for c in ("x", "y", "z", "l", "w", "h")}, "yaw": F.round("yaw", 4)}
     )
