@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,21 +123,33 @@ def point_distance(points: Column, width: Column, height: Column) -> Column:
     return F.when(F.size(points) >= 2, F.sqrt(dx * dx + dy * dy))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, also inside other lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def run_lengths(pixels: Column) -> Column:
     """Run lengths of a 0/1 array in storage order; the first run counts zeros (maybe none)."""
-    n = F.size(pixels)
-    starts = F.filter(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (i > 0) & (F.get(pixels, i) != F.get(pixels, i - 1)),
-    )
-    head = F.when(F.get(pixels, F.lit(0)) == 1, F.array(F.lit(0), F.lit(0))).otherwise(
-        F.array(F.lit(0))
-    )
-    edges = F.concat(head, starts, F.array(n))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(edges) - 1), lambda i: F.get(edges, i) - F.get(edges, i - 1)
-    )
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(runs)
+
+    def encode(px: Column) -> Column:
+        n = F.size(px)
+        starts = F.filter(
+            F.sequence(F.lit(0), n - 1), lambda i: (i > 0) & (F.get(px, i) != F.get(px, i - 1))
+        )
+        head = F.when(F.get(px, F.lit(0)) == 1, F.array(F.lit(0), F.lit(0))).otherwise(
+            F.array(F.lit(0))
+        )
+
+        def lengths(edges: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(1), F.size(edges) - 1),
+                lambda i: F.get(edges, i) - F.get(edges, i - 1),
+            )
+
+        runs = let(F.concat(head, starts, F.array(n)), lengths)
+        return F.when(n == 0, F.array().cast("array<int>")).otherwise(runs)
+
+    return let(pixels, encode)
 
 
 def run_area(runs: Column) -> Column:
