@@ -106,8 +106,8 @@ def numbered_lines(spark: SparkSession, root: str, glob: str) -> DataFrame:
     """``path, line_no, line`` of small text files: each file is one record that is cut on the
     JVM, so line numbers are exact. For large files use ``split_lines``."""
     raw = (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob).text(root)
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+        .text(root, wholetext=True)
         .select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value"))
     )
     return raw.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
