@@ -113,45 +113,54 @@ def project_boxes(
 ) -> DataFrame:
     """Add the clipped image box ``x1, y1, x2, y2`` of the corners in front of the camera, null
     when nothing of it is visible. Works inside the row: no explode, no grouping."""
-    cols = (F.col(c) for c in ("x", "y", "z", "l", "w", "h", "yaw"))
-    corners = box_corners(*cols)
-
-    def seen(c: Column) -> Column:
-        p = transform(c["x"], c["y"], c["z"], t) if t is not None else (c["x"], c["y"], c["z"])
-        u, v = pinhole(*p, k)
-        return F.when(p[2] > 0, F.struct(u.alias("u"), v.alias("v")))
-
-    pts = F.filter(F.transform(corners, seen), lambda p: p.isNotNull())
-    inf = float("inf")
-    start = F.struct(
-        F.lit(inf).alias("x1"), F.lit(inf).alias("y1"), F.lit(-inf).alias("x2"), F.lit(-inf).alias("y2")
-    )
-    bounds = F.aggregate(
-        pts,
-        start,
-        lambda s, p: F.struct(
-            F.least(s["x1"], p["u"]).alias("x1"), F.least(s["y1"], p["v"]).alias("y1"),
-            F.greatest(s["x2"], p["u"]).alias("x2"), F.greatest(s["y2"], p["v"]).alias("y2"),
-        ),
+    # A corner is the center plus or minus three half axes, also after a rigid transform: these
+    # twelve numbers per box leave only sums per corner.
+    cos, sin, zero = F.cos("yaw"), F.sin("yaw"), F.lit(0.0)
+    l, w, h = (F.col(c) / 2 for c in "lwh")
+    vectors = {
+        "c": (F.col("x"), F.col("y"), F.col("z")), "l": (l * cos, l * sin, zero),
+        "w": (-w * sin, w * cos, zero), "h": (zero, zero, h),
+    }
+    if t is not None:
+        origin = transform(zero, zero, zero, t)
+        for name, v in vectors.items():
+            moved = transform(*v, t)
+            vectors[name] = moved if name == "c" else tuple(m - o for m, o in zip(moved, origin))
+    out = boxes.withColumns({f"_{n}{a}": e for n, v in vectors.items() for a, e in zip("xyz", v)})
+    names = range(len(CORNER_SIGNS))
+
+    def along(axis: str, signs: tuple[int, int, int]) -> Column:
+        total = F.col(f"_c{axis}")
+        for n, sign in zip("lwh", signs):
+            total = total + F.col(f"_{n}{axis}") if sign > 0 else total - F.col(f"_{n}{axis}")
+        return total
+
+    out = out.withColumns(
+        {f"_{a}{i}": along(a, CORNER_SIGNS[i]) for i in names for a in "xyz"}
     )
+    spots = {}
+    for i in names:
+        u, v = pinhole(F.col(f"_x{i}"), F.col(f"_y{i}"), F.col(f"_z{i}"), k)
+        front = F.col(f"_z{i}") > 0
+        spots[f"_u{i}"], spots[f"_v{i}"] = F.when(front, u), F.when(front, v)
+    out = out.withColumns(spots)
+    us, vs = [F.col(f"_u{i}") for i in names], [F.col(f"_v{i}") for i in names]
 
     def hold(value: Column, top: int) -> Column:
-        return F.least(F.lit(float(top)), F.greatest(F.lit(0.0), value))
-
-    def clip(s: Column) -> Column:
-        return F.struct(
-            hold(s["x1"], width).alias("x1"), hold(s["y1"], height).alias("y1"),
-            hold(s["x2"], width).alias("x2"), hold(s["y2"], height).alias("y2"),
-        )
-
-    def solid(s: Column) -> Column:
-        ok = (s["x2"] > s["x1"]) & (s["y2"] > s["y1"])
-        return F.struct(*[F.when(ok, s[c]).alias(c) for c in ("x1", "y1", "x2", "y2")])
-
-    # Lambda variables and the generator make each step run once per row, however often later
-    # filters and joins refer to the corners.
-    box = F.transform(F.transform(F.array(bounds), clip), solid)
-    return boxes.select("*", F.inline(box))
+        # Null when no corner is in front: least and greatest skip the hidden ones only.
+        held = F.least(F.lit(float(top)), F.greatest(F.lit(0.0), value))
+        return F.when(value.isNotNull(), held)
+
+    out = out.withColumns(
+        {
+            "_x1": hold(F.least(*us), width), "_y1": hold(F.least(*vs), height),
+            "_x2": hold(F.greatest(*us), width), "_y2": hold(F.greatest(*vs), height),
+        }
+    )
+    ok = (F.col("_x2") > F.col("_x1")) & (F.col("_y2") > F.col("_y1"))
+    box = F.struct(*[F.when(ok, F.col(f"_{c}")).alias(c) for c in ("x1", "y1", "x2", "y2")])
+    # The generator keeps later filters on the corners from being pushed down and computed again.
+    return out.select(*boxes.columns, F.inline(F.array(box)))
 
 
 def yaw_quaternion(yaw: Column) -> Column:

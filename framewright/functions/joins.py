@@ -52,6 +52,7 @@ def iou_join(
     reach_log = -math.log(t) + 1e-9
     cell_log = min(4 * reach_log, math.log(4.0))
     solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    every = left.select(*keys).unionByName(right.select(*keys))  # counted before the geometry
     left, right = left.where(solid), right.where(solid)
     split = threshold >= 1e-3  # below that, size says nothing and groups stay whole
     sides = (("w", "x1", "x2", "kx", "ix"), ("h", "y1", "y2", "ky", "iy"))
@@ -62,7 +63,7 @@ def iou_join(
     lrow = left.select(*keys, *[F.col(c).alias(f"l_{c}") for c in lcols])
     rrow = right.select(*keys, *[F.col(c).alias(f"r_{c}") for c in rcols])
     if split:
-        hot = hot_keys(left.select(*keys).unionByName(right.select(*keys)), keys, hot_rows)
+        hot = hot_keys(every, keys, hot_rows)
         lrow, rrow = flag_hot(lrow, hot, keys), flag_hot(rrow, hot, keys)
         for _, a, b, k, i in sides:
             size = F.col(f"l_{b}") - F.col(f"l_{a}")

@@ -112,32 +112,24 @@ def unpack_rgb(points: DataFrame, packed: str = "rgb") -> DataFrame:
 # ---- octree ---------------------------------------------------------------------------------
 
 
-def _axis_code(value: Column, low: Column, high: Column, depth: int) -> Column:
-    """Bits of the halves a coordinate falls in, level by level (upper half at >= middle)."""
-    start = F.struct(low.alias("lo"), high.alias("hi"), F.lit(0).cast("bigint").alias("code"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        up = value >= mid
-        return F.struct(
-            F.when(up, mid).otherwise(s["lo"]).alias("lo"),
-            F.when(up, s["hi"]).otherwise(mid).alias("hi"),
-            (s["code"] * 2 + up.cast("bigint")).alias("code"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, halve, lambda s: s["code"])
-
-
 def octree_codes(points: DataFrame, depth: int) -> DataFrame:
     """Points with the cell ``cx, cy, cz`` at the deepest level."""
     bounds = cloud_stats(points.select("cloud_id", *XYZ)).select(
         "cloud_id", *[f"{n}_{c}" for c in XYZ for n in ("min", "max")]
     )
-    coded = points.join(bounds, "cloud_id")
-    for c in XYZ:
-        code = _axis_code(F.col(c), F.col(f"min_{c}"), F.col(f"max_{c}"), depth)
-        coded = coded.withColumn(f"c{c}", code)
-    return coded.drop(*[f"{n}_{c}" for c in XYZ for n in ("min", "max")])
+    coded = points.join(bounds, "cloud_id").withColumns(
+        {f"c{c}": F.lit(0).cast("bigint") for c in XYZ}
+    )
+    for _ in range(depth):  # the upper half begins at the middle
+        coded = coded.withColumns({f"_mid_{c}": (F.col(f"min_{c}") + F.col(f"max_{c}")) / 2 for c in XYZ})
+        halves = {}
+        for c in XYZ:
+            mid, up = F.col(f"_mid_{c}"), F.col(c) >= F.col(f"_mid_{c}")
+            halves[f"min_{c}"] = F.when(up, mid).otherwise(F.col(f"min_{c}"))
+            halves[f"max_{c}"] = F.when(up, F.col(f"max_{c}")).otherwise(mid)
+            halves[f"c{c}"] = F.col(f"c{c}") * 2 + up.cast("bigint")
+        coded = coded.withColumns(halves)
+    return coded.drop(*[f"{n}_{c}" for c in XYZ for n in ("min", "max", "_mid")])
 
 
 def _shift(col: str, depth: int, level: Column) -> Column:

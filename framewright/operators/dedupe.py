@@ -29,15 +29,14 @@ def _band_masks(bits: int, bands: int) -> list[int]:
 
 
 def _combination_size(distinct: int, distance: int, bits: int) -> int:
-    """How many bands to require at once: enough that a bucket holds a handful of hashes."""
-    best = 1
-    for k in range(1, bits - distance + 1):
-        if math.comb(distance + k, k) > 256:
-            break
-        best = k
-        if distinct / 2 ** (bits * k / (distance + k)) <= 64:
-            break
-    return best
+    """How many bands to require at once: least work for rows shuffled and bucket partners checked
+    (a shuffled row costs about fifty checks)."""
+
+    def work(k: int) -> float:
+        return math.comb(distance + k, k) * (50 + distinct / 2 ** (bits * k / (distance + k)))
+
+    sizes = [k for k in range(1, bits - distance + 1) if k == 1 or math.comb(distance + k, k) <= 256]
+    return min(sizes, key=work)
 
 
 def distinct_hashes(hashes: DataFrame) -> DataFrame:

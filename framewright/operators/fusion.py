@@ -20,7 +20,7 @@ def candidates(
     both with pixel corners ``x1..y2``. The class test ignores case."""
     keys = ["frame_id"]
     cols = ["x1", "y1", "x2", "y2"]
-    a, b = boxes2d, boxes3d.where(F.col("x1").isNotNull())
+    a, b = boxes2d, boxes3d  # boxes that are not visible have null corners and match nothing
     if same_class:
         keys.append("_cls")
         a, b = (d.withColumn("_cls", F.lower("class_name")) for d in (a, b))

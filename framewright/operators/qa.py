@@ -41,8 +41,9 @@ def _issues(df: DataFrame, kind: str, severity: str, **cols: Column | str) -> Da
         c: (F.col(cols[c]) if isinstance(cols.get(c), str) else cols.get(c, F.lit(None))).cast(t)
         for c, t in types.items()
     }
+    named = F.col(cols["kind_col"]) if "kind_col" in cols else F.lit(kind)
     return df.select(
-        F.lit(kind).alias("issue_type"),
+        named.alias("issue_type"),
         F.lit(severity).alias("severity"),
         *[e.alias(c) for c, e in picked.items()],
     )
@@ -89,6 +90,26 @@ def duplicate_labels(ds: Dataset) -> DataFrame:
     )
 
 
+def pair_checks(ds: Dataset, threshold: float = IOU) -> DataFrame:
+    """Overlapping boxes and duplicate labels from one pair join."""
+    pairs = _pairs(ds.labels, min(threshold, DUPLICATE_IOU), same_class=False)
+    twin = (F.col("iou") > DUPLICATE_IOU) & (F.col("l.class_id") == F.col("r.class_id"))
+    kinds = F.filter(
+        F.array(
+            F.when(F.col("iou") > threshold, "overlapping_boxes"), F.when(twin, "duplicate_label")
+        ),
+        lambda k: k.isNotNull(),
+    )
+    found = pairs.select(
+        "sample_id", F.col("l.label_index").alias("i"), F.col("r.label_index").alias("j"),
+        F.col("l.class_name").alias("class_name"), "iou", F.explode(kinds).alias("kind"),
+    )
+    return _issues(
+        found, "", "warning", sample_id="sample_id", label_index="i", other_index="j",
+        class_name="class_name", measure="iou", kind_col="kind",
+    )
+
+
 def out_of_bounds(labels: DataFrame) -> DataFrame:
     inside = (F.col("x1") >= 0) & (F.col("y1") >= 0) & (F.col("x2") <= 1) & (F.col("y2") <= 1)
     return _issues(
@@ -193,6 +214,9 @@ def run(
     if {"out_of_bounds", "box_sizes"} <= set(wanted):  # both share one scan
         wanted = [c for c in wanted if c not in ("out_of_bounds", "box_sizes")]
         parts.append(row_checks(ds.labels, tiny, huge))
+    if {"overlapping_boxes", "duplicate_labels"} <= set(wanted):  # both share one pair join
+        wanted = [c for c in wanted if c not in ("overlapping_boxes", "duplicate_labels")]
+        parts.append(pair_checks(ds, iou_threshold))
     for name in wanted:
         if name not in table:
             log.warning("skipping unknown check %s", name)

@@ -20,6 +20,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores.
+
+    A small table may be a single row group, which one task would have to work through. A table
+    with enough splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a zone-less timestamp, whatever the session's zone."""
     d = ts.cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
@@ -63,7 +75,7 @@ def class_id() -> Column:
 
 
 def annotations(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.col("l_orderkey").alias("sample_id"),
         label_key().alias("label_index"),
         F.concat("l_returnflag", "l_linestatus").alias("class_name"),
@@ -100,7 +112,7 @@ def on_disk(spark: SparkSession, sf: str) -> DataFrame:
 
 def raw_points(spark: SparkSession, sf: str) -> DataFrame:
     """Point clouds of the suppliers, with the order key in place of a dense index."""
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.col("l_suppkey").alias("cloud_id"),
         F.col("l_orderkey").alias("scan_id"),
         label_key().alias("seq"),
@@ -136,7 +148,7 @@ def boxes3d(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes whose projection lies near the 2D box of the same line item."""
     z = F.lit(5) + F.col("l_quantity") / 2
     cx, cy = F.col("l_quantity") / 50, (F.col("l_extendedprice") % 1000) / 1000
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.col("l_orderkey").alias("frame_id"),
         label_key().alias("det_id"),
         class_id().alias("class_id"),
