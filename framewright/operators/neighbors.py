@@ -52,7 +52,7 @@ def _run(tiles: DataFrame, kernel: Callable, schema: str) -> DataFrame:
     """Apply ``kernel(query_idx, query_xyz, cand_idx, cand_xyz) -> dict of columns`` per tile."""
     cols = [f.strip().split()[0] for f in schema.split(", ")]
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         q, c = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
         if q.empty or c.empty:
             return pd.DataFrame(columns=cols)
