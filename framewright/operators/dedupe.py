@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.session import materialize
+from framewright.session import materialize, spread_by
 
 
 def max_distance(threshold: float, bits: int = 64) -> int:
@@ -174,7 +174,8 @@ def cosine_pairs(
         )
         return _spanning(out) if forest else out
 
-    return left.unionByName(right).groupBy("cell", "ti", "tj").applyInPandas(
+    both = spread_by(left.unionByName(right), "cell", "ti", "tj")
+    return both.groupBy("cell", "ti", "tj").applyInPandas(
         match, "a BIGINT, b BIGINT, similarity DOUBLE"
     )
 

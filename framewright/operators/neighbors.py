@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.operators.cloud import XYZ
-from framewright.session import materialize
+from framewright.session import materialize, spread_by
 
 _CELL = ("ix", "iy", "iz")
 _POINT = "cloud_id BIGINT, point_idx BIGINT"
@@ -67,7 +67,8 @@ def _run(tiles: DataFrame, kernel: Callable, schema: str) -> DataFrame:
             parts.append(pd.DataFrame({"cloud_id": key[0], "point_idx": qi, **out}))
         return pd.concat(parts, ignore_index=True)[cols]
 
-    return tiles.groupBy("cloud_id", *_CELL, "qb", "cb").applyInPandas(one, schema)
+    keys = ["cloud_id", *_CELL, "qb", "cb"]
+    return spread_by(tiles, *keys).groupBy(*keys).applyInPandas(one, schema)
 
 
 def _sq_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:

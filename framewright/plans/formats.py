@@ -38,18 +38,18 @@ def _corpus(spark, sf, width=1280, height=720) -> Dataset:
         F.lit(width).alias("image_width"), F.lit(height).alias("image_height"),
         F.when(F.col("s_acctbal") > 0, "train").otherwise("val").alias("split"),
     )
-    labels = X.annotations(spark, sf)
-    owner = X.table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("sample_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("label_index"),
+    owner = X.spread(X.table(spark, sf, "lineitem")).select(
+        F.col("l_suppkey").alias("sample_id"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("label_index"),
         F.concat("l_returnflag", "l_linestatus").alias("class_name"), X.class_id().alias("class_id"),
         F.when(F.col("l_linestatus") == "O", F.col("l_partkey")).alias("track_id"),
-        *[_fixture_expr(labels, c) for c in (*BOX, "confidence")],
+        *[_field(c) for c in (*BOX, "confidence")],
     )
     classes = X.classes(spark, sf)
     return Dataset(samples, owner, classes, "suppliers")
 
 
-def _fixture_expr(_, name):
+def _field(name):
     from framewright.model import unit
 
     exprs = {
@@ -141,7 +141,7 @@ def yolo_class_map(spark, sf):
     "write_detections_yolo",
     sql(
         _SUP + """, firsts AS (SELECT class_name, min((l_suppkey, k)) AS at_ FROM (SELECT l_suppkey,
-          l_returnflag || l_linestatus AS class_name, l_orderkey * 10 + l_linenumber AS k
+          l_returnflag || l_linestatus AS class_name, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS k
           FROM lineitem) GROUP BY 1),
         ids AS (SELECT class_name, row_number() OVER (ORDER BY at_, class_name) - 1 AS class_id
           FROM firsts)

@@ -53,3 +53,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the keys of a following Python group function.
+
+    The partition count is the session's, stated outright: small rows can mean long Python work,
+    and adaptive coalescing only sees bytes. The grouping reuses this shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

@@ -43,13 +43,24 @@ def convert(spark: SparkSession, source: str, path: str, target: str, out: str,
 def _builtin() -> None:
     from framewright.sinks import labels as S
     from framewright.sources import labels as R
-    from framewright.sources import yolo
+    from framewright.sinks import scenes as scene_sinks
+    from framewright.sources import scenes, yolo
 
     register("yolo", yolo.read_yolo, S.write_yolo)
     register("coco", R.read_coco, S.write_coco)
     register("kitti", R.read_kitti, S.write_kitti)
     register("voc", R.read_voc, S.write_voc)
     register("cvat", R.read_cvat, S.write_cvat)
+    register(
+        "nuscenes",
+        lambda spark, path: scenes.read_nuscenes(scenes.nuscenes_tables(spark, path)),
+        lambda ds, out, **kw: scene_sinks.write_nuscenes(scene_sinks.with_scene_ordinals(ds), out, **kw),
+    )
+    register(
+        "openlabel",
+        scenes.read_openlabel,
+        lambda ds, out, **kw: scene_sinks.write_openlabel(scene_sinks.with_scene_ordinals(ds), out, **kw),
+    )
 
 
 _builtin()
