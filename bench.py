@@ -19,7 +19,7 @@ HEADLINE = (
     "project_points", "box3d_project", "fusion_candidates", "fusion_match", "frustum_points",
     "lift_box", "nearest_time_sync", "hash_similarity_join", "cosine_similarity_join", "dup_groups",
     "radius_neighbors", "knn", "trigger_priority", "review_apply_edits", "read_yolo", "read_coco",
-    "redact_points", "depth_raster",
+    "redact_points", "view_projection",
 )
 
 

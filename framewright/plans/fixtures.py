@@ -74,10 +74,12 @@ def class_id() -> Column:
     )
 
 
-def annotations(spark: SparkSession, sf: str) -> DataFrame:
+def annotations(
+    spark: SparkSession, sf: str, image: str = "l_orderkey", index: Column | None = None
+) -> DataFrame:
     return spread(table(spark, sf, "lineitem")).select(
-        F.col("l_orderkey").alias("sample_id"),
-        label_key().alias("label_index"),
+        F.col(image).alias("sample_id"),
+        (label_key() if index is None else index).alias("label_index"),
         F.concat("l_returnflag", "l_linestatus").alias("class_name"),
         class_id().alias("class_id"),
         unit(F.col("l_quantity") / 50).alias("cx"),

@@ -617,13 +617,20 @@ def qa_overlap(spark, sf):
 @query(
     "qa_duplicate_label",
     sql(
-        _PAIRS + """ SELECT sample_id, i AS label_index, j AS other_index, class_i AS class_name
-        FROM pairs WHERE iou > 0.95 AND id_i = id_j""",
+        """, sup AS (SELECT l_suppkey AS sample_id, l_orderkey AS label_index, class_name, class_id,
+          x1, y1, x2, y2 FROM corners c JOIN lineitem l ON l.l_orderkey = c.sample_id
+          AND CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey * 10000000 + l_suppkey
+          = c.label_index)
+        SELECT a.sample_id, a.label_index, b.label_index AS other_index, a.class_name
+        FROM sup a JOIN sup b ON a.sample_id = b.sample_id AND a.class_id = b.class_id
+        AND a.label_index < b.label_index WHERE """ + _IOU + " > 0.95",
         "corners",
     ),
 )
 def qa_duplicate_label(spark, sf):
-    return qa.duplicate_labels(X.dataset(spark, sf)).select(
+    # Boxes of a supplier share one image here: groups large enough to hold near-equal boxes.
+    labels = X.annotations(spark, sf, image="l_suppkey", index=F.col("l_orderkey"))
+    return qa.duplicate_labels(Dataset(X.samples(spark, sf), labels)).select(
         "sample_id", "label_index", "other_index", "class_name"
     )
 

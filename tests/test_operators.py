@@ -411,3 +411,23 @@ def test_registry(spark):
     assert {"yolo", "coco", "kitti", "voc", "cvat"} <= set(registry.formats())
     with pytest.raises(ValueError):
         registry.convert(spark, "nope", "a", "yolo", "b")
+
+
+def test_depth_raster_against_numpy(spark):
+    from framewright.operators import redact
+
+    rng = np.random.default_rng(6)
+    n = 60
+    u, v, d = rng.uniform(0, 12, n), rng.uniform(0, 9, n), rng.uniform(.5, 9, n)
+    df = spark.createDataFrame([(1, 0, float(a), float(b), float(c), True, 12, 9) for a, b, c in zip(u, v, d)],
+                               "cloud_id INT, view INT, u DOUBLE, v DOUBLE, depth DOUBLE, valid BOOLEAN, width INT, height INT")
+    buf = np.zeros((9, 12))
+    for a, b, c in zip(u, v, d):
+        for i in range(-2, 3):
+            for j in range(-2, 3):
+                y, x = min(8, max(0, int(b) + j)), min(11, max(0, int(a) + i))
+                buf[y, x] = max(buf[y, x], 1 / c)
+    got = np.zeros((9, 12), int)
+    for r in redact.depth_raster(df).collect():
+        got[r["pv"], r["pu"]] = r["gray"]
+    assert (got == np.floor(buf / buf.max() * 255)).all()
