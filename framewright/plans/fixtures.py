@@ -59,11 +59,13 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_key() -> Column:
-    """Order of a box inside its image; unique per image, not dense."""
+    """Order of a box inside its image: line, part, supplier and price, so that line items that
+    share the first three still differ. Not dense; exact as a double too."""
     return (
         F.col("l_linenumber").cast("bigint") * 1000000000000000
-        + F.col("l_partkey") * 10000000
-        + F.col("l_suppkey")
+        + F.col("l_partkey") % 10000 * 100000000000
+        + F.col("l_suppkey") % 1000 * 100000000
+        + F.round(F.col("l_extendedprice") * 100).cast("bigint")
     )
 
 
@@ -241,7 +243,10 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_KEY = "(CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey * 10000000 + l_suppkey)"
+KEY_SQL = (
+    "(CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey % 10000 * 100000000000"
+    " + l_suppkey % 1000 * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT))"
+)
 _CLASS = (
     "((CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 4 END)"
     " + (CASE l_linestatus WHEN 'O' THEN 1 ELSE 0 END))"
@@ -257,7 +262,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         (),
     ),
     "annotations": (
-        f"""SELECT l_orderkey AS sample_id, {_KEY} AS label_index,
+        f"""SELECT l_orderkey AS sample_id, {KEY_SQL} AS label_index,
         l_returnflag || l_linestatus AS class_name, {_CLASS} AS class_id,
         greatest(0, least(1, l_quantity / 50)) AS cx,
         greatest(0, least(1, (l_extendedprice % 1000) / 1000)) AS cy,
@@ -282,7 +287,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "points": (
         f"""SELECT l_suppkey AS cloud_id, row_number() OVER (PARTITION BY l_suppkey
-          ORDER BY l_orderkey, {_KEY}) - 1 AS point_idx, l_quantity AS x,
+          ORDER BY l_orderkey, {KEY_SQL}) - 1 AS point_idx, l_quantity AS x,
         l_extendedprice / 1000 AS y, 100 * l_discount AS z, 5 * l_tax AS intensity FROM lineitem""",
         (),
     ),
@@ -292,7 +297,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         (),
     ),
     "boxes3d": (
-        f"""SELECT l_orderkey AS frame_id, {_KEY} AS det_id, {_CLASS} AS class_id,
+        f"""SELECT l_orderkey AS frame_id, {KEY_SQL} AS det_id, {_CLASS} AS class_id,
         l_returnflag || l_linestatus AS class_name,
         (l_quantity / 50 * 640 - 320) / 500 * (5 + l_quantity / 2) AS x,
         ((l_extendedprice % 1000) / 1000 * 480 - 240) / 500 * (5 + l_quantity / 2) AS y,
@@ -319,7 +324,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         (),
     ),
     "snapshots": (
-        f"""SELECT l_orderkey AS thread_id, {_KEY} AS snapshot_id, l_shipdate AS created_at,
+        f"""SELECT l_orderkey AS thread_id, {KEY_SQL} AS snapshot_id, l_shipdate AS created_at,
         CAST(floor(l_quantity) AS INTEGER) AS step_index FROM lineitem""",
         (),
     ),
@@ -331,7 +336,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         (),
     ),
     "review_edits": (
-        f"""SELECT l_orderkey AS item_id, {_KEY} AS edit_id, l_shipdate AS ts,
+        f"""SELECT l_orderkey AS item_id, {KEY_SQL} AS edit_id, l_shipdate AS ts,
         CASE l_returnflag WHEN 'A' THEN 'approved' WHEN 'R' THEN 'rejected' END AS status,
         l_returnflag = 'N' AS annotations_edited FROM lineitem""",
         (),

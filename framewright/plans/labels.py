@@ -617,10 +617,9 @@ def qa_overlap(spark, sf):
 @query(
     "qa_duplicate_label",
     sql(
-        """, sup AS (SELECT l_suppkey AS sample_id, l_orderkey AS label_index, class_name, class_id,
+        f""", sup AS (SELECT l_suppkey AS sample_id, l_orderkey AS label_index, class_name, class_id,
           x1, y1, x2, y2 FROM corners c JOIN lineitem l ON l.l_orderkey = c.sample_id
-          AND CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey * 10000000 + l_suppkey
-          = c.label_index)
+          AND {X.KEY_SQL} = c.label_index)
         SELECT a.sample_id, a.label_index, b.label_index AS other_index, a.class_name
         FROM sup a JOIN sup b ON a.sample_id = b.sample_id AND a.class_id = b.class_id
         AND a.label_index < b.label_index WHERE """ + _IOU + " > 0.95",

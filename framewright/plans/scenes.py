@@ -83,8 +83,8 @@ def _sensors(spark, sf):
     return calib, sensor
 
 
-_CAM = """SELECT CAST(l_orderkey AS VARCHAR) AS sample_token, 'SENSOR-' || l_linenumber // 2 AS channel,
-    CAST(l_linenumber AS BIGINT) * 1000000000000000 + l_partkey * 10000000 + l_suppkey AS ordinal,
+_CAM = f"""SELECT CAST(l_orderkey AS VARCHAR) AS sample_token, 'SENSOR-' || l_linenumber // 2 AS channel,
+    {X.KEY_SQL} AS ordinal,
     l_returnflag = 'R' AS is_key_frame FROM lineitem WHERE l_linenumber // 2 > 0"""
 
 
