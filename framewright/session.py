@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,14 @@ def local_session(app: str = "framewright", cores: str = "8", memory: str = "8g"
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the session's ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (tests on one machine) a local folder is made.
+    Only a ``local`` master may go without: there a folder of the machine is made. On a cluster the
+    executors would each write to their own disk, so a missing setting is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="framewright-")
         sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():
