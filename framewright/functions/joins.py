@@ -48,13 +48,13 @@ def iou_join(
     if not 0.0 <= threshold <= 1.0:
         raise ValueError(f"threshold must be between 0 and 1, got {threshold}")
     keys = list(keys)
-    t = max(threshold, 1e-3) * (1 - 1e-9)
+    t = (threshold or 1.0) * (1 - 1e-9)
     reach_log = -math.log(t) + 1e-9
     cell_log = min(4 * reach_log, math.log(4.0))
     solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
     every = left.select(*keys).unionByName(right.select(*keys))  # counted before the geometry
     left, right = left.where(solid), right.where(solid)
-    split = threshold >= 1e-3  # below that, size says nothing and groups stay whole
+    split = threshold > 0  # at 0 every pair of a key is a result
     sides = (("w", "x1", "x2", "kx", "ix"), ("h", "y1", "y2", "ky", "iy"))
     cells = [c for s in sides for c in s[3:]]
 

@@ -192,15 +192,15 @@ def octree_points(
 # Rules of the cluster heuristic.
 GROUND_Q, GROUND_GAP, MIN_ABOVE = 0.12, 0.12, 60
 CLUSTER_VOXEL, MIN_POINTS, MIN_SIZE, MIN_DIM = (1.6, 1.6, 1.2), 90, 0.2, 0.4
-TOP_BOXES, FALLBACK_POINTS, FALLBACK_CONF = 10, 200, 0.6
+FALLBACK_POINTS, FALLBACK_CONF = 200, 0.6
 
 
 def voxel_clusters(
     points: DataFrame, confidence: float = 0.3, class_name: str = "Car", min_points: int = MIN_POINTS,
-    size: tuple[float, float, float] = CLUSTER_VOXEL,
+    size: tuple[float, float, float] = CLUSTER_VOXEL, most: int | None = None,
 ) -> DataFrame:
-    """Boxes around dense voxels above the ground, at most ten per cloud; one box for the whole
-    cloud when there is none and the cloud is large enough."""
+    """Boxes around dense voxels above the ground; one box for the whole cloud when there is none and the
+    cloud is large enough. ``most`` keeps only that many of the fullest voxels of a cloud (default: all)."""
     pts = finite(points).select("cloud_id", *XYZ)
     ground = exact_quantile(pts, ["cloud_id"], "z", GROUND_Q, "_ground")
     pts = pts.join(ground, "cloud_id").withColumn(
@@ -223,8 +223,10 @@ def voxel_clusters(
     for c in XYZ:
         solid = solid.where(size_of[c] >= MIN_SIZE)
     solid = solid.where(F.col("confidence") >= confidence)
-    w = Window.partitionBy("cloud_id").orderBy(F.desc("n"), "vx", "vy", "vz")
-    top = solid.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= TOP_BOXES).drop("_rn")
+    top = solid
+    if most is not None:
+        w = Window.partitionBy("cloud_id").orderBy(F.desc("n"), "vx", "vy", "vz")
+        top = solid.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
     whole = boxes.groupBy("cloud_id").agg(F.sum("n").alias("n"), *roll)
     rest = whole.where(F.col("n") >= FALLBACK_POINTS).join(top, "cloud_id", "left_anti")
     rest = rest.withColumn("confidence", F.lit(max(confidence, FALLBACK_CONF)))

@@ -198,7 +198,7 @@ def _spanning(pairs: pd.DataFrame) -> pd.DataFrame:
     return pairs[np.array(keep, dtype=bool)]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node of an edge.
 
     Alternating star contraction: each round re-hangs neighbors on the smallest one, first those
@@ -209,7 +209,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     )
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = cur.union(cur.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         big = both.where(F.col("v") > F.col("u")).join(least, "u")
@@ -227,8 +227,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("component search did not settle")
     roots = cur.select(F.col("v").alias("node")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.joins import iou_join
 from framewright.operators.ranking import exact_quantile
-from framewright.session import materialize
+from framewright.session import materialize, spread_by
 
 # Smallest lifted box, spread factor, confidence of lifted boxes.
 LIFT_MIN, LIFT_PAD, LIFT_CONF, LIFT_POINTS = 0.5, 1.1, 0.5, 3
@@ -28,25 +32,46 @@ def candidates(
     return pairs.select("frame_id", F.col("l.i").alias("i"), F.col("r.j").alias("j"), "iou")
 
 
-def greedy_match(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def _match_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk rows sorted by (frame, falling overlap, i, j); a frame may go on in the next batch."""
+    frame, used_i, used_j = None, set(), set()
+    for batch in batches:
+        keep = []
+        for f, i, j in zip(batch["frame_id"], batch["i"], batch["j"]):
+            if f != frame:
+                frame, used_i, used_j = f, set(), set()
+            keep.append(i not in used_i and j not in used_j)
+            if keep[-1]:
+                used_i.add(i), used_j.add(j)
+        yield batch[np.array(keep, dtype=bool)]
+
+
+def greedy_match(pairs: DataFrame, gather: int = 20_000) -> DataFrame:
     """One-to-one pairs by falling overlap, ties by ``(i, j)``, inside each frame.
 
-    Walking the sorted list picks exactly the pairs that are best for both ends once earlier picks
-    are gone, so every round takes all mutual best pairs at once. No frame is ever gathered in
-    one place; the rounds needed are the longest chain of dependent picks.
+    Frames of up to ``gather`` pairs are walked by one task each. In larger ones the sorted list picks
+    exactly the pairs that are best for both ends once earlier picks are gone, so every round takes all
+    mutual best pairs at once; the rounds needed are the longest chain of dependent picks.
     """
-    left = materialize(pairs.select("frame_id", "i", "j", "iou"))
+    pairs = materialize(pairs.select("frame_id", "i", "j", "iou"))
+    large = pairs.groupBy("frame_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > gather).select("frame_id")
+    large = materialize(large)
+    small = spread_by(pairs.join(large, "frame_id", "left_anti"), "frame_id")
+    small = small.sortWithinPartitions("frame_id", F.desc("iou"), "i", "j")
+    done = small.mapInPandas(_match_frames, pairs.schema)
+    if large.isEmpty():
+        return done
+    left = materialize(pairs.join(large, "frame_id", "left_semi"))
     # Smallest (-iou, i, j) is first in the sorted list.
     order = F.struct((-F.col("iou")).alias("s"), "i", "j")
-    done = None
-    for _ in range(max_rounds):
+    while True:
         best_i = left.groupBy("frame_id", "i").agg(F.min(order).alias("best"))
         best_j = left.groupBy("frame_id", "j").agg(F.min(order).alias("best"))
         picked = best_i.select("frame_id", "best.*").join(
             best_j.select("frame_id", "best.*"), ["frame_id", "s", "i", "j"], "left_semi"
         )
         picked = materialize(picked.select("frame_id", "i", "j", (-F.col("s")).alias("iou")))
-        done = picked if done is None else done.unionByName(picked)
+        done = done.unionByName(picked)
         left = materialize(
             left.join(picked.select("frame_id", "i"), ["frame_id", "i"], "left_anti").join(
                 picked.select("frame_id", "j"), ["frame_id", "j"], "left_anti"
@@ -54,7 +79,6 @@ def greedy_match(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
         )
         if left.limit(1).count() == 0:
             return done
-    raise RuntimeError("matching did not finish")
 
 
 def fuse(

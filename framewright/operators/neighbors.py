@@ -103,7 +103,7 @@ def radius_outliers(points: DataFrame, radius: float, min_neighbors: int, cell:
 
 
 def knn(
-    points: DataFrame, k: int, cell: float, block: int = 2048, max_rounds: int = 40
+    points: DataFrame, k: int, cell: float, block: int = 2048
 ) -> DataFrame:
     """``neighbors``: the k nearest other points as (dist, idx, x, y, z), nearest first, ties by
     index; fewer only when the cloud has fewer.
@@ -142,7 +142,7 @@ def knn(
         return kernel
 
     pending, done, halo = points, None, cell / 2
-    for _ in range(max_rounds):
+    while True:
         size = halo * 2
         parts = _run(_tiles(points, pending, size, halo, block), make(size, halo), f"{_POINT}, nb {nb}, seen DOUBLE")
         merged = parts.groupBy("cloud_id", "point_idx").agg(
@@ -161,7 +161,6 @@ def knn(
         left = merged.where("NOT _final").select("cloud_id", "point_idx")
         pending = points.join(left, ["cloud_id", "point_idx"], "left_semi")
         halo *= 2
-    raise RuntimeError("neighbor search did not finish")
 
 
 def statistical_outliers(

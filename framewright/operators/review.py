@@ -113,8 +113,9 @@ def match_annotation_files(images: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def match_items(images: DataFrame, items: DataFrame) -> DataFrame:
-    """Review item of each image: by path, else by file name when only one item has it."""
-    by_path = items.select(F.col("file_path").alias("image_path"), F.col("item_id").alias("_p"))
+    """Review item of each image: by path (the last item of a path reviewed more than once), else by
+    file name when only one item has it."""
+    by_path = items.groupBy(F.col("file_path").alias("image_path")).agg(F.max("item_id").alias("_p"))
     by_name = (
         items.groupBy(file_name(F.col("file_path")).alias("_name"))
         .agg(F.min("item_id").alias("_n"), F.count(F.lit(1)).alias("_c"))

@@ -173,7 +173,7 @@ def write_detections_yolo(spark, sf):
 )
 def read_yolo_scored(spark, sf):
     root = _yolo_root(spark, sf)
-    got = yolo.parse_scored(FS.numbered_lines(spark, root, "*.txt"), yolo.class_map(spark, root))
+    got = yolo.parse_scored(FS.numbered_lines(spark, root, "*.txt"), yolo.class_maps(spark, root))
     return got.groupBy("class_name").agg(
         F.count(F.lit(1)).alias("boxes"),
         *[F.round(F.avg(c), 4).alias(c) for c in ("x", "y", "width", "height")],
@@ -208,7 +208,7 @@ def yolo_label_match(spark, sf):
 def read_coco(spark, sf):
     root = scratch_path(spark, "coco")
     S.write_coco(_corpus(spark, sf), root, shards=4)
-    ds = R.read_coco(spark, root, layout="lines")
+    ds = R.read_coco(spark, root)  # four whole documents; ``convert`` reads the line layout
     return ds.labels.join(ds.samples.select("sample_id", "image_path"), "sample_id").select(
         file_stem(F.col("image_path")).alias("stem"), "class_name", "class_id",
         *[F.round(c, 6).alias(c) for c in BOX],
@@ -309,18 +309,27 @@ def read_voc(spark, sf):
 @query(
     "write_voc",
     sql(
-        _SUP + _VOC + """ SELECT class_name, count(*) AS boxes, CAST(sum(xmax - xmin) AS BIGINT)
-        AS width, CAST(sum(ymax - ymin) AS BIGINT) AS height FROM boxes GROUP BY 1""",
+        _SUP + _VOC + """ SELECT CASE WHEN s_acctbal > 0 THEN 'train' ELSE 'val' END AS split, class_name,
+        count(*) AS boxes, CAST(sum(xmax - xmin) AS BIGINT) AS width, CAST(sum(ymax - ymin) AS BIGINT) AS height
+        FROM boxes JOIN supplier ON stem = 'sup_' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') GROUP BY 1, 2""",
         "samples",
     ),
 )
 def write_voc(spark, sf):
-    ds = _corpus(spark, sf)
+    """The written files and split lists, read back."""
+    root = scratch_path(spark, "voc-out")
+    S.write_voc(_corpus(spark, sf), root)
+    ds = R.read_voc(spark, root, class_names=())
+    split = FS.split_lines(spark, f"{root}/ImageSets/Main").select(
+        F.trim("line").alias("sample_id"), file_stem(F.col("path")).alias("split")
+    )
     labels = ds.labels.join(ds.samples.select("sample_id", "image_width", "image_height"), "sample_id")
-    px = labels.withColumns(S.voc_pixels(labels))
-    return px.groupBy("class_name").agg(
-        F.count(F.lit(1)).alias("boxes"), F.sum(F.col("xmax") - F.col("xmin")).alias("width"),
-        F.sum(F.col("ymax") - F.col("ymin")).alias("height"),
+    px = labels.join(split, "sample_id").withColumns({
+        "bw": F.round(F.col("w") * F.col("image_width")).cast("bigint") - 1,
+        "bh": F.round(F.col("h") * F.col("image_height")).cast("bigint") - 1,
+    })
+    return px.groupBy("split", "class_name").agg(
+        F.count(F.lit(1)).alias("boxes"), F.sum("bw").alias("width"), F.sum("bh").alias("height")
     )
 
 
@@ -354,10 +363,11 @@ def read_cvat(spark, sf):
     min(l_suppkey) AS first_frame FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1""",
 )
 def write_cvat(spark, sf):
-    labels = _cvat(spark, sf).labels.where("track_id IS NOT NULL")
+    ds = _cvat(spark, sf)
+    labels = ds.labels.where("track_id IS NOT NULL").join(ds.samples.select("sample_id", "ordinal"), "sample_id")
     return labels.groupBy("track_id").agg(
-        F.count(F.lit(1)).alias("shapes"), F.countDistinct("sample_id").alias("frames"),
-        F.min("sample_id").alias("first_frame"),
+        F.count(F.lit(1)).alias("shapes"), F.countDistinct("ordinal").alias("frames"),
+        F.min("ordinal").alias("first_frame"),
     )
 
 

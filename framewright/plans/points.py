@@ -223,7 +223,7 @@ def octree_points(spark, sf):
 )
 def voxel_clusters(spark, sf):
     return cloud.voxel_clusters(
-        X.raw_points(spark, sf), min_points=28, size=(20.0, 20.0, 5.0)
+        X.raw_points(spark, sf), min_points=28, size=(20.0, 20.0, 5.0), most=10
     )
 
 

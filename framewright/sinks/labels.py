@@ -230,8 +230,11 @@ def voc_pixels(labels: DataFrame) -> dict[str, Column]:
 
 
 def write_voc(ds: Dataset, root: str, split: str = "train", overwrite: bool = False) -> None:
-    """``Annotations/<stem>.xml`` per image and ``ImageSets/Main/<split>.txt``."""
+    """``Annotations/<stem>.xml`` per image and ``ImageSets/Main/<split>.txt`` for the split of each sample;
+    ``split`` is that of samples without one."""
     samples = _distinct_stems(ds.samples)
+    own = F.coalesce(F.nullif(F.col("split"), F.lit("")), F.lit(split)) if "split" in samples.columns else F.lit(split)
+    listed = F.concat(F.lit("ImageSets/Main/"), own, F.lit(".txt"))
     rel = F.concat(F.lit("Annotations/"), F.col("stem"), F.lit(".xml"))
     labels = ds.labels.join(
         samples.select("sample_id", "stem", "image_width", "image_height"), "sample_id"
@@ -257,7 +260,7 @@ def write_voc(ds: Dataset, root: str, split: str = "train", overwrite: bool = Fa
         _rows(samples, rel, 0, head),
         _rows(labels, rel, 1, obj, F.col("label_index")),
         _rows(samples, rel, 2, F.lit("</annotation>")),
-        _rows(samples, F.lit(f"ImageSets/Main/{split}.txt"), 0, F.col("stem"), F.col("ordinal")),
+        _rows(samples, listed, 0, F.col("stem"), F.col("ordinal")),
     ]
     _write(parts, root, overwrite)
 

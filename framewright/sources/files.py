@@ -129,15 +129,21 @@ def split_lines(spark: SparkSession, paths, glob: str = "*") -> DataFrame:
 
 
 def images(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded images below ``root``: path, width, height, nChannels, data (unreadable ones drop)."""
-    return (
-        spark.read.format("image").option("recursiveFileLookup", "true")
-        .option("dropInvalid", "true").load(root)
-        .select(plain_path(F.col("image.origin")).alias("path"), "image.width", "image.height",
-                "image.nChannels", "image.data")
+    """Decoded images below ``root``: path, width, height, nChannels, data; all null but the path of those
+    that cannot be read."""
+    raw = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(root)
+    readable = F.col("image.width") > 0
+    return raw.select(
+        plain_path(F.col("image.origin")).alias("path"),
+        *[F.when(readable, F.col(f"image.{c}")).alias(c) for c in ("width", "height", "nChannels", "data")],
     )
 
 
+def unreadable_images(spark: SparkSession, root: str) -> DataFrame:
+    """Finding per image that cannot be decoded."""
+    return images(spark, root).where("width IS NULL").select("path", F.lit("unreadable_image").alias("issue"))
+
+
 def image_dimensions(spark: SparkSession, root: str) -> DataFrame:
     return images(spark, root).select("path", "width", "height")
 
