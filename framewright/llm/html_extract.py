@@ -42,6 +42,8 @@ CLOSED_BY = {
 WALLS = frozenset("article aside body div footer header html li main nav section table td th ul ol blockquote form".split())
 SPACE = re.compile(r"\s+")
 LEVELS = 16
+#: Siblings of the best container that are article text by their kind, unless they are mostly links.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article".split())
 
 
@@ -193,7 +195,7 @@ def _score(nodes: list[Node]) -> dict[Node, tuple[int, int]]:
 
 
 def _container(nodes: list[Node]) -> list[Node]:
-    """The best container and those siblings that hold article text too, in page order.
+    """The best container and those siblings that hold paragraphs too and are not mostly links, in page order.
 
     If the best container stands inside an article or main element, that element is the container.
     """
@@ -214,15 +216,13 @@ def _container(nodes: list[Node]) -> list[Node]:
         up = up.parent
     if best.parent is None or best.tag in ("body", "main", "html"):
         return [best]
-    least = max(10.0, value(best) * 0.2)
     kept = []
     for c in best.parent.children:
         if not isinstance(c, Node) or c.skip or c not in size:
             continue
         chars, linked = size[c]
-        density = linked / chars if chars else 1.0
-        plain = c.tag in ("p", "h1", "h2", "blockquote", "pre") and chars > 0 and density < 0.25
-        if c is best or value(c) >= least and density < 0.5 or plain:
+        textual = c.score > 0 or c.tag in TEXTUAL
+        if c is best or (chars and textual and linked < 0.33 * chars):
             kept.append(c)
     return kept
 
