@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -138,6 +139,7 @@ def materialize_order(
         f.write(json.dumps(meta).encode())
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = zstandard.ZstdCompressor(level=3).compress  # the shuffle's own codec gains little on ids
         for batch in batches:
             doc_ids, seqs, places, data = [], [], [], []
             for start, doc_id, tokens in zip(batch["start"], batch["doc_id"].astype("Int64").fillna(-1), batch["tokens"]):
@@ -145,7 +147,7 @@ def materialize_order(
                 for seq in range(at // length, (at + n - 1) // length + 1):
                     lo, hi = max(at, seq * length), min(at + n, (seq + 1) * length)
                     doc_ids.append(doc_id), seqs.append(seq), places.append(lo - seq * length)
-                    data.append(tokens[2 * (lo - at) : 2 * (hi - at)])
+                    data.append(pack(tokens[2 * (lo - at) : 2 * (hi - at)]))
             slots = feistel(np.array(seqs, dtype=np.uint64), count, key) if seqs else np.empty(0, np.int64)
             yield pd.DataFrame({
                 "shard": slots // per_shard, "slot": slots, "seq": np.array(seqs, dtype=np.int64),
@@ -162,6 +164,7 @@ def materialize_order(
         name, stream, temporary = None, None, ""
         seq: dict = {}
         ready: list[tuple] = []
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def finish() -> None:
             if seq:
@@ -190,7 +193,7 @@ def materialize_order(
                     stream = target.open_output_stream(temporary)
                 if not seq:
                     seq.update(slot=slot, seq=s, docs=[], data=[])
-                seq["docs"].append(doc_id), seq["data"].append(tokens)
+                seq["docs"].append(doc_id), seq["data"].append(unpack(tokens))
             yield pd.DataFrame(ready, columns=["slot", "seq", "shard", "offset", "n_tokens", "doc_ids", "sha256"])
             ready.clear()
         if seq:
