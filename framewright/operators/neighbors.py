@@ -113,7 +113,11 @@ def knn(
     """
     if k < 1 or cell <= 0:
         raise ValueError("k and cell must be positive")
-    nb = "ARRAY<STRUCT<dist:DOUBLE,idx:BIGINT,x:DOUBLE,y:DOUBLE,z:DOUBLE>>"
+    lists = "dist ARRAY<DOUBLE>, idx ARRAY<BIGINT>, nx ARRAY<DOUBLE>, ny ARRAY<DOUBLE>, nz ARRAY<DOUBLE>"
+    nb = F.transform(
+        F.arrays_zip("dist", "idx", "nx", "ny", "nz"),
+        lambda n: F.struct(n["dist"].alias("dist"), n["idx"].alias("idx"), n["nx"].alias("x"), n["ny"].alias("y"), n["nz"].alias("z")),
+    )
     span = points.groupBy("cloud_id").agg(
         *[(F.max(c) - F.min(c)).alias(c) for c in XYZ]
     ).agg(F.max(F.greatest(*XYZ))).first()[0]
@@ -123,29 +127,26 @@ def knn(
             d = _sq_dist(q, c)
             d[qi[:, None] == ci[None, :]] = np.inf
             take = min(k, d.shape[1])
-            # Everything up to the k-th distance, then exact order by (distance, index).
+            # Everything up to the k-th distance as flat arrays, then exact order by (distance, index).
             kth = np.partition(d, take - 1, axis=1)[:, take - 1]
-            out = []
-            for row, lim in zip(d, kth):
-                near = np.flatnonzero((row <= lim) & (row < np.inf))
-                near = near[np.lexsort((ci[near], row[near]))][:take]
-                out.append(
-                    [
-                        {"dist": float(np.sqrt(row[j])), "idx": int(ci[j]), "x": c[j, 0], "y": c[j, 1], "z": c[j, 2]}
-                        for j in near
-                    ]
-                )
+            row, col = np.nonzero((d <= kth[:, None]) & (d < np.inf))
+            order = np.lexsort((ci[col], d[row, col], row))
+            row, col = row[order], col[order]
+            near = np.arange(len(row)) - np.searchsorted(row, row) < take
+            row, col = row[near], col[near]
+            ends = np.searchsorted(row, np.arange(1, len(q)))
+            flat = {"dist": np.sqrt(d[row, col]), "idx": ci[col], "nx": c[col, 0], "ny": c[col, 1], "nz": c[col, 2]}
             low = np.floor(q / size) * size
             edge = np.minimum(q - low, low + size - q).min(axis=1) + halo
-            return {"nb": out, "seen": edge}
+            return {**{n: np.split(v, ends) for n, v in flat.items()}, "seen": edge}
 
         return kernel
 
     pending, done, halo = points, None, cell / 2
     while True:
         size = halo * 2
-        parts = _run(_tiles(points, pending, size, halo, block), make(size, halo), f"{_POINT}, nb {nb}, seen DOUBLE")
-        merged = parts.groupBy("cloud_id", "point_idx").agg(
+        parts = _run(_tiles(points, pending, size, halo, block), make(size, halo), f"{_POINT}, {lists}, seen DOUBLE")
+        merged = parts.withColumn("nb", nb).groupBy("cloud_id", "point_idx").agg(
             F.slice(F.array_sort(F.flatten(F.collect_list("nb"))), 1, k).alias("neighbors"),
             F.min("seen").alias("_seen"),
         )  # at most k entries per tile of a query

@@ -24,12 +24,10 @@ def spread(df: DataFrame) -> DataFrame:
     """Rows over at least as many partitions as there are cores.
 
     A small table may be a single row group, which one task would have to work through. A table
-    with enough splits is returned as it is, without a shuffle.
+    of enough files is returned as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def micros(ts: Column) -> Column:

@@ -11,6 +11,8 @@ from framewright.operators import qa, report, split
 from framewright.plans import fixtures as X
 from framewright.plans.fixtures import sql
 from framewright.plans.registry import query
+from framewright.session import materialize, scratch_path
+from framewright.sinks.report import write_report_tables as write_tables
 
 BOX = ("cx", "cy", "w", "h")
 _IOU = (
@@ -743,7 +745,7 @@ def qa_run(spark, sf):
     ),
 )
 def issue_summary(spark, sf):
-    return report.issue_summary(_issues(spark, sf), X.samples(spark, sf))
+    return report.issue_summary(materialize(_issues(spark, sf)), X.samples(spark, sf))
 
 
 @query(
@@ -772,7 +774,7 @@ def report_severity_totals(spark, sf):
     ),
 )
 def issues_capped(spark, sf):
-    return report.issues_capped(_issues(spark, sf)).drop("severity", "measure")
+    return report.issues_capped(materialize(_issues(spark, sf))).drop("severity", "measure")
 
 
 @query(
@@ -793,7 +795,7 @@ def issues_capped(spark, sf):
     ),
 )
 def gallery_rank(spark, sf):
-    return report.gallery_rank(_issues(spark, sf), X.samples(spark, sf))
+    return report.gallery_rank(materialize(_issues(spark, sf)), X.samples(spark, sf))
 
 
 @query(
@@ -810,14 +812,11 @@ def gallery_rank(spark, sf):
     ),
 )
 def write_report_tables(spark, sf):
-    details = D.class_details(X.annotations(spark, sf))
-    return (
-        X.classes(spark, sf)
-        .join(details, "class_name", "left")
-        .na.fill(0, ["label_count", "sample_count"])
-        .na.fill(0.0, ["avg_per_sample"])
-        .withColumn("avg_per_sample", _r("avg_per_sample"))
-    )
+    """The class table of the four written ones, read back."""
+    root = scratch_path(spark, "report")
+    ds = Dataset(X.samples(spark, sf), X.annotations(spark, sf), X.classes(spark, sf), "report")
+    write_tables(ds, materialize(_issues(spark, sf)), root)
+    return spark.read.parquet(f"{root}/classes").withColumn("avg_per_sample", _r("avg_per_sample"))
 
 
 # ---- splits ---------------------------------------------------------------------------------
