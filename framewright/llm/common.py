@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,38 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     for name in names:
         on = on & left[name].eqNullSafe(right[name])
     return on
+
+
+class Forest:
+    """Union-find over ids; ``add`` tells whether a link joins two parts."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up] if up in parent else up
+        return x
+
+    def add(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def thinned(edges: DataFrame, *keys: str) -> DataFrame:
+    """``a, b``: links that connect what all links of a task connect, so never more than a task has nodes.
+
+    ``keys`` say which links should meet in a task; a dense group should be cut into a few by a salt.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = Forest()
+        for batch in batches:
+            kept = [(a, b) for a, b in zip(batch["a"].tolist(), batch["b"].tolist()) if forest.add(a, b)]
+            yield pd.DataFrame(kept, columns=["a", "b"], dtype=np.int64)
+
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return edges.repartition(parts, *keys).mapInPandas(run, "a LONG, b LONG")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import stored
+from framewright.llm.common import Forest, stored
 from framewright.operators.dedupe import components
 from framewright.session import spread_by
 
@@ -21,25 +21,6 @@ def unit_vectors(vectors: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-class _Forest:
-    """Union-find over ids; ``add`` tells whether a link joins two parts."""
-
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        parent = self.parent
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[up] if up in parent else up
-        return x
-
-    def add(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
-        return a != b
-
-
 def pass_keys(vectors: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
     """``dim, pass, key``: for every pass the signs of ``bits`` random projections, concatenated to one sort key."""
 
@@ -58,7 +39,8 @@ def pass_keys(vectors: DataFrame, passes: int, bits: int, seed: int) -> DataFram
                         "dim": rows["dim"], "pass": np.int32(p), "key": keys[:, p], "vec_id": rows["vec_id"], "embedding": rows["embedding"],
                     })
 
-    return vectors.mapInPandas(run, "dim INT, pass INT, key LONG, vec_id LONG, embedding ARRAY<DOUBLE>")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return vectors.mapInPandas(run, f"dim INT, pass INT, key LONG, vec_id LONG, embedding {kind}")
 
 
 def neighbour_links(keyed: DataFrame, window: int, threshold: float, parts: int) -> DataFrame:
@@ -69,7 +51,7 @@ def neighbour_links(keyed: DataFrame, window: int, threshold: float, parts: int)
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest = _Forest()
+        forest = Forest()
         tail = None
         for batch in batches:
             for (dim, p), rows in batch.groupby(["dim", "pass"], sort=False):
@@ -157,10 +139,12 @@ def near_duplicates(
     An empty table gives an empty result. Columns other than ``vec_id, embedding`` are not looked at.
     """
     spark = embeddings.sparkSession
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # Floats stay floats while they are moved; every comparison is in double precision.
+    kind = "float" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     wrong = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fine = F.col("embedding").isNotNull() & ~F.coalesce(wrong, F.lit(True)) & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull()
-    signed = F.transform("embedding", lambda x: x + F.lit(0.0))  # -0.0 is 0.0
+    signed = F.transform("embedding", lambda x: x + F.lit(0.0).cast(kind))  # -0.0 is 0.0
     good = rows.where(fine).select("vec_id", signed.alias("embedding"), F.md5(F.to_json(signed)).alias("same"))
     classes = good.groupBy("same").agg(
         F.min("vec_id").alias("head"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")
