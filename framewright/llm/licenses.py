@@ -85,12 +85,13 @@ KNOWN = (
 
 
 def canonical_line(line: Column) -> Column:
-    """Lower case, equal spellings, every run of other characters one blank; copyright lines are empty."""
+    """Lower case, equal spellings, every run of ASCII or typographic punctuation and white space one blank; copyright
+    lines are empty."""
     low = F.lower(line)
     text = low
     for old, new in SPELLINGS:
         text = F.replace(text, F.lit(old), F.lit(new))
-    text = F.trim(F.regexp_replace(text, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "))
+    text = F.trim(F.regexp_replace(text, r"[^a-z0-9\x{80}-\x{200F}\x{2040}-\x{10FFFF}]+", " "))
     return F.when(F.regexp_like(low, F.lit(COPYRIGHT_LINE)), F.lit("")).otherwise(text)
 
 
@@ -103,7 +104,7 @@ def canonical_digest(text: str) -> str:
             continue
         for old, new in SPELLINGS:
             low = low.replace(old, new)
-        lines.append(re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", low).strip(" "))
+        lines.append(re.sub("[^a-z0-9\x80-\u200f\u2040-\U0010ffff]+", " ", low).strip(" "))
     return hashlib.sha256(" ".join(x for x in lines if x).encode()).hexdigest()
 
 

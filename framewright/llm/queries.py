@@ -71,7 +71,7 @@ def _license_sql() -> str:
     line = "lower(l)"
     for old, new in licenses.SPELLINGS:
         line = f"replace({line}, '{old}', '{new}')"
-    canonical = rf"trim(regexp_replace({line}, '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'))"
+    canonical = rf"trim(regexp_replace({line}, '[^a-z0-9\x{{80}}-\x{{200F}}\x{{2040}}-\x{{10FFFF}}]+', ' ', 'g'))"
     skip = licenses.COPYRIGHT_LINE.replace("'", "''")
     known: dict[str, str] = {}
     for digest, name in licenses.known_digests():
