@@ -64,7 +64,7 @@ def test_reruns_and_bucket_count_agree(spark):
 def test_quality_is_preferred(spark):
     rows = [(i, "w", "s" + str(i % 2)) for i in range(2000)]
     labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(2000)] + [(None, 1), (1, None)], "doc_id LONG, quality INT")
-    got = mixing.mix(docs_of(spark, rows), mixing.quality_weights(labels)).toPandas()
+    got = mixing.mix(docs_of(spark, rows), mixing.quality_weights(labels), share=0.5).toPandas()
     some = got[(got["part"] > 0)]
     good = (some["doc_id"] % 4 < 2).mean()
     assert 0.55 < good < 0.95
