@@ -105,7 +105,7 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, scale: np.ndar
 
 
 def train(
-    texts: DataFrame, sample: int = 20_000, features: int = 8_000, alpha: float = 1.0, l2: float = 3e-4, steps: int = 400
+    texts: DataFrame, sample: int = 4_000, features: int = 4_000, alpha: float = 1.0, l2: float = 3e-4, steps: int = 400
 ) -> Model:
     """Model from ``text, toxic`` (0/1) rows.
 
@@ -168,9 +168,11 @@ def train(
     data["key"] = [bytes(np.asarray(x, np.int32).tobytes()) for x in data["ids"]]
     data = data.sort_values(["toxic", "key"], kind="stable")
     lengths = data["ids"].map(len).to_numpy()
-    rows = np.repeat(np.arange(len(data)), lengths)
-    cols = np.concatenate([np.asarray(x, np.int64) for x in data["ids"]]) if lengths.sum() else np.empty(0, np.int64)
-    w, bias = fit_linear(rows, cols, data["toxic"].to_numpy(dtype=float), ratio, l2, steps)
+    rows = np.repeat(np.arange(len(data), dtype=np.int32), lengths)
+    cols = np.frombuffer(b"".join(data["key"]), np.int32)
+    toxic = data["toxic"].to_numpy(dtype=float)
+    del data
+    w, bias = fit_linear(rows, cols, toxic, ratio, l2, steps)
     weights = np.zeros(DIM, np.float32)
     weights[ids] = w * ratio
     return Model(weights, bias)
