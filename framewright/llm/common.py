@@ -37,8 +37,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Hint a broadcast if the (stored) side has at most ``rows`` rows; tell whether it was hinted."""
-    fits = df.limit(rows + 1).count() <= rows
+    """Hint a broadcast if the (stored or small) side has at most ``rows`` rows; tell whether it was hinted."""
+    fits = df.count() <= rows
     return (F.broadcast(df), True) if fits else (df, False)
 
 

@@ -10,17 +10,19 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import same, small_side, stored
+from framewright.llm.common import small_side, stored, thinned
 from framewright.operators.dedupe import components
 
 #: Cost model of the allocation: documents of a size band that meet in one index, and the chance that a shingle of one also
 #: stands in another that has nothing to do with it.
-BAND_ROWS, SHARED = 1e6, 0.05
+BAND_ROWS, SHARED = 1e6, 0.005
 #: Sizes of one band differ by this factor at most.
 BAND = 1.25
+#: Up to so many shared index keys (two numbers each, some 100 MB) the keys are filtered by broadcast.
+SHARED_KEYS = 3_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,38 +67,46 @@ def bands_for(size: int, percent: int) -> tuple[int, ...]:
     return tuple(out)
 
 
+#: Numbers of segments with deletions, and of segments that may be skipped, among which the allocation chooses.
+CHOICES = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+
+
 @lru_cache(maxsize=4096)
 def allocation(index: int, percent: int) -> tuple[int, int, int]:
     """(segments, segments with one-deletion neighbourhoods, segments that may be skipped) of a band.
 
     Sets of sizes a <= b that link differ in at most a * (1 - t) / t elements; H is that for the largest a. An exact
     segment fails by one difference, one with deletions by two, so with ``m + k`` or more than H at least one matches, and
-    ``skip`` more match if the numbers are raised accordingly. Among all choices the cheapest is taken: index rows
-    of a set, plus expected chance meetings of equal segments, and of empty ones if none may be skipped.
+    ``skip`` more match if the numbers are raised accordingly. Among the choices the cheapest is taken: index rows
+    of a set, plus expected chance meetings of equal segments, and of empty ones if a set has more of them than it may skip.
     """
     low, high = band_of(index)
     most = high * (100 - percent) // percent
     if most == 0:
         return 1, 0, 0
     best = (math.inf, 1, 0, 0)
-    for skip in (0, 1):
-        for k in range(0, most + 2):
+    for skip in (c for c in CHOICES if c <= most + 1):
+        for k in {*(c for c in CHOICES if c <= most + 1), (most + 1) // 2, most // 2 + 1, most + 1}:
             m = most + 1 + skip if k <= skip else max(most + 1 + 2 * skip - k, k)
             tokens = low / m
             rows = (m - k) + k * (1 + tokens)
             chance = (m - k) * SHARED**tokens + k * (1 + tokens) * SHARED ** max(tokens - 1, 0)
-            empty = 0 if skip else (m - k) * math.exp(-2 * tokens) + k * (1 + tokens) ** 2 * math.exp(-2 * tokens)
-            if m == 1:
-                empty = 0
+            none = (m - k) * math.exp(-tokens) + k * (1 + tokens) * math.exp(-tokens)  # affected segments of a set
+            term, within = math.exp(-none), 0.0
+            for i in range(skip + 1):
+                within += term
+                term *= none / (i + 1)
+            empty = 0 if m == 1 else none * math.exp(-tokens) * max(0.0, 1 - within) ** 2
             cost = rows + BAND_ROWS * (chance + empty)
             if cost < best[0]:
                 best = (cost, m, k, skip)
     return best[1:]
 
 
-def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a set in all its bands. Two sets that link share one at least."""
-    out = []
+def signatures(tokens: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set in all its bands, and for each how many keys a linked set must share in that band at least: one more
+    than the segments that may be skipped, less those this set skips."""
+    out, needs = [], []
     for index in bands_for(len(tokens), percent):
         m, k, skip = allocation(index, percent)
         value = mix(tokens + np.uint64(0x632BE59BD9B4E019 * (index + 1) & 0xFFFFFFFFFFFFFFFF))
@@ -110,35 +120,63 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
         some = count > 0
         near = segment < k
         shorter = mix((sums[segment[near]] - value[near]) ^ label[segment[near]])
-        if skip:
-            affected = (~some).sum() + (count[:k] == 1).sum()
-            if affected <= skip:  # empty segments say little and enough others must match
-                exact = exact[some]
-                shorter = shorter[count[segment[near]] > 1]
-        out += [exact, shorter]
-    return np.unique(np.concatenate(out)).view(np.int64)
+        affected = int((~some).sum() + (count[:k] == 1).sum())
+        need = 1
+        if affected <= skip:  # empty segments say little and enough others must match
+            exact = exact[some]
+            shorter = shorter[count[segment[near]] > 1]
+            need = skip + 1 - affected
+        keys = np.unique(np.concatenate([exact, shorter]))
+        out.append(keys)
+        needs.append(np.full(len(keys), need, np.int64))
+    return np.concatenate(out).view(np.int64), np.concatenate(needs)
 
 
-def fingerprints(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``doc_id, row_key, n, digest, sigs`` of every row; digest and sigs are null for empty sets."""
+def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, row_key, n, digest`` of every row; the digest is null for empty sets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                n, digest, sigs = [], [], []
+                n, digest = [], []
                 for text in batch.pop("text"):
                     tokens = shingle_set(text, shingle)
                     n.append(len(tokens))
                     digest.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
-                    sigs.append(signatures(tokens, percent) if len(tokens) else None)
-                yield batch.assign(n=n, digest=digest, sigs=sigs)
+                yield batch.assign(n=n, digest=digest)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    return rows.mapInPandas(run, "doc_id LONG, row_key LONG, n LONG, digest BINARY, sigs ARRAY<LONG>")
+    return rows.mapInPandas(run, "doc_id LONG, row_key LONG, n LONG, digest BINARY")
+
+
+def class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``cid, text`` of stored ``row_key, cid``, one text of each class (more if its row is repeated)."""
+    side, _ = small_side(classes.select("row_key", "cid"))
+    return docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(side, "row_key").select("cid", "text")
+
+
+def index_keys(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``sig, cid, n, need``: the index keys of every class, see ``signatures``. They outweigh the texts, so they are computed
+    where they are needed rather than stored."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                cids, sigs, sizes = [], [], []
+                for i, (cid, text) in enumerate(zip(batch["cid"], batch["text"]), 1):
+                    tokens = shingle_set(text, shingle)
+                    keys, needs = signatures(tokens, percent)
+                    cids.append(np.full(len(keys), cid)), sigs.append(keys), sizes.append((len(tokens) << 16) + needs)
+                    if i % 500 == 0 or i == len(batch):
+                        yield pd.DataFrame({"sig": np.concatenate(sigs), "cid": np.concatenate(cids), "size": np.concatenate(sizes)})
+                        cids, sigs, sizes = [], [], []
+
+    rows = texts.mapInPandas(run, "sig LONG, cid LONG, size LONG")
+    return rows.select("sig", "cid", F.shiftright("size", 16).alias("n"), (F.col("size") % 65536).alias("need"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int, percent: int, chunk: int = 64) -> DataFrame:
-    """Those ``a, b`` of ``pairs`` (stored) whose sets reach the threshold.
+    """``a, b, linked, delta`` for the stored ``a, b``: whether the sets reach the threshold, and the tokens only one of them has.
 
     Only the texts of classes in a pair are read again, one of each class. The partners of ``a`` are cut into chunks that meet one copy of
     ``a``'s set, so that a class with many partners is spread over many tasks.
@@ -149,9 +187,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int
     roles = cut.select("a", "chunk", F.col("b").alias("cid"), F.lit(1).alias("role")).unionByName(
         cut.select("a", "chunk", F.col("a").alias("cid"), F.lit(0).alias("role")).distinct()
     )
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    need, _ = small_side(stored(classes.join(ids, "cid").select("cid", "row_key"), "join-need"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "text").join(need, "row_key").select("cid", "text")
+    texts = class_texts(docs, stored(classes.join(roles.select("cid").distinct(), "cid").select("cid", "row_key"), "join-need"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with np.errstate(over="ignore"):
@@ -173,12 +209,65 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int
                     head, x = (a, c), y
                     continue
                 assert head == (a, c), "a chunk came without its head"
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                if 100 * shared >= percent * (len(x) + len(y) - shared):
-                    out.append((a, cid))
-            yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+                delta = np.setxor1d(x, y, assume_unique=True)
+                out.append((a, cid, bool(links(len(x), len(y), len(delta), percent)), delta.view(np.int64)))
+            yield pd.DataFrame(out, columns=["a", "b", "linked", "delta"])
+
+    # a row that is repeated in the table meets its leader repeatedly
+    return both.mapInPandas(compare, "a LONG, b LONG, linked BOOLEAN, delta ARRAY<LONG>")
+
 
-    return both.mapInPandas(compare, "a LONG, b LONG").distinct()
+def links(n, m, differ, percent: int):
+    """Jaccard test from both sizes and the number of differing elements; numbers or columns."""
+    return 100 * (n + m - differ) >= percent * (n + m + differ)
+
+
+def leaders(counted: DataFrame, jumps: int = 3) -> DataFrame:
+    """``a, b``: class ``b`` follows ``a``: the smallest class of its index keys that it shares most keys with, then that
+    one's leader and so on (``2 ** jumps`` steps), so that a group has one leader. Any choice is right, this one leaves little to do."""
+    now = stored(counted.groupBy(F.col("cid").alias("b")).agg(F.max_by("least", F.struct("f", -F.col("least"))).alias("a")), "join-leaders")
+    for _ in range(jumps):
+        up = now.select(F.col("b").alias("a"), F.col("a").alias("up"))
+        now = stored(now.join(up, "a", "left").select("b", F.coalesce("up", "a").alias("a")), "join-leaders")
+    return now
+
+
+def followers_linked(judged: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: links between classes with the same leader of which one at least does not link with the leader.
+
+    With x and y given by what they differ in from their leader (deltas), x and y differ in |dx| + |dy| - 2 * overlap
+    elements. If y does not link with the leader, |dx| + |dy| alone is more than a link allows, so the deltas must overlap by
+    ``o = (|dx| + |dy| - H(x, y)) / 2``. That is a prefix-filtered join: deltas ordered by the rarity of their tokens among the
+    followers, the first ``H(x) + 1`` tokens (of linked followers about half) joined, positions bounded, then exact.
+    """
+    k = (100 - percent) / (100 + percent)
+    failed = judged.where("NOT linked").select("leader").distinct()
+    rows = judged.join(failed, "leader", "left_semi").join(sizes.select("cid", "n"), "cid")
+    rows = stored(rows.select("leader", "cid", "n", "linked", "delta", F.size("delta").alias("d")), "join-deltas")
+    tokens = rows.select("leader", "cid", "n", "linked", "d", F.explode("delta").alias("token"))
+    counts = tokens.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("f"))
+    most = F.floor(F.col("n") * (100 - percent) / percent) + 1  # H for any partner, plus one
+    half = F.col("d") - F.ceil((1 - k) * F.col("d") / 2 - 1e-9) + 1
+    width = F.least(F.col("d"), F.when(F.col("linked"), F.least(half, most)).otherwise(most))
+    order = Window.partitionBy("leader", "cid").orderBy("f", "token")
+    prefix = tokens.join(counts, ["leader", "token"]).withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= width)
+    prefix = stored(prefix.join(counts.where("f > 1").select("leader", "token"), ["leader", "token"], "left_semi").drop("f"), "join-prefix")
+    left = prefix.where("NOT linked").select("leader", "token", *[F.col(c).alias(f"l_{c}") for c in ("cid", "n", "d", "pos")])
+    right = prefix.select("leader", "token", "linked", *[F.col(c).alias(f"r_{c}") for c in ("cid", "n", "d", "pos")])
+    n, m = F.col("l_n"), F.col("r_n")
+    overlap = (F.col("l_d") + F.col("r_d") - F.floor((n + m) * k + 1e-9)) / 2
+    rest = F.least(F.col("l_d") - F.col("l_pos"), F.col("r_d") - F.col("r_pos")) + 1
+    near = left.join(right, ["leader", "token"]).where(
+        (F.col("l_cid") != F.col("r_cid")) & (F.col("linked") | (F.col("l_cid") < F.col("r_cid")))
+        & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (rest >= overlap)
+    )
+    near = stored(near.select(F.col("l_cid").alias("a"), F.col("r_cid").alias("b")).distinct(), "join-near")
+    side = rows.select("cid", "n", "delta", "leader")
+    both = near.join(side.select(F.col("cid").alias("a"), F.col("n").alias("an"), F.col("delta").alias("ad"), "leader"), "a")
+    both = both.join(side.select(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("delta").alias("bd")), "b")
+    differ = F.size("ad") + F.size("bd") - 2 * F.size(F.array_intersect("ad", "bd"))
+    both = both.where(links(F.col("an"), F.col("bn"), differ, percent))
+    return thinned(both.select("leader", F.pmod(F.xxhash64("a"), F.lit(8)).alias("salt"), "a", "b"), "leader", "salt")
 
 
 def near_copies(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
@@ -187,47 +276,55 @@ def near_copies(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFra
     Documents link if the Jaccard index of their shingle sets is at least ``percent`` / 100; ``component_id`` is the smallest id
     reachable by links, and ``kept`` marks the row with that id (of several, one text).
 
-    Equal sets collapse to classes first. Classes that share an index key are candidates. Each class is first verified against
-    the smallest class of its keys that it shares most keys with; then all pairs that share a key and are not yet in one
-    component are verified. So no link between different texts is lost, and a group of copies never becomes all its pairs.
+    Equal sets collapse to classes first. Classes that share an index key are candidates. Each class is verified against its
+    leader (``leaders``); links between followers of one leader come from a join of their differences from it
+    (``followers_linked``); pairs with enough common keys, different leaders and not yet one component are verified one by one.
+    So no link between different texts is lost, and a group of copies never becomes all its pairs.
 
     Null and empty texts and those without words have size 0 and link with nothing. A null id is reached like any other,
     but never named; alone it has a null component. Repeated rows link with each other. Empty tables
     give an empty result. Columns other than ``doc_id, text`` are not looked at.
     """
-    prints = stored(fingerprints(docs, shingle, percent), "join-prints")
-    first = F.min(F.struct("doc_id", "row_key", "n", "sigs")).alias("first")
+    prints = stored(fingerprints(docs, shingle), "join-prints")
+    first = F.min(F.struct("doc_id", "row_key", "n")).alias("first")
     classes = prints.where("digest IS NOT NULL").groupBy("digest").agg(first, F.min("doc_id").alias("label"))
     classes = stored(
-        classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "label", "first.row_key", "first.n", "first.sigs"), "join-classes"
+        classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "label", "first.row_key", "first.n"), "join-classes"
     )
-    keys = classes.select("cid", "n", F.explode("sigs").alias("sig"))
-    met = keys.groupBy("sig").agg(F.min("cid").alias("least"), F.count(F.lit(1)).alias("f")).where("f > 1").drop("f")
+    keys = index_keys(class_texts(docs, classes), shingle, percent)
+    # rows of a text that is repeated under one id are one class; `lo < hi` tells two classes from one
+    met = keys.groupBy("sig").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least < most").drop("most")
+    met, _ = small_side(stored(met, "join-met"), SHARED_KEYS)
     shared = stored(keys.join(met, "sig"), "join-shared")
 
-    sizes = classes.select(F.col("cid").alias("least"), F.col("n").alias("least_n"))
-    counted = shared.where("cid <> least").groupBy("cid", "n", "least").agg(F.count(F.lit(1)).alias("f")).join(sizes, "least")
-
-    def bounded(n, m):
-        return (100 * F.least(n, m) >= percent * F.greatest(n, m))
-
-    best = counted.where(bounded(F.col("n"), F.col("least_n"))).groupBy("cid").agg(
-        F.max_by("least", F.struct("f", -F.col("least"))).alias("a")
-    )
-    pairs = stored(best.select("a", F.col("cid").alias("b")), "join-pairs")
-    links = stored(verified(docs, pairs, classes, shingle, percent), "join-links")
-    parts = components(links).select(F.col("node").alias("cid"), F.col("component").alias("part"))
-
-    tagged = shared.join(parts, "cid", "left").select("sig", "cid", "n", F.coalesce("part", "cid").alias("part"))
-    mixed = tagged.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("sig")
+    counted = shared.where("cid <> least").groupBy("cid", "least").agg(F.count(F.lit(1)).alias("f"), F.min("need").alias("need"))
+    counted = counted.where("f >= need")
+    led = leaders(counted)
+    judged = stored(verified(docs, led, classes, shingle, percent).dropDuplicates(["a", "b"]), "join-judged")
+    judged = judged.select(F.col("a").alias("leader"), F.col("b").alias("cid"), "linked", "delta")
+    found = judged.where("linked").select(F.col("leader").alias("a"), F.col("cid").alias("b"))
+    found = stored(found.unionByName(followers_linked(judged, classes, percent)), "join-links")
+
+    # A follower that links with its leader is already one with it, which spares most of the pairs below.
+    part = judged.where("linked").select("cid", F.col("leader").alias("part"))
+    tagged = shared.join(part, "cid", "left").join(led.select(F.col("b").alias("cid"), F.col("a").alias("leader")), "cid", "left")
+    tagged = tagged.select("sig", "cid", "n", "need", F.coalesce("part", "cid").alias("part"), F.coalesce("leader", "cid").alias("leader"))
+    mixed = tagged.groupBy("sig").agg(
+        F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("leader").alias("from"), F.max("leader").alias("to")
+    ).where("lo <> hi AND from <> to").select("sig")
     open_rows = stored(tagged.join(mixed, "sig"), "join-open")
-    left = open_rows.select("sig", F.col("cid").alias("a"), F.col("n").alias("an"), F.col("part").alias("ap"))
-    right = open_rows.select("sig", F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("part").alias("bp"))
-    rest = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("ap") != F.col("bp")) & bounded(F.col("an"), F.col("bn")))
-    rest = stored(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "join-rest")
-    more = stored(verified(docs, rest, classes, shingle, percent), "join-more")
-    if not more.isEmpty():
-        parts = components(links.unionByName(more)).select(F.col("node").alias("cid"), F.col("component").alias("part"))
+    left, right = (open_rows.select("sig", *[F.col(c).alias(f"{s}_{c}") for c in ("cid", "n", "need", "part", "leader")]) for s in "lr")
+    n, m = F.col("l_n"), F.col("r_n")
+    rest = left.join(right, "sig").where(
+        (F.col("l_cid") < F.col("r_cid")) & (F.col("l_part") != F.col("r_part")) & (F.col("l_leader") != F.col("r_leader"))
+        & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+    )
+    rest = rest.groupBy(F.col("l_cid").alias("a"), F.col("r_cid").alias("b")).agg(
+        F.count(F.lit(1)).alias("f"), F.min(F.greatest("l_need", "r_need")).alias("need")
+    )
+    rest = stored(rest.where("f >= need").select("a", "b"), "join-rest")
+    more = stored(verified(docs, rest, classes, shingle, percent).where("linked").select("a", "b").distinct(), "join-more")
+    parts = components(found.unionByName(more)).select(F.col("node").alias("cid"), F.col("component").alias("part"))
 
     of_class = classes.select("cid", "digest", "label").join(parts, "cid", "left").withColumn("part", F.coalesce("part", "cid"))
     lowest = of_class.groupBy("part").agg(F.min("label").alias("component_id"))
@@ -235,8 +332,8 @@ def near_copies(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFra
     rows = prints.select("doc_id", "row_key", "n", "digest").join(of_class, "digest", "left")
     rows = rows.withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     heads = rows.where(F.col("digest").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = heads.groupBy("component_id").agg(F.min("row_key").alias("head"))
-    out = rows.join(heads, same(rows, heads, "component_id"), "left").drop(heads["component_id"])
+    heads = heads.groupBy(F.col("component_id").alias("of")).agg(F.min("row_key").alias("head"))
+    out = rows.join(heads, F.col("component_id").eqNullSafe(F.col("of")), "left")
     kept = F.col("digest").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_key") == F.col("head")))
     return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), "component_id", F.coalesce(kept, F.lit(False)).alias("kept"))
 
