@@ -35,7 +35,7 @@ def occurrences(docs: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
     """``doc_id, text_key, start, len, wid``: where windows stand in texts.
 
     ``windows``: ``wid, w``, stored. All tokens of a window must be in the text, so one token is a
-    sufficient prefix: the rarest shingle by its count over all texts. Only prefix shingles are joined
+    sufficient prefix: the rarest shingle by the number of texts that hold it. Only prefix shingles are joined
     with the texts' shingles; the offset of the shingle in the window gives the one possible start
     (positional bound), the window must end within the text (length bound), and the words there are compared
     with the window's. Windows of fewer words than ``shingle`` are their own shingle.
@@ -56,13 +56,17 @@ def occurrences(docs: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
         tokens = tokens.unionByName(part)
     tokens = stored(tokens, "bench-tokens")
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words"))
-    here = F.concat(*[shingles(F.col("words"), n) for n in sizes])
+    row_key = F.xxhash64("doc_id", F.xxhash64("text"))
+
+    def here(words: Column) -> Column:
+        return F.concat(*[shingles(words, n) for n in sizes])
+
     known, _ = small_side(tokens.select("hash").distinct())
-    counts = (
-        rows.select(F.explode(F.transform(here, lambda s: s["hash"])).alias("hash"))
-        .join(known, "hash").groupBy("hash").count()
+    met = docs.select(row_key.alias("row_key"), words(F.col("text")).alias("words")).select(
+        "row_key", F.explode(F.transform(here(F.col("words")), lambda s: s["hash"])).alias("hash")
     )
+    met = stored(met.join(known, "hash").distinct(), "bench-met")
+    counts = met.groupBy("hash").count()
     rarity = stored(tokens.join(counts, "hash", "left"), "bench-rarity")
     rarest = F.min_by(F.struct("offset", "hash", "w"), F.struct(F.coalesce("count", F.lit(0)), "hash", "offset"))
     prefix = rarity.where(F.col("count") > 0).groupBy("wid").agg(rarest.alias("p"))
@@ -70,7 +74,11 @@ def occurrences(docs: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
     prefix = stored(prefix.join(complete, "wid", "left_semi").select("wid", "p.*"), "bench-prefix")
 
     prefix, broadcast = small_side(prefix, 100_000)
-    at = rows.select("doc_id", "text_key", "words", F.explode(here).alias("s"))
+    hit, fits = small_side(met.select("row_key").distinct())
+    rows = docs.select("doc_id", "text", row_key.alias("row_key"))
+    rows = rows.join(hit, "row_key", "left_semi") if fits else rows  # beyond that, texts would be shuffled for little
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words"))
+    at = rows.select("doc_id", "text_key", "words", F.explode(here(F.col("words"))).alias("s"))
     start, length = F.col("s.pos") - F.col("offset"), F.size("w")
     if broadcast:  # the words are only looked at where a prefix shingle was met, in the same stage
         met = at.join(prefix, F.col("s.hash") == F.col("hash"))
