@@ -1,15 +1,13 @@
-"""Embedding near-duplicates: sorted passes over concatenated random hashes, then exact blocks per component."""
+"""Embedding near-duplicates: every pair of vectors compared once, in tiles of two blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import Forest, stored
+from framewright.llm.common import small_side, stored, thinned
 from framewright.operators.dedupe import components
 from framewright.session import spread_by
 
@@ -21,124 +19,110 @@ def unit_vectors(vectors: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def pass_keys(vectors: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
-    """``dim, pass, key``: for every pass the signs of ``bits`` random projections, concatenated to one sort key."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes: dict[int, np.ndarray] = {}
-        weight = (1 << np.arange(bits - 1, -1, -1, dtype=np.int64)).astype(np.int64)
-        for batch in batches:
-            for dim, rows in batch.groupby("dim", sort=False):
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * bits))
-                x = unit_vectors(rows["embedding"])
-                signs = (x @ planes[dim] > 0).reshape(len(rows), passes, bits)
-                keys = signs @ weight
-                for p in range(passes):
-                    yield pd.DataFrame({
-                        "dim": rows["dim"], "pass": np.int32(p), "key": keys[:, p], "vec_id": rows["vec_id"], "embedding": rows["embedding"],
-                    })
-
-    kind = vectors.schema["embedding"].dataType.simpleString()
-    return vectors.mapInPandas(run, f"dim INT, pass INT, key LONG, vec_id LONG, embedding {kind}")
-
-
-def neighbour_links(keyed: DataFrame, window: int, threshold: float, parts: int) -> DataFrame:
-    """``a, b``: links that join parts not joined by earlier ones of the same task, over windows in sort order.
-
-    The rows are range-partitioned by (dimension, pass, key), so neighbours in the order are neighbours in a task; each is
-    compared with the ``window`` rows before it. A pair split by a task's border is left to the other passes.
-    """
+def tile_links(classes: DataFrame, threshold: float, block: int | None, window: int) -> DataFrame:
+    """``vec_id, linked, head``: per block pair and vector linked in it, the weight of the vectors it links with there and the
+    smallest id it is connected to there. Vectors without a link give no row.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest = Forest()
-        tail = None
-        for batch in batches:
-            for (dim, p), rows in batch.groupby(["dim", "pass"], sort=False):
-                ids, x = rows["vec_id"].to_numpy(), unit_vectors(rows["embedding"])
-                if tail is not None and tail[0] == (dim, p):
-                    old_ids, old = tail[1], tail[2]
-                    ids, x = np.concatenate([old_ids, ids]), np.concatenate([old, x])
-                    fresh = len(old_ids)
-                else:
-                    fresh = 0
-                pairs = []
-                for lo in range(fresh, len(ids), 256):
-                    hi, first = min(lo + 256, len(ids)), max(0, lo - window)
-                    sim = x[lo:hi] @ x[first:hi].T
-                    i, j = np.nonzero(sim >= threshold)
-                    i, j = i + lo, j + first
-                    near = (j < i) & (i - j <= window)
-                    pairs += zip(ids[i[near]].tolist(), ids[j[near]].tolist())
-                kept = [(min(a, b), max(a, b)) for a, b in pairs if a != b and forest.add(a, b)]
-                yield pd.DataFrame(kept, columns=["a", "b"], dtype=np.int64)
-                tail = ((dim, p), ids[-window:], x[-window:])
-
-    ranged = keyed.repartitionByRange(parts, "dim", "pass", "key", "vec_id").sortWithinPartitions("dim", "pass", "key", "vec_id")
-    return ranged.mapInPandas(run, "a LONG, b LONG").distinct()
-
-
-def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """``vec_id, linked``: for each member of a component the weight of all members it links with.
-
-    ``members``: ``vec_id, component, copies, embedding``. A component is cut into blocks, a task compares two of them and
-    returns sums, so neither a component nor its pairs are ever in one place.
+    ``classes``: ``vec_id, dim, copies, embedding``. All vectors of a length are dealt to blocks, and a task compares two of
+    them, so every pair is compared once. The product is in single precision; pairs closer to the threshold than its error
+    are compared again in double precision. By default a block has 16 MB of floats at most, and a length a dozen blocks at least
+    as soon as these hold 1,024 vectors.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    rows = members.join(sizes, "component").withColumn(
-        "mine", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    sizes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
+    most = F.lit(float(block)) if block else F.greatest(
+        F.lit(1.0), F.least(F.lit(float(1 << 22)) / F.col("dim"), F.greatest(F.lit(1024.0), F.col("n") / 12))
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select(
-        "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "vec_id", "copies", "embedding"
+    sizes, _ = small_side(stored(sizes.select("dim", F.ceil(F.col("n") / most).cast("int").alias("blocks")), "vec-blocks"))
+    rows = classes.join(sizes, "dim").withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "dim", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "vec_id", "copies", "embedding"
     )
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
+        dim, i, j = (int(k) for k in key)
         left = pdf[pdf["mine"] == i]
-        right = pdf[pdf["mine"] == j]
+        right = pdf[pdf["mine"] == j] if i != j else left
         if left.empty or right.empty:
-            return pd.DataFrame({"vec_id": [], "linked": []}).astype("int64")
-        x, y = unit_vectors(left["embedding"]), unit_vectors(right["embedding"])
-        wl, wr = left["copies"].to_numpy(), right["copies"].to_numpy()
-        to_left, to_right = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-        for lo in range(0, len(x), 512):
-            near = x[lo : lo + 512] @ y.T >= threshold
-            if i == j:
-                near[np.arange(len(near)), np.arange(lo, lo + len(near))] = False
-            to_left[lo : lo + 512] = near @ wr
-            to_right += near.T @ wl[lo : lo + 512]
-        if i == j:
-            return pd.DataFrame({"vec_id": left["vec_id"].to_numpy(), "linked": to_left})
-        return pd.DataFrame({
-            "vec_id": np.concatenate([left["vec_id"].to_numpy(), right["vec_id"].to_numpy()]), "linked": np.concatenate([to_left, to_right]),
-        })
-
-    tiles = spread_by(rows, "component", "i", "j").groupBy("component", "i", "j").applyInPandas(compare, "vec_id LONG, linked LONG")
-    return tiles.groupBy("vec_id").agg(F.sum("linked").alias("linked"))
+            return pd.DataFrame({"vec_id": [], "linked": [], "head": []}).astype("int64")
+        x = unit_vectors(left["embedding"])
+        y = unit_vectors(right["embedding"]) if i != j else x
+        shift = len(x) if i != j else 0
+        nodes = left if i == j else pd.concat([left, right])
+        ids, copies = nodes["vec_id"].to_numpy(), nodes["copies"].to_numpy()
+        linked, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        low, low_t = x.astype(np.float32), np.ascontiguousarray(y.astype(np.float32).T)
+        margin = (dim + 8) * 2.0**-23
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo in range(0, len(x), window):
+            hi = min(lo + window, len(x))
+            for first in range(lo if i == j else 0, len(y), 4096):
+                last = min(first + 4096, len(y))
+                sim = low[lo:hi] @ low_t[:, first:last]
+                at = np.flatnonzero(sim >= np.float32(threshold - margin))
+                if not len(at):
+                    continue
+                a, b = lo + at // (last - first), first + at % (last - first)
+                sure = sim.ravel()[at] >= threshold + margin
+                if i == j:
+                    above = b > a
+                    a, b, sure = a[above], b[above], sure[above]
+                doubt = np.flatnonzero(~sure)
+                for k in range(0, len(doubt), 16_384):
+                    some = doubt[k : k + 16_384]
+                    sure[some] = np.einsum("ij,ij->i", x[a[some]], y[b[some]]) >= threshold
+                a, b = a[sure], b[sure] + shift
+                if not len(a):
+                    continue
+                linked[lo:hi] += np.bincount(a - lo, copies[b], hi - lo).astype(np.int64)
+                linked[first + shift : last + shift] += np.bincount(b - first - shift, copies[a], last - first).astype(np.int64)
+                apart = label[a] != label[b]
+                if apart.any():
+                    waiting.append((a[apart], b[apart]))
+                if sum(len(w[0]) for w in waiting) > 100_000:
+                    label = united(label, waiting)
+                    waiting.clear()
+        label = united(label, waiting)
+        heads = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(heads, label, ids)
+        return pd.DataFrame({"vec_id": ids, "linked": linked, "head": heads[label]})[linked > 0]
+
+    return spread_by(rows, "dim", "i", "j").groupBy("dim", "i", "j").applyInPandas(compare, "vec_id LONG, linked LONG, head LONG")
+
+
+def united(label: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The labels after the parts of linked places are joined; a part's label is its first place."""
+    if not links:
+        return label
+    a, b = (np.concatenate(side) for side in zip(*links))
+    while True:
+        p, q = label[a], label[b]
+        apart = p != q
+        if not apart.any():
+            return label
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        up = np.arange(len(label))
+        np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(over := up[up], up):
+            up = over
+        label = up[label]
 
 
 def near_duplicates(
     embeddings: DataFrame,
     threshold: float = 0.95,
-    passes: int = 24,
-    bits: int = 48,
-    window: int = 48,
-    block: int = 1024,
-    seed: int = 11,
+    block: int | None = None,
+    window: int = 256,
 ) -> DataFrame:
     """One row per vector row: ``vec_id, n_links, component_id, kept``.
 
-    Equal vectors collapse first. Each pass sorts all vectors by its own random hashes and verifies neighbours within
-    ``window`` by the exact cosine in double precision; links of all passes are united to components. All links inside
-    a component are then counted in blocks, so a group larger than a window loses none. A pair is missed only if no
-    pass and no chain of links brings it together.
+    Equal vectors collapse first. The rest is cut into blocks and every pair of vectors is compared in the tile of its two
+    blocks, ``window`` rows at once, so no link is lost whatever the vectors look like. Each tile returns sums of links and the
+    parts it connects, never pairs; the parts of all tiles are united to components.
 
     Null and zero vectors and those with null or non-finite components link with nothing. Vectors of different length
     do not link. Repeated ids with different vectors stay separate rows of one vertex; a null id links with nothing.
     An empty table gives an empty result. Columns other than ``vec_id, embedding`` are not looked at.
     """
-    spark = embeddings.sparkSession
     # Floats stay floats while they are moved; every comparison is in double precision.
     kind = "float" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
@@ -152,12 +136,11 @@ def near_duplicates(
     classes = stored(classes.select(
         "same", F.monotonically_increasing_id().alias("vec_id"), "head", "copies", "embedding", F.size("embedding").alias("dim")
     ), "vec-classes")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = pass_keys(classes.select("vec_id", "dim", "embedding"), passes, bits, seed)
-    links = stored(neighbour_links(keyed, window, threshold, 2 * width), "vec-links")
-    found = components(links).select(F.col("node").alias("vec_id"), "component")
-    members = stored(classes.join(found, "vec_id").select("vec_id", "component", "copies", "head", "embedding"), "vec-members")
-    linked = count_links(members.drop("head"), threshold, block)
+    tiles = stored(tile_links(classes.drop("same", "head"), threshold, block, window), "vec-tiles")
+    links = tiles.where("head < vec_id").select(F.col("head").alias("a"), F.col("vec_id").alias("b")).distinct()
+    found = components(thinned(links, "a")).select(F.col("node").alias("vec_id"), "component")
+    members = stored(classes.join(found, "vec_id").select("vec_id", "component", "head"), "vec-members")
+    linked = tiles.groupBy("vec_id").agg(F.sum("linked").alias("linked"))
     lowest = members.groupBy("component").agg(F.min("head").alias("component_id"))
     of_class = members.select("vec_id", "component").join(lowest, "component").join(linked, "vec_id", "left").select(
         "vec_id", "component_id", "linked"

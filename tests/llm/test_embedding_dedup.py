@@ -71,3 +71,31 @@ def test_recall_at_the_threshold(spark):
     rows += [(1000 + i, rng.standard_normal(64).tolist()) for i in range(1500)]
     got = ed.near_duplicates(frame(spark, rows)).agg(F.sum("n_links")).first()[0]
     assert got >= 0.98 * 800
+
+
+def test_no_pair_is_lost_in_a_dense_group(spark):
+    """Pairs just above the threshold among strangers that share a direction, so that no sign of a projection splits them."""
+    rng = np.random.default_rng(4)
+    near, strangers, dim = 200, 5600, 64
+    common = rng.standard_normal(dim)
+    common /= np.linalg.norm(common)
+
+    def away(n):
+        v = rng.standard_normal((n, dim))
+        v -= (v @ common)[:, None] * common
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def turned(v):  # mutual cosine about 0.8
+        return (0.8**0.5 * common + 0.2**0.5 * v).astype(np.float32)
+
+    one, other = away(near), away(near)
+    other -= (one * other).sum(axis=1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    c = rng.uniform(0.76, 0.8, (near, 1))  # cosine 0.952 to 0.96
+    x = np.concatenate([turned(one), turned(c * one + (1 - c * c) ** 0.5 * other), turned(away(strangers))])
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95).sum(axis=1) - 1
+    assert links[: 2 * near].min() >= 1
+    order = rng.permutation(len(x))
+    got = ed.near_duplicates(frame(spark, [(int(k), x[i].tolist()) for k, i in enumerate(order)])).toPandas().set_index("vec_id")
+    assert (got.loc[np.arange(len(x)), "n_links"].to_numpy() == links[order]).all()
