@@ -1,3 +1,5 @@
+from pathlib import Path
+
 from framewright.llm import licenses
 
 TEXTS = dict(licenses.KNOWN[:5])
@@ -35,3 +37,21 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a\nReleased under the MIT License.")] * 3 + [(1, "b")], "doc_id LONG, text STRING")
     assert sorted(r["n_notices"] for r in licenses.scan(docs).collect()) == [0, 1, 1, 1]
     assert licenses.scan(docs.where("false")).count() == 0
+
+
+def test_files_as_found(spark):
+    """Titles, bullets, wraps before the word copyright, and long texts."""
+    mit, isc, bsd = TEXTS["MIT"], TEXTS["ISC"], TEXTS["BSD-3-Clause"]
+    texts = [
+        "MIT License\n\nCopyright (c) 2020 A\n\n" + mit, "The MIT License (MIT)\nCopyright 2020 A\n" + mit.replace("copyright notice", "\ncopyright notice"),
+        isc.replace("copyright notice", "\ncopyright notice"), "BSD 3-Clause License\n\nCopyright: A B\n" + bsd.replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS"),
+        bsd.replace(" 1. ", "\n* ").replace(" 2. ", "\n* ").replace(" 3. ", "\n* ").replace("copyright holder ", "copyright\nowner "),
+    ]
+    want = ["MIT", "MIT", "ISC", "BSD-3-Clause", "BSD-3-Clause"]
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0")):
+        path = Path("/usr/share/common-licenses") / file
+        if path.exists():
+            text = path.read_text()
+            texts += [text, " ".join(text.split("\n")) if "(c)" not in text.lower() and "Copyright" not in text else text]
+            want += [name, name]
+    assert [r["license"] for r in scan(spark, texts)] == want
