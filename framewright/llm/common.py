@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.session import scratch_path
@@ -50,6 +50,27 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return on
 
 
+def in_order(df: DataFrame, keys: list[str], order: list[Column], label: str) -> DataFrame:
+    """Stored ``df`` with ``pos``, the place of a row (from 0) among those of its ``keys`` by ``order``, and ``n``, their number.
+
+    Rows are cut into ranges of keys and order and sorted there; a range then only needs the counts of the ranges before
+    it. ``keys`` must not be null. Rows that tie are told apart by their place in the input, so that a hot value is cut too.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(k) for k in keys], *order, F.col("_tie")]
+    ranges = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    rows = stored(ranges.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), label)
+    part, at = F.shiftright("_at", 33), F.col("_at") % (1 << 33)
+    rows = rows.withColumn("_part", part).withColumn("_at", at)
+    counts = rows.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))  # a row for each range
+    before = F.sum("_rows").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = counts.select(*keys, "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_rows").over(whole).alias("n"))
+    side, _ = small_side(stored(shifts, f"{label}-shifts"))
+    return rows.join(side, [*keys, "_part"]).withColumn("pos", F.col("_shift") + F.col("_at")).drop("_shift", "_at", "_part")
+
+
 class Forest:
     """Union-find over ids; ``add`` tells whether a link joins two parts."""
 

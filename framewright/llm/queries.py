@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm import (
-    decontaminate, embedding_dedup, html_extract, licenses, mixing, ngram_join, secrets, toxicity, training_order, url_filter,
+    decontaminate, embedding_dedup, html_extract, importance, licenses, merkle, mixing, ngram_join, perplexity, secrets, toxicity,
+    training_order, url_filter,
 )
 from framewright.llm.common import table
 
@@ -170,3 +171,110 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ngram_join.near_copies(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op11_quality_rules")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = perplexity.judge(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: CRC-32 by its table of 256 remainders, made from the polynomial.
+_CRC_TABLE = r"""
+crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) bytes(i)
+  )
+)"""
+
+
+def _crc_sql(data: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a string; the table ``crc_table`` must be in the FROM clause."""
+    hexed = f"hex(encode({data}))"
+    numbers = f"list_transform(range(0, strlen({data})), lambda i: ('0x' || substr({hexed}, 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({numbers}, lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295)"
+
+
+def _field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR END"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FOLD_STEP = """
+  SELECT f.r, f.tree, f.lvl + 1, f.pos // 8, (f.n + 7) // 8,
+    sha256(string_agg(CASE WHEN u.pos = f.pos THEN f.folded ELSE u.digest END, '' ORDER BY u.pos)),
+    f.proof || coalesce(string_agg(CASE WHEN u.pos <> f.pos THEN u.digest END, '' ORDER BY u.pos), '')
+  FROM {fold} f JOIN {up} u ON u.tree = f.tree AND u.lvl = f.lvl AND u.pos // 8 = f.pos // 8
+  WHERE f.n > 1 GROUP BY f.r, f.tree, f.lvl, f.pos, f.n, f.folded, f.proof
+"""
+_UP_STEP = """
+  SELECT tree, lvl + 1, pos // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' ORDER BY pos)) FROM {up} WHERE n > 1 GROUP BY tree, lvl, pos // 8
+"""
+_MANIFEST_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE.strip()}, leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('1' || lang, '0') AS tree, {_leaf_sql("text")} AS leaf,
+    CASE WHEN {_crc_sql("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf_sql(_LOWER)} END AS tampered
+  FROM documents, crc_table
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), up(tree, lvl, pos, n, digest) AS (
+  SELECT tree, 0, pos, n, leaf FROM placed UNION ALL {_UP_STEP.format(up="up")}
+), tops AS (
+  SELECT tree AS name, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+), above(tree, lvl, pos, n, digest) AS (
+  SELECT '', 0, pos, n, digest FROM tops UNION ALL {_UP_STEP.format(up="above")}
+), fold(r, tree, lvl, pos, n, folded, proof) AS (
+  SELECT r, tree, 0, pos, n, coalesce(tampered, leaf), '' FROM placed UNION ALL {_FOLD_STEP.format(fold="fold", up="up")}
+), rest(r, tree, lvl, pos, n, folded, proof) AS (
+  SELECT f.r, '', 0, t.pos, t.n, f.folded, f.proof FROM fold f JOIN tops t ON f.tree = t.name WHERE f.n = 1
+  UNION ALL {_FOLD_STEP.format(fold="rest", up="above")}
+)
+SELECT p.doc_id, p.leaf, t.digest AS subroot, a.digest AS root, sha256(e.proof) AS proof_sha256, e.folded AS folded_root, e.folded = a.digest AS verified
+FROM placed p JOIN tops t ON p.tree = t.name JOIN rest e ON p.r = e.r AND e.n = 1 JOIN above a ON a.n = 1
+"""
+
+
+@query("op12_merkle_manifest", _MANIFEST_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+_RESAMPLE_SQL = rf"""
+WITH {_CRC_TABLE.strip()}, docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents
+), tokens AS (
+  SELECT r, unnest(w) AS word FROM docs UNION ALL SELECT NULL, unnest({_WORDS}) FROM benchmark
+), vocabulary AS (
+  SELECT word, {_crc_sql("word")} % 10000 AS bucket FROM (SELECT DISTINCT word FROM tokens), crc_table
+), placed AS (
+  SELECT r, bucket FROM tokens JOIN vocabulary USING (word)
+), totals AS (
+  SELECT count(r) AS s, count(*) - count(r) AS t FROM placed
+), gains AS (
+  SELECT bucket, floor(1000 * ln((count(*) - count(r) + 1)::DOUBLE * (any_value(totals.s) + 10000)::DOUBLE
+      / ((count(r) + 1)::DOUBLE * (any_value(totals.t) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM placed, totals GROUP BY bucket
+), weights AS (
+  SELECT r, count(*) AS n, sum(gain) AS total FROM placed JOIN gains USING (bucket) WHERE r IS NOT NULL GROUP BY r
+), scored AS (
+  SELECT d.doc_id, len(d.w)::BIGINT AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+    ('0x' || substr(sha256('2024:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE AS h
+  FROM docs d LEFT JOIN weights USING (r)
+), final AS (
+  SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS place,
+    count(*) OVER (PARTITION BY n_features >= 20) AS n
+  FROM final
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= n * 10 // 100 THEN place END AS rank FROM ranked
+"""
+
+
+@query("op13_importance_resampling", _RESAMPLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
