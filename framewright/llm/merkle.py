@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from framewright.llm.common import in_order, lower_ascii, small_side, stored
 
 ARITY = 8
-#: Levels of the tree that one group covers, hence ARITY ** DEPTH nodes a group.
+#: Levels of the tree that one group covers; a group has up to ARITY ** DEPTH nodes.
 DEPTH = 4
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 _PATH = "ARRAY<STRUCT<left: STRING, right: STRING>>"
@@ -71,60 +71,60 @@ def fold(node: bytes, path: list[tuple]) -> bytes:
     return node
 
 
-def _tree(nodes: pd.DataFrame, digest: str) -> Tree:
+def _tree(nodes: pd.DataFrame, depth: int) -> Tree:
     """Tree of one group; if its tree has several groups, all of them have the same depth."""
-    several = nodes["n"].iloc[0] > ARITY**DEPTH
-    return Tree([d.encode() for d in nodes[digest]], DEPTH if several else None)
+    several = nodes["n"].iloc[0] > ARITY**depth
+    return Tree([d.encode() for d in nodes["digest"]], depth if several else None)
 
 
-def _grouped(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("group", F.floor(F.col("pos") / ARITY**DEPTH))
+def _grouped(nodes: DataFrame, depth: int) -> DataFrame:
+    return nodes.withColumn("group", F.expr(f"pos div {ARITY**depth}"))
 
 
-def roots(nodes: DataFrame) -> DataFrame:
+def roots(nodes: DataFrame, depth: int) -> DataFrame:
     """``tree, pos, n, digest`` of the groups' roots, from ``tree, pos, n, digest``."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos")
         row = part.iloc[0]
-        top = _tree(part, "digest").root.decode()
-        return pd.DataFrame({"tree": [row["tree"]], "pos": [row["group"]], "n": [-(-row["n"] // ARITY**DEPTH)], "digest": [top]})
+        top = _tree(part, depth).root.decode()
+        return pd.DataFrame({"tree": [row["tree"]], "pos": [row["group"]], "n": [-(-row["n"] // ARITY**depth)], "digest": [top]})
 
-    grouped = _grouped(nodes.select("tree", "pos", "n", "digest")).groupBy("tree", "group")
+    grouped = _grouped(nodes.select("tree", "pos", "n", "digest"), depth).groupBy("tree", "group")
     return grouped.applyInPandas(run, "tree STRING, pos LONG, n LONG, digest STRING")
 
 
-def climbed(nodes: DataFrame) -> list[DataFrame]:
+def climbed(nodes: DataFrame, depth: int) -> list[DataFrame]:
     """The nodes, their groups' roots, and so on until every tree has one node; each step is a few thousandths of the last."""
     steps = [nodes]
     while True:
-        steps.append(stored(roots(steps[-1]), "manifest-roots"))
+        steps.append(stored(roots(steps[-1], depth), "manifest-roots"))
         if (steps[-1].agg(F.max("n")).first()[0] or 0) <= 1:
             return steps
 
 
-def descended(steps: list[DataFrame], above: DataFrame) -> DataFrame:
+def descended(steps: list[DataFrame], above: DataFrame, depth: int) -> DataFrame:
     """``tree, pos, path`` of the nodes of the first step; ``above`` has those of the last."""
 
     def run(part: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos")
-        tree = _tree(part, "digest")
+        tree = _tree(part, depth)
         rest = [(p["left"], p["right"]) for p in top["path"].iloc[0]]
         paths = [[(left.decode(), right.decode()) for _, left, right in tree.path(i)] + rest for i in range(len(part))]
         return pd.DataFrame({"tree": part["tree"].to_numpy(), "pos": part["pos"].to_numpy(), "path": paths})
 
     for nodes in reversed(steps[:-1]):
-        left = _grouped(nodes.select("tree", "pos", "n", "digest")).groupBy("tree", "group")
+        left = _grouped(nodes.select("tree", "pos", "n", "digest"), depth).groupBy("tree", "group")
         right = above.withColumnRenamed("pos", "group").groupBy("tree", "group")
         above = stored(left.cogroup(right).applyInPandas(run, f"tree STRING, pos LONG, path {_PATH}"), "manifest-paths")
     return above
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified`` of every row; see ``prove``.
 
     Leaves of a language ascend by id (null first, ties by digest, equal rows in any order); null is a language. A tree is cut
-    into groups of ``ARITY ** DEPTH`` nodes, whose roots are nodes of the next step, so no task sees more than a group and
+    into groups of ``ARITY ** depth`` nodes, whose roots are nodes of the next step, so no task sees more than a group and
     a hot language is as many groups as its rows need. Null and empty fields have different digests. Very long texts are
     hashed where they are read and do not travel. An empty table gives no rows. Columns outside ``LEAF`` are not looked at.
     """
@@ -135,32 +135,32 @@ def manifest(docs: DataFrame) -> DataFrame:
         leaf_digest().alias("digest"), F.when(tampered, leaf_digest(text=text)).alias("tampered"),
     )
     leaves = in_order(stored(rows, "manifest-leaves"), ["tree"], [F.col("doc_id").asc_nulls_first(), F.col("digest")], "manifest-order")
-    return prove(leaves).select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "leaf", "subroot", "root",
+    return prove(leaves, depth).select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "leaf", "subroot", "root",
                                 "proof_sha256", "folded_root", "verified")
 
 
-def prove(leaves: DataFrame) -> DataFrame:
+def prove(leaves: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Proof and fold of every leaf: ``id, leaf, subroot, root, proof_sha256, folded_root, verified``.
 
     ``leaves``: ``id`` (string), ``tree`` (not null; trees follow each other by it), ``pos, n`` in the tree, ``digest``, and the digest ``tampered``
     or null. The proof is the digest of all siblings on the way to the root, the folded root what the tampered, else the own digest
     gives with these siblings.
     """
-    steps = climbed(leaves)
+    steps = climbed(leaves, depth)
     subroots = steps[-1].select("tree", F.col("digest").alias("subroot"))
     tops = in_order(subroots.withColumnsRenamed({"tree": "name", "subroot": "digest"}), [], [F.col("name")], "manifest-tops")
-    top_steps = climbed(tops.withColumn("tree", F.lit("")))
+    top_steps = climbed(tops.withColumn("tree", F.lit("")), depth)
     last = top_steps[-1]
     root = next(iter([r["digest"] for r in last.select("digest").take(1)]), "")
-    above = descended(top_steps, last.select("tree", "pos", F.array().cast(_PATH).alias("path")))
+    above = descended(top_steps, last.select("tree", "pos", F.array().cast(_PATH).alias("path")), depth)
     above = above.drop("tree").join(tops.select("pos", F.col("name").alias("tree")), "pos").select("tree", F.lit(0).cast("long").alias("pos"), "path")
-    above = descended(steps[1:], above)
+    above = descended(steps[1:], above, depth)
     side, _ = small_side(subroots)
     above = above.join(side, "tree").withColumnRenamed("pos", "group")
 
     def run(part: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pos")
-        tree = _tree(part, "digest")
+        tree = _tree(part, depth)
         rest = resumed([(p["left"], p["right"]) for p in top["path"].iloc[0]])
         beyond = b"".join(left + right for _, left, right in rest)
         proofs, folded, known = [], [], {}
@@ -178,7 +178,7 @@ def prove(leaves: DataFrame) -> DataFrame:
             "proof_sha256": proofs, "folded_root": folded, "verified": [f == root for f in folded],
         })
 
-    left = _grouped(leaves.select("id", "tree", "pos", "n", "digest", "tampered")).groupBy("tree", "group")
+    left = _grouped(leaves.select("id", "tree", "pos", "n", "digest", "tampered"), depth).groupBy("tree", "group")
     return left.cogroup(above.groupBy("tree", "group")).applyInPandas(
         run, "id STRING, leaf STRING, subroot STRING, root STRING, proof_sha256 STRING, folded_root STRING, verified BOOLEAN"
     )

@@ -409,7 +409,7 @@ def bands(scored: DataFrame, below: float, above: float, least: float) -> DataFr
 
 
 def judge(
-    docs: DataFrame, below: float = 12.0, above: float = 12.0, least: float = 0.01, order: int = ORDER, model_bytes: int = MODEL_BYTES
+    docs: DataFrame, below: float = 6.0, above: float = 5.0, least: float = 0.01, order: int = ORDER, model_bytes: int = MODEL_BYTES
 ) -> DataFrame:
     """Every row's ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, entropy, kept``.
 
