@@ -71,6 +71,11 @@ def in_order(df: DataFrame, keys: list[str], order: list[Column], label: str) ->
     return rows.join(side, [*keys, "_part"]).withColumn("pos", F.col("_shift") + F.col("_at")).drop("_shift", "_at", "_part")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as ``row``, whatever their names."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")
+
+
 class Forest:
     """Union-find over ids; ``add`` tells whether a link joins two parts."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import lower_ascii, small_side, stored
+from framewright.llm.common import lower_ascii, small_side, stored, whole_row
 
 #: ASCII letters and digits, and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -137,6 +137,6 @@ def clean_documents(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not contaminated, all columns kept."""
     bad = stored(judged.where("contaminated").select(F.xxhash64("doc_id", "text_key").alias("key")).distinct(), "bench-bad")
     bad, _ = small_side(bad)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("text_key"), "doc_id")
+    rows = docs.select(whole_row(docs), F.xxhash64("text").alias("text_key"), "doc_id")
     rows = rows.select("row", F.xxhash64("doc_id", "text_key").alias("key"))
     return rows.join(bad, "key", "left_anti").select("row.*")

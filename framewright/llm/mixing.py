@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import same, stored
+from framewright.llm.common import same, stored, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets of the sampling order within a source. One bucket is ranked by one task.
@@ -132,7 +132,7 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     key = F.xxhash64("doc_id", "text_key").alias("key")
     share = F.struct(F.col("taken"), "size", "epochs", "part")
     shares = mixed.groupBy(key).agg(F.sort_array(F.collect_list(share), asc=False).alias("shares"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("text_key"), "doc_id")
+    rows = docs.select(whole_row(docs), F.xxhash64("text").alias("text_key"), "doc_id")
     rows = rows.select("row", key).withColumn("no", F.row_number().over(Window.partitionBy("key").orderBy("key")))
     both = rows.join(shares, "key").withColumn("share", F.element_at("shares", F.col("no")))
     size, epochs, part = (F.col(f"share.{x}") for x in ("size", "epochs", "part"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import small_side, stored, thinned
+from framewright.llm.common import small_side, stored, thinned, whole_row
 from framewright.operators.dedupe import components
 
 #: Cost model of the allocation: documents of a size band that meet in one index, and the chance that a shingle of one also
@@ -344,7 +344,7 @@ def one_of_each(docs: DataFrame, judged: DataFrame) -> DataFrame:
     gone, _ = small_side(stored(judged.where(~F.col("kept")).select("row_key").distinct(), "join-gone"))
     twice = judged.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy("row_key").count().where("count > 1").select("row_key")
     twice, _ = small_side(stored(twice, "join-twice"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("row_key"))
+    rows = docs.select(whole_row(docs), F.xxhash64("doc_id", "text").alias("row_key"))
     rows = rows.join(gone, "row_key", "left_anti")
     single = rows.join(twice, "row_key", "left_anti").select("row.*")
     repeated = rows.join(twice, "row_key").groupBy("row_key").agg(F.first("row").alias("row")).select("row.*")

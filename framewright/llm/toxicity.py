@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.common import small_side, stored
+from framewright.llm.common import small_side, stored, whole_row
 
 SIZES = (4, 5, 6)
-DIM = 1 << 18
+#: Bytes of text that are hashed together.
+SLICE = 250_000
 _FOLD = bytes(c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -25,21 +26,44 @@ class Model:
     bias: float
 
 
-def ngram_ids(texts: list[str | None], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hashed n-gram), each pair once, of those n-grams for which ``wanted`` is true.
+def _parts(texts: list[str | None], most: int) -> Iterator[tuple[int, bytes]]:
+    """(text number, folded bytes) with blanks around; a long text in parts that overlap by the longest n-gram less one."""
+    keep = max(SIZES) - 1
+    for i, text in enumerate(texts):
+        data = b"  " + (text or "").encode("utf-8", "surrogatepass").translate(_FOLD) + b"  "
+        for at in range(0, max(1, len(data) - keep), most):
+            yield i, data[at : at + most + keep]
 
-    Texts are UTF-8 bytes, ASCII letters in lower case and all other ASCII one blank; the texts of a batch are
-    hashed together, n-grams across two texts or with two blanks in a row are left out.
+
+def ngram_ids(texts: list[str | None], wanted: np.ndarray, most: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hashed n-gram), each pair once, of those n-grams for which ``wanted`` (of 2**bits places) is true.
+
+    Texts are UTF-8 bytes, ASCII letters in lower case and all other ASCII one blank; n-grams with two blanks in a row are left
+    out. About ``most`` bytes are hashed together, so memory does not depend on the length of a text.
     """
-    data = [b"  " + (t or "").encode("utf-8", "surrogatepass").translate(_FOLD) + b"  " for t in texts]
-    buf = np.frombuffer(b"".join(data), np.uint8)
-    ends = np.cumsum([len(d) for d in data])
+    ready, size, found = [], 0, []
+    for part in _parts(texts, most):
+        ready.append(part)
+        size += len(part[1])
+        if size >= most:
+            found.append(_hashed(ready, wanted))
+            ready, size = [], 0
+    found.append(_hashed(ready, wanted))
+    both = np.unique(np.concatenate(found))
+    return both // len(wanted), both % len(wanted)
+
+
+def _hashed(parts: list[tuple[int, bytes]], wanted: np.ndarray) -> np.ndarray:
+    """Distinct ``text number * len(wanted) + hash`` of some parts."""
+    bits = len(wanted).bit_length() - 1
+    buf = np.frombuffer(b"".join(d for _, d in parts), np.uint8)
+    owner, ends = np.array([i for i, _ in parts], dtype=np.int64), np.cumsum([len(d) for _, d in parts], dtype=np.int64)
     blank = buf == 32
-    pair = np.flatnonzero(blank[:-1] & blank[1:])
-    cut = np.zeros(len(buf) + 1, np.int32)  # pairs of blanks that start before a place
-    cut[pair + 1] = 1
+    cut = np.zeros(len(buf) + 1, np.int32)  # pairs of blanks, and ends of parts, that start before a place
+    cut[np.flatnonzero(blank[:-1] & blank[1:]) + 1] = 1
+    cut[ends] = 1
     cut = np.cumsum(cut, dtype=np.int32)
-    rows, ids = [], []
+    out = [np.empty(0, np.int64)]
     rolling = np.zeros(len(buf), np.uint32)
     for n in range(1, max(SIZES) + 1):
         k = len(buf) - n + 1
@@ -50,18 +74,14 @@ def ngram_ids(texts: list[str | None], wanted: np.ndarray) -> tuple[np.ndarray,
             continue
         h = rolling ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-        h = (h >> np.uint32(32 - 18)).astype(np.int32)
+        h >>= np.uint32(32 - bits)
         at = np.flatnonzero(wanted[h])
         at = at[cut[at] == cut[at + n - 1]]
-        rows.append(np.searchsorted(ends, at, side="right"))
-        ids.append(h[at])
-    if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    both = np.unique(np.concatenate(rows).astype(np.int64) * DIM + np.concatenate(ids))
-    return both // DIM, both % DIM
+        out.append(owner[np.searchsorted(ends, at, side="right")] * len(wanted) + h[at])
+    return np.unique(np.concatenate(out))
 
 
-def _slices(batch: pd.DataFrame, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _slices(batch: pd.DataFrame, most: int = SLICE) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch with at most about ``most`` characters, at least one row."""
     sizes = batch["text"].str.len().fillna(0).to_numpy()
     first, total = 0, 0.0
@@ -74,12 +94,14 @@ def _slices(batch: pd.DataFrame, most: int = 4_000_000) -> Iterator[tuple[int, i
         yield first, len(sizes)
 
 
-def fit_linear(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, scale: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse 0/1 features times ``scale``, classes weighted to even shares; Nesterov steps."""
+def fit_linear(
+    rows: np.ndarray, cols: np.ndarray, y: np.ndarray, scale: np.ndarray, l2: float, steps: int, times: np.ndarray | None = None
+) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse 0/1 features times ``scale``, a row counting ``times``, classes weighted to even shares; Nesterov steps."""
     n, d = len(y), len(scale)
     value = scale[cols]
-    share = max(y.mean(), 1e-9)
-    each = np.where(y == 1, 0.5 / share, 0.5 / max(1 - share, 1e-9)) / n
+    times = np.ones(n) if times is None else times
+    each = np.where(y == 1, 0.5 / times[y == 1].sum(), 0.5 / times[y != 1].sum()) * times
 
     def forward(w: np.ndarray) -> np.ndarray:
         return np.bincount(rows, weights=value * w[cols], minlength=n) + w[d]
@@ -104,48 +126,84 @@ def fit_linear(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, scale: np.ndar
     return w[:d], float(w[d])
 
 
+def calibration(
+    rows: np.ndarray, cols: np.ndarray, y: np.ndarray, scale: np.ndarray, l2: float, steps: int, times: np.ndarray, fold: np.ndarray
+) -> tuple[float, float]:
+    """Slope and shift of the logits by which rows left out of a fit are judged best; an optimistic fit gives them too flat logits.
+
+    Each ``fold`` (0, 1, ...) is scored by a fit on the others. No change if a fit lacks a class.
+    """
+    logits = np.zeros(len(y))
+    for f in np.unique(fold):
+        used = fold != f
+        if len(np.unique(y[used])) < 2:
+            return 1.0, 0.0
+        place, of = np.cumsum(used) - 1, used[rows]
+        w, bias = fit_linear(place[rows[of]], cols[of], y[used], scale, l2, steps, times[used])
+        logits[~used] = (np.bincount(rows, weights=(w * scale)[cols], minlength=len(y)) + bias)[~used]
+    each = np.where(y == 1, 0.5 / times[y == 1].sum(), 0.5 / times[y != 1].sum()) * times
+    x, line = np.stack([logits, np.ones(len(y))], axis=1), np.array([1.0, 0.0])
+
+    def loss(line: np.ndarray) -> float:
+        return float(each @ np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ line))) + 5e-5 * ((line - [1, 0]) ** 2).sum()
+
+    for _ in range(30):  # Newton steps, halved until they help; a little weight on the unchanged line
+        p = 1 / (1 + np.exp(-np.clip(x @ line, -500, 500)))
+        slope = x.T @ (each * (p - y)) + 1e-4 * (line - [1, 0])
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2), slope)
+        while np.abs(step).max() > 1e-6 and loss(line - step) > loss(line):
+            step = step / 2
+        line = line - step
+    return (float(line[0]), float(line[1])) if line[0] > 0 else (1.0, 0.0)
+
+
 def train(
-    texts: DataFrame, sample: int = 4_000, features: int = 4_000, alpha: float = 1.0, l2: float = 3e-4, steps: int = 400
+    texts: DataFrame, sample: int = 10_000, least_z: float = 3.0, alpha: float = 1.0, l2: float = 3e-4, steps: int = 300, bits: int = 20, folds: int = 4
 ) -> Model:
     """Model from ``text, toxic`` (0/1) rows.
 
-    The n-gram counts of both classes, hence the log-count ratios, are taken over all rows, each task sending its sums. The
-    ``features`` n-grams whose share differs most between the classes (by z-score) are kept and scaled by
-    their ratio. The linear weights are fitted on at most ``sample`` rows of a class, chosen by text hash; that bound is
-    the only sampling. With one class or none the score is constant: the share of toxic rows, 0 without rows.
+    The n-gram counts of both classes, hence the log-count ratios, are taken over all rows, each task sending its sums. N-grams
+    whose shares in the classes differ by ``least_z`` standard errors are kept, as many as there are, and scaled by their ratio: a few
+    rows of one class are enough for a rare one. The linear weights are fitted on at most ``sample`` different texts of a class, those of the smallest
+    hashes, each counting as often as it occurs; that bound is the only sampling. Logits are
+    calibrated on ``folds`` parts left out in turn (1: not). N-grams are hashed to ``bits`` bits. With one class or none the
+    score is constant: the share of toxic rows, 0 without rows.
     """
-    everything = np.ones(DIM, bool)
+    dim = 1 << bits
+    everything = np.ones(dim, bool)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, docs = np.zeros((2, DIM)), np.zeros(2)
+        sums, docs = np.zeros((2, dim), np.int32), np.zeros(2, np.int64)
         for batch in batches:
             for i, j in _slices(batch):
                 part = batch.iloc[i:j]
                 y = part["toxic"].to_numpy(dtype=np.int64)
                 rows, ids = ngram_ids(part["text"].tolist(), everything)
                 for c in (0, 1):
-                    sums[c] += np.bincount(ids[y[rows] == c], minlength=DIM)
+                    np.add.at(sums[c], ids[y[rows] == c], 1)
                     docs[c] += (y == c).sum()
         seen = np.flatnonzero(sums.any(axis=0))
         yield pd.DataFrame({"id": np.append(seen, -1), "neg": np.append(sums[0, seen], docs[0]), "pos": np.append(sums[1, seen], docs[1])})
 
     texts = texts.where(F.col("toxic").isin(0, 1)).select("text", F.col("toxic").cast("int").alias("toxic"))
-    counts = texts.mapInPandas(count, "id INT, neg DOUBLE, pos DOUBLE").groupBy("id").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    table = counts.toPandas()  # at most DIM + 1 rows
-    docs = table[table["id"] == -1]
-    n = (float(docs["neg"].sum()), float(docs["pos"].sum()))
+    counts = texts.mapInPandas(count, "id INT, neg LONG, pos LONG").groupBy("id").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = stored(counts, "toxic-counts")
+    n = next(((float(r["neg"]), float(r["pos"])) for r in counts.where("id = -1").take(1)), (0.0, 0.0))
+    share = n[1] / sum(n) if sum(n) else 0.0
+    constant = Model(np.zeros(dim, np.float32), float(np.log(max(share, 1e-12)) - np.log(max(1 - share, 1e-12))))
     if min(n) == 0:
-        share = n[1] / sum(n) if sum(n) else 0.0
-        return Model(np.zeros(DIM, np.float32), float(np.log(max(share, 1e-12)) - np.log(max(1 - share, 1e-12))))
-    table = table[table["id"] >= 0]
-    q, p = (table["neg"].to_numpy() + alpha) / (n[0] + 2 * alpha), (table["pos"].to_numpy() + alpha) / (n[1] + 2 * alpha)
-    both = (table["neg"].to_numpy() + table["pos"].to_numpy() + 2 * alpha) / (sum(n) + 4 * alpha)
-    z = (p - q) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    order = np.lexsort((table["id"].to_numpy(), -np.abs(z)))[:features]
-    ids, ratio = table["id"].to_numpy()[order], np.log(p / q)[order]
-    wanted = np.zeros(DIM, bool)
+        return constant
+    q, p = (F.col("neg") + alpha) / (n[0] + 2 * alpha), (F.col("pos") + alpha) / (n[1] + 2 * alpha)
+    both = (F.col("neg") + F.col("pos") + 2 * alpha) / (sum(n) + 4 * alpha)
+    z = (p - q) / F.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]) + 1e-12)
+    table = counts.where((F.col("id") >= 0) & (F.abs(z) >= least_z)).select("id", "neg", "pos").toPandas().sort_values("id")  # at most 2 ** bits rows
+    ids = table["id"].to_numpy()
+    if not len(ids):
+        return constant
+    ratio = np.log((table["pos"].to_numpy() + alpha) / (n[1] + 2 * alpha)) - np.log((table["neg"].to_numpy() + alpha) / (n[0] + 2 * alpha))
+    wanted = np.zeros(dim, bool)
     wanted[ids] = True
-    place = np.zeros(DIM, np.int64)
+    place = np.zeros(dim, np.int32)
     place[ids] = np.arange(len(ids))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,28 +212,28 @@ def train(
                 part = batch.iloc[i:j]
                 rows, found = ngram_ids(part["text"].tolist(), wanted)
                 lists = np.split(place[found], np.searchsorted(rows, np.arange(1, len(part))))
-                yield pd.DataFrame({"toxic": part["toxic"].to_numpy(), "ids": [x.astype(np.int32) for x in lists]})
-
-    chosen = [
-        texts.where(F.col("toxic") == c).withColumn("h", F.xxhash64(F.lit("fit"), "text"))
-        .where(F.pmod("h", F.lit(1 << 20)) < int(min(1.0, sample / n[c]) * (1 << 20) + 1)).select("text", "toxic")
-        for c in (0, 1)
-    ]
-    data = chosen[0].unionByName(chosen[1]).mapInPandas(pick, "toxic INT, ids ARRAY<INT>").toPandas()  # short lists, bounded rows
+                yield part[["toxic", "h", "times"]].assign(ids=[x.astype("<i4").tobytes() for x in lists])
+
+    def few(toxic: int) -> DataFrame:
+        h = F.xxhash64(F.lit("fit"), "text")
+        near = F.pmod(h, F.lit(1 << 20)) < int(min(1.0, 2 * sample / n[toxic]) * (1 << 20) + 1)
+        equal = texts.where((F.col("toxic") == toxic) & near).groupBy("toxic", "text").agg(F.count(F.lit(1)).alias("times"))
+        equal = equal.withColumn("h", F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1 << 20)) * (1 << 20) + F.pmod(F.hash("text"), F.lit(1 << 20)))
+        return equal.mapInPandas(pick, "toxic INT, h LONG, times LONG, ids BINARY").orderBy("h", "ids").limit(sample)
+
+    data = few(0).unionByName(few(1)).toPandas()  # short lists, bounded rows
     if data["toxic"].nunique() < 2:
-        share = n[1] / sum(n)
-        return Model(np.zeros(DIM, np.float32), float(np.log(share / (1 - share))))
-    data["key"] = [bytes(np.asarray(x, np.int32).tobytes()) for x in data["ids"]]
-    data = data.sort_values(["toxic", "key"], kind="stable")
-    lengths = data["ids"].map(len).to_numpy()
+        return constant
+    data = data.sort_values(["toxic", "h", "ids"], kind="stable")
+    lengths = data["ids"].map(len).to_numpy() // 4
     rows = np.repeat(np.arange(len(data), dtype=np.int32), lengths)
-    cols = np.frombuffer(b"".join(data["key"]), np.int32)
-    toxic = data["toxic"].to_numpy(dtype=float)
-    del data
-    w, bias = fit_linear(rows, cols, toxic, ratio, l2, steps)
-    weights = np.zeros(DIM, np.float32)
-    weights[ids] = w * ratio
-    return Model(weights, bias)
+    cols = np.frombuffer(b"".join(data["ids"]), "<i4")
+    y, times = data["toxic"].to_numpy(dtype=float), data["times"].to_numpy(dtype=float)
+    w, bias = fit_linear(rows, cols, y, ratio, l2, steps, times)
+    slope, shift = calibration(rows, cols, y, ratio, l2, steps, times, np.arange(len(y)) % folds) if folds > 1 else (1.0, 0.0)
+    weights = np.zeros(dim, np.float32)
+    weights[ids] = w * ratio * slope
+    return Model(weights, bias * slope + shift)
 
 
 def score_column(model: Model, text: Column) -> Column:
@@ -220,5 +278,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fit)
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fit) -> DataFrame:
     """Rows of ``docs`` that score below the threshold, all columns kept."""
     model = train(labelled(docs, labels), **fit)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), score_column(model, F.col("text")).alias("score"))
+    rows = docs.select(whole_row(docs), score_column(model, F.col("text")).alias("score"))
     return rows.where(F.col("score") < threshold).select("row.*")
