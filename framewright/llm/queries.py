@@ -68,24 +68,40 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: Words of licence terms that may follow "copyright" at the start of a line.
+_COPYRIGHT_TERMS = """
+notice notices holder holders owner owners owned license licence licenses licences law laws statement statements interest interests disclaimer
+disclaimers permission permissions right rights protection protections act acts treaty treaties condition conditions and or the on in of is are to for
+as with that this which information status material infringement applies
+"""
+
+
 def _license_sql() -> str:
     line = "lower(l)"
     for old, new in licenses.SPELLINGS:
         line = f"replace({line}, '{old}', '{new}')"
     canonical = rf"trim(regexp_replace({line}, '[^a-z0-9\x{{80}}-\x{{200F}}\x{{2040}}-\x{{10FFFF}}]+', ' ', 'g'))"
-    skip = licenses.COPYRIGHT_LINE.replace("'", "''")
+    opens, blank = "^[^0-9A-Za-z©]*", r"[\t\n\x0B\f\r ]"
+    named = rf"{opens}(©|all rights reserved|\(c\){blank}*(copyright|.*[0-9]{{4}})|copyright:?{blank}*(\(c\)|©|[0-9]{{4}}))"
+    holder = rf"{opens}copyright:?{blank}+[^\t\n\x0B\f\r ]"
+    terms = rf"{opens}copyright:?{blank}+({'|'.join(_COPYRIGHT_TERMS.split())})\b"
+    wrapped = "array_to_string(units, ' ')"
+    for old, new in licenses.SPELLINGS:
+        if " " in old:
+            wrapped = f"replace({wrapped}, '{old}', '{new}')"
     known: dict[str, str] = {}
-    for digest, name in licenses.known_digests():
+    for digest, name in [*licenses.known_digests(), *licenses.LONG_TEXTS]:
         known.setdefault(digest, name)
     values = ", ".join(f"('{d}', '{n}')" for d, n in known.items())
     return rf"""
 WITH known(digest, license) AS (VALUES {values}), numbered AS (
   SELECT row_number() OVER () AS r, doc_id, list_filter(list_transform(string_split(text, chr(10)),
-    lambda l: CASE WHEN regexp_matches(lower(l), '{skip}') THEN '' ELSE {canonical} END), lambda c: c <> '') AS units,
+    lambda l: CASE WHEN regexp_matches(lower(l), '{named}') OR regexp_matches(lower(l), '{holder}') AND NOT regexp_matches(lower(l), '{terms}')
+      THEN '' ELSE {canonical} END), lambda c: c <> '') AS units,
     len(string_split(text, chr(10))) AS n_lines
   FROM documents
 ), whole AS (
-  SELECT r, doc_id, n_lines, units, CASE WHEN units IS NOT NULL THEN sha256(array_to_string(units, ' ')) END AS digest FROM numbered
+  SELECT r, doc_id, n_lines, units, CASE WHEN units IS NOT NULL THEN sha256({wrapped}) END AS digest FROM numbered
 ), found AS (
   SELECT u.r, count(*) AS n_notices, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS notices
   FROM (SELECT r, unnest(units) AS line FROM whole WHERE n_lines > 1) u JOIN known k ON sha256(u.line) = k.digest GROUP BY u.r
