@@ -335,7 +335,8 @@ def write_voc(spark, sf):
 
 @query(
     "voc_split_scan",
-    """SELECT 'sup_' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS sample_id FROM supplier""",
+    """SELECT 'sup_' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS sample_id FROM supplier
+    WHERE s_acctbal > 0""",
 )
 def voc_split_scan(spark, sf):
     return _voc(spark, sf, "train").samples.select("sample_id")
