@@ -41,10 +41,12 @@ def groups(seed, sizes, dim=32, spread=0.12):
     return [(int(i), rows[j]) for i, j in enumerate(order)]
 
 
-@pytest.mark.parametrize("sizes, spread", [([1] * 60 + [2] * 20 + [9, 30], 0.12), ([150] + [1] * 40, 0.2)])
-def test_brute_force(spark, sizes, spread):
+@pytest.mark.parametrize("sizes, spread, more", [
+    ([1] * 60 + [2] * 20 + [9, 30], 0.12, {}), ([150] + [1] * 40, 0.2, {"rounds": 1}), ([1] * 60 + [2] * 20 + [9, 30], 0.12, {"rounds": 0}),
+])
+def test_brute_force(spark, sizes, spread, more):
     rows = groups(3, sizes, spread=spread)
-    got = sorted((tuple(r) for r in ed.near_duplicates(frame(spark, rows), window=8, block=32).collect()), key=str)
+    got = sorted((tuple(r) for r in ed.near_duplicates(frame(spark, rows), window=8, block=32, **more).collect()), key=str)
     assert got == brute(rows)
 
 
@@ -70,7 +72,29 @@ def test_recall_at_the_threshold(spark):
         rows += [(2 * i, a.tolist()), (2 * i + 1, (c * a + (1 - c * c) ** 0.5 * b).tolist())]
     rows += [(1000 + i, rng.standard_normal(64).tolist()) for i in range(1500)]
     got = ed.near_duplicates(frame(spark, rows)).agg(F.sum("n_links")).first()[0]
-    assert got >= 0.98 * 800
+    assert got >= 0.99 * 800
+
+
+def test_passes_find_the_links_themselves(spark):
+    """No exact blocks: what the windows alone find, and that the compared pairs do not grow with the square."""
+    rng = np.random.default_rng(2)
+    a = rng.standard_normal((3000, 64))
+    b = a[:600] + 0.3 * rng.standard_normal((600, 64))
+    x = np.concatenate([a, b]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {(i, i + 3000) for i in range(600) if u[i] @ u[i + 3000] >= 0.95}
+    classes = spark.createDataFrame([(i, 64, v.tolist()) for i, v in enumerate(x)], "vec_id LONG, dim INT, embedding ARRAY<FLOAT>")
+    links, left = ed.window_links(classes, 0.95, 32, 10, 8, 0.001, 11)
+    found = {(r["a"], r["b"]) for r in links.collect()}
+    assert len(want) > 300 and len(want & found) >= 0.99 * len(want)
+    assert left.count() < 60
+
+
+def test_chance_of_agreement():
+    rng = np.random.default_rng(1)
+    line, offset = rng.standard_normal(200_000), rng.uniform(0, 1.2, 200_000)
+    same = np.floor(offset / 1.2) == np.floor((0.3 * line + offset) / 1.2)
+    assert abs(same.mean() - ed.agreement(0.3, 1.2)) < 0.005
 
 
 def test_no_pair_is_lost_in_a_dense_group(spark):
