@@ -31,7 +31,7 @@ _BITS = 12
 # ---- n-grams of texts -------------------------------------------------------------------------------------------------
 
 
-def pieces(texts: list[str | None], order: int, most: int = 1 << 20) -> Iterator[list[tuple[int, str]]]:
+def pieces(texts: list[str | None], order: int, most: int = 1 << 19) -> Iterator[list[tuple[int, str]]]:
     """(text number, part of the padded text) in lists of about ``most`` characters; parts of a long text overlap by ``order - 1``."""
     ready, size = [], 0
     for row, text in enumerate(texts):
@@ -114,7 +114,7 @@ def _texts(part: pd.DataFrame) -> list[str | None]:
 
 
 def gram_counts(docs: DataFrame, order: int) -> DataFrame:
-    """``part, lang, gram, n`` of all texts; ``part`` is the split of the input. A task adds up slices of about a million characters."""
+    """``part, lang, gram, n`` of all texts; ``part`` is the split of the input. A task adds up slices of about half a million characters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = TaskContext.get().partitionId()
