@@ -1,8 +1,8 @@
 """Radius and nearest-neighbor searches in point clouds, and what builds on them.
 
-Space is cut into cubes; every point is a query in its own cube and a candidate in the cubes within
-a halo. A cube is one task unit; cubes above a bound are cut into tiles of query and candidate
-blocks. Candidate pairs live only as a small distance matrix inside a tile and never become rows.
+A cloud of up to a block of points is one task unit. Larger ones are cut into the leaves of a linear octree, with equal points as one
+weighted point; a task compares a leaf with the leaves in reach. Candidate pairs live only as a small distance matrix
+inside a task and never become rows.
 """
 
 from __future__ import annotations
@@ -11,169 +11,219 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.operators import octree
 from framewright.operators.cloud import XYZ
 from framewright.session import materialize, spread_by
 
-_CELL = ("ix", "iy", "iz")
 _POINT = "cloud_id BIGINT, point_idx BIGINT"
+_NEAR = f"{_POINT}, rank INT, dist DOUBLE, idx BIGINT, nx DOUBLE, ny DOUBLE, nz DOUBLE"
 
 
-def _tiles(points: DataFrame, queries: DataFrame, cell: float, halo: float, block: int) -> DataFrame:
-    """Rows ``cloud_id, cell, qb, cb, is_query, point_idx, x, y, z``."""
-    home = [F.floor(F.col(c) / cell).cast("bigint").alias(i) for c, i in zip(XYZ, _CELL)]
-    base = ["cloud_id", "point_idx", *XYZ]
-    q = queries.select(*base, *home)
-    c = points.select(*base)
-    for axis, i in zip(XYZ, _CELL):
-        low = F.floor((F.col(axis) - halo) / cell).cast("bigint")
-        high = F.floor((F.col(axis) + halo) / cell).cast("bigint")
-        c = c.withColumn(i, F.explode(F.sequence(low, high)))
-    key = ["cloud_id", *_CELL]
-    nq = q.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nq"))
-    nc = c.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nc"))
-    sizes = nq.join(nc, key)  # also drops cubes that hold no query
-    pick = F.xxhash64("point_idx")
-
-    def side(df: DataFrame, own: str, other: str, own_block: str, other_block: str, flag: bool):
-        return (
-            df.join(sizes, key)
-            .withColumn(own_block, F.pmod(pick, own).cast("int"))
-            .withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-            .select(*key, "qb", "cb", F.lit(flag).alias("is_query"), "point_idx", *XYZ)
-        )
+def _sq_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d = np.zeros((len(a), len(b)))
+    for k in range(3):
+        d += (a[:, k, None] - b[None, :, k]) ** 2
+    return d
 
-    return side(q, "nq", "nc", "qb", "cb", True).unionByName(side(c, "nc", "nq", "cb", "qb", False))
 
+def _by_size(points: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """Points of clouds of up to ``block`` points, and of the others if there are any."""
+    counts = points.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("_n"))
+    large = materialize(counts.where(F.col("_n") > block).select("cloud_id"))
+    if large.isEmpty():
+        return points, None
+    return points.join(large, "cloud_id", "left_anti"), points.join(large, "cloud_id", "left_semi")
 
-def _run(tiles: DataFrame, kernel: Callable, schema: str) -> DataFrame:
-    """Apply ``kernel(query_idx, query_xyz, cand_idx, cand_xyz) -> dict of columns`` per tile."""
-    cols = [f.strip().split()[0] for f in schema.split(", ")]
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        q, c = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
-        if q.empty or c.empty:
-            return pd.DataFrame(columns=cols)
-        parts = []
-        cx = c[list(XYZ)].to_numpy(np.float64)
-        ci = c["point_idx"].to_numpy()
-        rows = max(1, 1_000_000 // len(c))  # bound of the distance matrix
-        for s in range(0, len(q), rows):
-            part = q.iloc[s : s + rows]
-            qi = part["point_idx"].to_numpy()
-            out = kernel(qi, part[list(XYZ)].to_numpy(np.float64), ci, cx)
-            parts.append(pd.DataFrame({"cloud_id": key[0], "point_idx": qi, **out}))
-        return pd.concat(parts, ignore_index=True)[cols]
+def _alone(points: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """``kernel(idx, xyz) -> columns`` over whole small clouds."""
 
-    keys = ["cloud_id", *_CELL, "qb", "cb"]
-    return spread_by(tiles, *keys).groupBy(*keys).applyInPandas(one, schema)
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        out = kernel(part["point_idx"].to_numpy(), part[list(XYZ)].to_numpy(np.float64))
+        return pd.DataFrame({"cloud_id": key[0], **out})
 
+    return spread_by(points.select("cloud_id", "point_idx", *XYZ), "cloud_id").groupBy("cloud_id").applyInPandas(one, schema)
 
-def _sq_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = np.zeros((len(a), len(b)))
-    for k in range(3):
-        d += (a[:, k, None] - b[None, :, k]) ** 2
-    return d
 
+def _unpacked(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return (
+        np.frombuffer(row["xyz"], np.float64).reshape(-1, 3), np.frombuffer(row["lens"], np.int64), np.frombuffer(row["ids"], np.int64),
+        np.frombuffer(row["weights"], np.int64),
+    )
 
-def radius_counts(
-    points: DataFrame, radius: float, cell: float | None = None, block: int = 2048
-) -> DataFrame:
-    """``neighbors``: other points within ``radius`` of each point."""
-    if radius <= 0:
-        raise ValueError("radius must be positive")
-    cell = max(cell or 4 * radius, radius)
 
-    def kernel(qi, q, ci, c):
-        hit = _sq_dist(q, c) <= radius * radius
-        hit &= qi[:, None] != ci[None, :]
-        return {"n": hit.sum(axis=1)}
+def _together(leaves: DataFrame, pairs: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """``kernel(query leaf, iterator of partner leaves, chunks) -> columns`` over leaves and their partners."""
+    keys = ["cloud_id", "q", "chunk"]
+    rows = octree.meetings(pairs).join(leaves, ["cloud_id", "leaf"])
 
-    tiles = _tiles(points, points, cell, radius, block)
-    parts = _run(tiles, kernel, f"{_POINT}, n BIGINT")
-    return parts.groupBy("cloud_id", "point_idx").agg(F.sum("n").alias("neighbors"))
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        query = part[part["is_query"]].iloc[0]
+        partners = part[~part["is_query"]]
+        partners = partners.iloc[np.argsort(partners["leaf"].to_numpy() != query["leaf"], kind="stable")]  # its own first
+        out = kernel(query, (row for _, row in partners.iterrows()), query["chunks"])
+        return pd.DataFrame({"cloud_id": key[0], **out})
 
+    return spread_by(rows, *keys).groupBy(*keys).applyInPandas(one, schema)
 
-def radius_outliers(points: DataFrame, radius: float, min_neighbors: int, cell: float | None = None) -> DataFrame:
+
+def radius_counts(points: DataFrame, radius: float, block: int = 2048) -> DataFrame:
+    """``neighbors``: other points within ``radius`` of each point. Coordinates must be finite."""
+    if radius <= 0:
+        raise ValueError("radius must be positive")
+
+    def alone(idx: np.ndarray, xyz: np.ndarray) -> dict:
+        n = np.concatenate([(_sq_dist(xyz[s : s + 512], xyz) <= radius * radius).sum(axis=1) for s in range(0, len(xyz), 512)])
+        return {"point_idx": idx, "neighbors": n - 1}
+
+    small, large = _by_size(points, block)
+    out = _alone(small, alone, f"{_POINT}, neighbors BIGINT")
+    if large is None:
+        return out
+
+    def near(query: pd.Series, partners, chunks: int) -> dict:
+        xyz, _, ids, _ = _unpacked(query)
+        n = np.zeros(len(xyz), np.int64)
+        for row in partners:
+            other, _, _, weights = _unpacked(row)
+            for s in range(0, len(xyz), 512):
+                n[s : s + 512] += (_sq_dist(xyz[s : s + 512], other) <= radius * radius) @ weights
+        return {"head": ids, "n": n}
+
+    equal = large.groupBy("cloud_id", *XYZ).agg(F.array(F.min("point_idx")).alias("ids"), F.count(F.lit(1)).alias("weight"))
+    equal = materialize(equal)
+    leaves = materialize(octree.packed(octree.leaves(equal, block)))
+    pairs = octree.leaf_pairs(leaves.withColumn("reach", F.lit(float(radius))))
+    heads = _together(leaves, pairs, near, "cloud_id BIGINT, head BIGINT, n BIGINT").groupBy("cloud_id", "head").agg(F.sum("n").alias("n"))
+    places = equal.select("cloud_id", *XYZ, F.col("ids")[0].alias("head")).join(heads, ["cloud_id", "head"])
+    found = large.join(places, ["cloud_id", *XYZ]).select("cloud_id", "point_idx", (F.col("n") - 1).alias("neighbors"))
+    return out.unionByName(found)
+
+
+def radius_outliers(points: DataFrame, radius: float, min_neighbors: int) -> DataFrame:
     """Points with at least ``min_neighbors`` others in reach."""
-    keep = radius_counts(points, radius, cell).where(F.col("neighbors") >= min_neighbors)
+    keep = radius_counts(points, radius).where(F.col("neighbors") >= min_neighbors)
     return points.join(keep.select("cloud_id", "point_idx"), ["cloud_id", "point_idx"], "left_semi")
 
 
-def knn(
-    points: DataFrame, k: int, cell: float, block: int = 2048
-) -> DataFrame:
-    """``neighbors``: the k nearest other points as (dist, idx, x, y, z), nearest first, ties by
-    index; fewer only when the cloud has fewer.
+def _nearest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k smallest finite entries of each row, by value and id."""
+    take = min(k, d.shape[1])
+    kth = np.partition(d, take - 1, axis=1)[:, take - 1]
+    row, col = np.nonzero((d <= kth[:, None]) & (d < np.inf))
+    order = np.lexsort((ids[col], d[row, col], row))
+    row, col = row[order], col[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < take
+    return row[first], col[first]
+
+
+def _ranks(row: np.ndarray) -> np.ndarray:
+    return (np.arange(len(row)) - np.searchsorted(row, row)).astype(np.int32)
+
+
+def nearest(points: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """``cloud_id, point_idx, rank, dist, idx, nx, ny, nz``: the k nearest other points of each, ranked from 0, ties by index; fewer only when
+    the cloud has fewer. Coordinates must be finite.
 
-    A round is final for a query when its k-th distance does not reach the edge of the space seen.
-    The others go on with a doubled cube until the halo spans the cloud.
+    A leaf of a large cloud first finds k neighbors inside itself. That bounds how far each of its points must look, hence which
+    leaves it meets; one round is always enough. Of equal points only the first k + 1 can be anyone's neighbors.
     """
-    if k < 1 or cell <= 0:
-        raise ValueError("k and cell must be positive")
-    lists = "dist ARRAY<DOUBLE>, idx ARRAY<BIGINT>, nx ARRAY<DOUBLE>, ny ARRAY<DOUBLE>, nz ARRAY<DOUBLE>"
-    nb = F.transform(
-        F.arrays_zip("dist", "idx", "nx", "ny", "nz"),
-        lambda n: F.struct(n["dist"].alias("dist"), n["idx"].alias("idx"), n["nx"].alias("x"), n["ny"].alias("y"), n["nz"].alias("z")),
+    if k < 1:
+        raise ValueError("k must be positive")
+
+    def alone(idx: np.ndarray, xyz: np.ndarray) -> dict:
+        parts = []
+        for s in range(0, len(xyz), 512):
+            d = _sq_dist(xyz[s : s + 512], xyz)
+            d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
+            row, col = _nearest(d, idx, k)
+            parts.append((row + s, col, np.sqrt(d[row, col])))
+        row, col, dist = (np.concatenate(p) for p in zip(*parts))
+        return {"point_idx": idx[row], "rank": _ranks(row), "dist": dist, "idx": idx[col], **{f"n{c}": xyz[col, i] for i, c in enumerate(XYZ)}}
+
+    small, large = _by_size(points, block)
+    out = _alone(small, alone, _NEAR)
+    return out if large is None else out.unionByName(_nearest_large(large, k, block))
+
+
+def _nearest_large(points: DataFrame, k: int, block: int) -> DataFrame:
+    same = Window.partitionBy("cloud_id", *XYZ).orderBy("point_idx")
+    first = points.select("cloud_id", "point_idx", *XYZ).withColumn("_rn", F.row_number().over(same)).where(F.col("_rn") <= k + 1)
+    equal = first.groupBy("cloud_id", *XYZ).agg(F.sort_array(F.collect_list("point_idx")).alias("ids"))  # k + 1 at most
+    equal = materialize(equal.withColumn("weight", F.lit(1).cast("bigint")))
+    leaves = octree.packed(octree.leaves(equal, block))
+
+    def bound(batches):
+        for batch in batches:
+            reach = []
+            for _, row in batch.iterrows():
+                xyz, lens, _, _ = _unpacked(row)
+                if lens.sum() <= k:
+                    reach.append(np.full(len(xyz), np.inf))
+                    continue
+                other = np.repeat(xyz, lens, axis=0)
+                reach.append(np.concatenate([
+                    np.partition(_sq_dist(xyz[s : s + 256], other), k, axis=1)[:, k] for s in range(0, len(xyz), 256)
+                ]))
+            yield batch.assign(bound=[r.tobytes() for r in reach], reach=[float(np.sqrt(r.max())) for r in reach])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in leaves.schema)
+    leaves = materialize(leaves.mapInPandas(bound, f"{kinds}, bound BINARY, reach DOUBLE"))
+    pairs = octree.leaf_pairs(leaves)
+
+    def near(query: pd.Series, partners, chunks: int) -> dict:
+        xyz, _, own, _ = _unpacked(query)
+        heads = own[np.cumsum(np.append(0, np.frombuffer(query["lens"], np.int64)[:-1]))]
+        most = np.frombuffer(query["bound"], np.float64)
+        found = []
+        for row in partners:
+            other, lens, ids, _ = _unpacked(row)
+            other = np.repeat(other, lens, axis=0)
+            for s in range(0, len(xyz), 256):
+                d = _sq_dist(xyz[s : s + 256], other)
+                i, j = np.nonzero(d <= most[s : s + 256, None])
+                found.append((i + s, d[i, j], ids[j], other[j]))
+        i, d, ids, at = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((ids, d, i))
+        i, d, ids, at = i[order], d[order], ids[order], at[order]
+        first = _ranks(i) <= k
+        i, d, ids, at = i[first], d[first], ids[first], at[first]
+        return {"head": heads[i], "chunks": chunks, "dist": np.sqrt(d), "idx": ids, **{f"n{c}": at[:, n] for n, c in enumerate(XYZ)}}
+
+    rows = _together(leaves, pairs, near, "cloud_id BIGINT, head BIGINT, chunks INT, dist DOUBLE, idx BIGINT, nx DOUBLE, ny DOUBLE, nz DOUBLE")
+    rows = materialize(rows)
+    by = Window.partitionBy("cloud_id", "head").orderBy("dist", "idx")
+    once = rows.where("chunks = 1").drop("chunks")
+    several = rows.where("chunks > 1").withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= k + 1).select(*once.columns)
+    places = equal.select("cloud_id", *XYZ, F.col("ids")[0].alias("head"))
+    of_point = points.select("cloud_id", "point_idx", *XYZ).join(places, ["cloud_id", *XYZ]).select("cloud_id", "point_idx", "head")
+    all_ = of_point.join(once.unionByName(several), ["cloud_id", "head"]).where(F.col("idx") != F.col("point_idx"))
+    own = Window.partitionBy("cloud_id", "point_idx").orderBy("dist", "idx")
+    return all_.withColumn("rank", (F.row_number().over(own) - 1).cast("int")).where(F.col("rank") < k).select(
+        "cloud_id", "point_idx", "rank", "dist", "idx", "nx", "ny", "nz"
     )
-    span = points.groupBy("cloud_id").agg(
-        *[(F.max(c) - F.min(c)).alias(c) for c in XYZ]
-    ).agg(F.max(F.greatest(*XYZ))).first()[0]
-
-    def make(size: float, halo: float) -> Callable:
-        def kernel(qi, q, ci, c):
-            d = _sq_dist(q, c)
-            d[qi[:, None] == ci[None, :]] = np.inf
-            take = min(k, d.shape[1])
-            # Everything up to the k-th distance as flat arrays, then exact order by (distance, index).
-            kth = np.partition(d, take - 1, axis=1)[:, take - 1]
-            row, col = np.nonzero((d <= kth[:, None]) & (d < np.inf))
-            order = np.lexsort((ci[col], d[row, col], row))
-            row, col = row[order], col[order]
-            near = np.arange(len(row)) - np.searchsorted(row, row) < take
-            row, col = row[near], col[near]
-            ends = np.searchsorted(row, np.arange(1, len(q)))
-            flat = {"dist": np.sqrt(d[row, col]), "idx": ci[col], "nx": c[col, 0], "ny": c[col, 1], "nz": c[col, 2]}
-            low = np.floor(q / size) * size
-            edge = np.minimum(q - low, low + size - q).min(axis=1) + halo
-            return {**{n: np.split(v, ends) for n, v in flat.items()}, "seen": edge}
-
-        return kernel
-
-    pending, done, halo = points, None, cell / 2
-    while True:
-        size = halo * 2
-        parts = _run(_tiles(points, pending, size, halo, block), make(size, halo), f"{_POINT}, {lists}, seen DOUBLE")
-        merged = parts.withColumn("nb", nb).groupBy("cloud_id", "point_idx").agg(
-            F.slice(F.array_sort(F.flatten(F.collect_list("nb"))), 1, k).alias("neighbors"),
-            F.min("seen").alias("_seen"),
-        )  # at most k entries per tile of a query
-        last = halo > span
-        full = F.lit(last) | (
-            (F.size("neighbors") == k) & (F.element_at("neighbors", -1)["dist"] <= F.col("_seen"))
-        )
-        merged = materialize(merged.withColumn("_final", full))
-        ready = merged.where("_final").select("cloud_id", "point_idx", "neighbors")
-        done = ready if done is None else done.unionByName(ready)
-        if last or merged.where("NOT _final").limit(1).count() == 0:
-            return done
-        left = merged.where("NOT _final").select("cloud_id", "point_idx")
-        pending = points.join(left, ["cloud_id", "point_idx"], "left_semi")
-        halo *= 2
-
-
-def statistical_outliers(
-    points: DataFrame, nb_neighbors: int, std_ratio: float, cell: float
-) -> DataFrame:
+
+
+def knn(points: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """``neighbors``: the k nearest other points as (dist, idx, x, y, z), nearest first; see ``nearest``."""
+    entry = F.struct("rank", "dist", "idx", F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("nz").alias("z"))
+    listed = nearest(points, k, block).groupBy("cloud_id", "point_idx").agg(F.sort_array(F.collect_list(entry)).alias("neighbors"))
+    plain = F.transform("neighbors", lambda n: n.dropFields("rank"))
+    found = points.select("cloud_id", "point_idx").join(listed, ["cloud_id", "point_idx"], "left")
+    none = F.array().cast("array<struct<dist:double,idx:bigint,x:double,y:double,z:double>>")
+    return found.select("cloud_id", "point_idx", F.coalesce(plain, none).alias("neighbors"))
+
+
+def statistical_outliers(points: DataFrame, nb_neighbors: int, std_ratio: float) -> DataFrame:
     """Points whose mean distance to their neighbors (themselves counted as the first) is below
     the cloud's mean plus ``std_ratio`` sample deviations."""
     if nb_neighbors < 2 or std_ratio <= 0:
         raise ValueError("nb_neighbors must be at least 2 and std_ratio positive")
-    near = knn(points, nb_neighbors - 1, cell)
-    total = F.aggregate("neighbors", F.lit(0.0), lambda s, n: s + n["dist"])
-    mean = near.select("cloud_id", "point_idx", (total / (F.size("neighbors") + 1)).alias("mean_dist"))
+    near = nearest(points, nb_neighbors - 1).groupBy("cloud_id", "point_idx")
+    mean = materialize(near.agg((F.sum("dist") / (F.count(F.lit(1)) + 1)).alias("mean_dist")))
     rule = mean.where("mean_dist > 0").groupBy("cloud_id").agg(
         (F.avg("mean_dist") + std_ratio * F.coalesce(F.stddev_samp("mean_dist"), F.lit(0.0))).alias("_limit")
     )
@@ -183,10 +233,11 @@ def statistical_outliers(
     return points.join(keep.select("cloud_id", "point_idx", "mean_dist"), ["cloud_id", "point_idx"])
 
 
-def normals(points: DataFrame, radius: float, max_nn: int, cell: float) -> DataFrame:
+def normals(points: DataFrame, radius: float, max_nn: int) -> DataFrame:
     """Unit normal from the spread of the nearest ``max_nn`` points (itself included) within
-    ``radius``; (0, 0, 1) below three points; turned toward the origin."""
-    near = knn(points, max_nn - 1, cell).withColumn(
+    ``radius``; (0, 0, 1) below three points; turned toward the origin. ``used`` is the number of other points, ``residual``
+    the variance along the normal (0 below three points)."""
+    near = knn(points, max_nn - 1).withColumn(
         "neighbors", F.filter("neighbors", lambda n: n["dist"] <= radius)
     )
     local = points.join(near, ["cloud_id", "point_idx"])
@@ -223,7 +274,9 @@ def normals(points: DataFrame, radius: float, max_nn: int, cell: float) -> DataF
     sign = F.when(toward < 0, -1.0).otherwise(1.0)
     enough = F.size("neighbors") >= 2
     flat = {"nx": 0.0, "ny": 0.0, "nz": 1.0}
+    along = [F.col(f"_v.n{a}") * F.col(f"_v.n{b}") * F.col(f"c{a}{b}") * (1 if a == b else 2) for a, b in pairs]
     return local.select(
         "cloud_id", "point_idx", *XYZ,
         *[F.when(enough, F.col(f"_v.{c}") * sign).otherwise(v).alias(c) for c, v in flat.items()],
+        F.size("neighbors").alias("used"), F.when(enough, sum(along[1:], along[0])).otherwise(0.0).alias("residual"),
     )

@@ -51,6 +51,30 @@ def with_rank(
     return ranked.drop("_bucket", "_rn", "_offset", "_total")
 
 
+def range_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank", total: str | None = None) -> DataFrame:
+    """Add the 0-based rank of each row inside ``keys`` by ``order``, whatever the values look like.
+
+    For orders without an even bucket function: rows are cut into ranges of keys and order, sorted there and pinned in reliable
+    storage; each range is shifted by the rows of its key in the ranges before it. Rows that tie follow their place in the input, so
+    that one hot value is cut too. ``keys`` must not be null.
+    """
+    keys = list(keys)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(k) for k in keys], *order, F.col("_tie")]
+    ranges = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    pinned = materialize(ranges.drop("_tie").withColumn("_mid", F.monotonically_increasing_id()))
+    pinned = pinned.withColumn("_part", F.shiftright("_mid", 33))
+    counts = pinned.groupBy(*keys, "_part").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(_part(keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    shifts = counts.select(
+        *keys, "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(_part(keys)).alias("_total")
+    )
+    ranked = pinned.join(shifts, [*keys, "_part"]).withColumn(name, F.col("_mid") + F.col("_shift"))
+    if total:
+        ranked = ranked.withColumn(total, F.col("_total"))
+    return ranked.drop("_mid", "_part", "_shift", "_total")
+
+
 def shuffle_key(id_col: Column | str, seed: int) -> Column:
     """Reproducible pseudo-random order key: the hex digest of id and seed."""
     id_col = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -237,7 +237,7 @@ _RADIUS = """, counts AS (SELECT a.cloud_id, a.point_idx, count(*) FILTER (a.poi
 
 @query("radius_neighbors", sql(_RADIUS + " SELECT * FROM counts", "points"))
 def radius_neighbors(spark, sf):
-    return neighbors.radius_counts(X.points(spark, sf), 4.0, cell=60.0)
+    return neighbors.radius_counts(X.points(spark, sf), 4.0)
 
 
 @query(
@@ -245,7 +245,7 @@ def radius_neighbors(spark, sf):
     sql(_RADIUS + " SELECT cloud_id, point_idx FROM counts WHERE neighbors >= 2", "points"),
 )
 def outlier_radius(spark, sf):
-    return neighbors.radius_outliers(X.points(spark, sf), 4.0, 2, cell=60.0).select(
+    return neighbors.radius_outliers(X.points(spark, sf), 4.0, 2).select(
         "cloud_id", "point_idx"
     )
 
@@ -260,11 +260,9 @@ def outlier_radius(spark, sf):
     ),
 )
 def knn(spark, sf):
-    near = neighbors.knn(X.points(spark, sf), 4, cell=60.0)
-    rows = near.select("cloud_id", "point_idx", F.posexplode("neighbors").alias("pos", "n"))
-    return rows.select(
-        "cloud_id", "point_idx", (F.col("pos") + 1).alias("rank"), F.col("n.idx").alias("other"),
-        F.round("n.dist", 6).alias("dist"),
+    return neighbors.nearest(X.points(spark, sf), 4).select(
+        "cloud_id", "point_idx", (F.col("rank") + 1).alias("rank"), F.col("idx").alias("other"),
+        F.round("dist", 6).alias("dist"),
     )
 
 
@@ -282,11 +280,32 @@ def knn(spark, sf):
     ),
 )
 def outlier_statistical(spark, sf):
-    got = neighbors.statistical_outliers(X.points(spark, sf), 6, 1.5, cell=60.0)
+    got = neighbors.statistical_outliers(X.points(spark, sf), 6, 1.5)
     return _rounded(got.select("cloud_id", "point_idx", "mean_dist"), ("mean_dist",))
 
 
-@query("normals")
+_NORMALS = _NEAR + """, near AS (SELECT cloud_id, point_idx, other FROM (SELECT *,
+      row_number() OVER (PARTITION BY cloud_id, point_idx ORDER BY d, other) AS rank FROM pairs) WHERE rank <= 9 AND d <= 12.0),
+    members AS (SELECT * FROM near UNION ALL SELECT cloud_id, point_idx, point_idx FROM points),
+    cov AS (SELECT m.cloud_id, m.point_idx, count(*) - 1 AS used, var_pop(p.x) AS xx, var_pop(p.y) AS yy, var_pop(p.z) AS zz,
+      covar_pop(p.x, p.y) AS xy, covar_pop(p.x, p.z) AS xz, covar_pop(p.y, p.z) AS yz
+      FROM members m JOIN points p ON p.cloud_id = m.cloud_id AND p.point_idx = m.other GROUP BY 1, 2),
+    mid AS (SELECT *, (xx + yy + zz) / 3 AS q FROM cov),
+    wide AS (SELECT *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM mid),
+    half AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz)
+      + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p) END AS r FROM wide)
+    SELECT cloud_id, point_idx, used, true AS unit, true AS toward, CASE WHEN used < 2 THEN 0.0 ELSE
+      round(q + 2 * p * cos(acos(greatest(-1, least(1, r))) / 3 + 2 * pi() / 3) + 0.013, 1) END AS residual FROM half"""
+
+
+@query("normals", sql(_NORMALS, "points"))
 def normals(spark, sf):
-    got = neighbors.normals(X.points(spark, sf), radius=12.0, max_nn=10, cell=60.0)
-    return _rounded(got.select("cloud_id", "point_idx", "nx", "ny", "nz"), ("nx", "ny", "nz"), 4)
+    # The smallest eigenvalue has a closed form, its vector has not: the SQL knows length, side and residual.
+    got = neighbors.normals(X.points(spark, sf), radius=12.0, max_nn=10)
+    length = F.sqrt(sum((F.col(c) * F.col(c) for c in ("ny", "nz")), F.col("nx") * F.col("nx")))
+    side = F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z")
+    return got.select(
+        "cloud_id", "point_idx", F.col("used").cast("bigint").alias("used"), (F.abs(length - 1) < 1e-9).alias("unit"),
+        ((side <= 1e-9) | (F.col("used") < 2)).alias("toward"),
+        F.when(F.col("used") < 2, 0.0).otherwise(F.round(F.col("residual") + 0.013, 1)).alias("residual"),
+    )

@@ -12,7 +12,7 @@ from framewright.functions import geometry3d as G
 from framewright.functions.hashes import image_hashes
 from framewright.functions.joins import self_iou_join
 from framewright.model import Dataset, checked_labels
-from framewright.operators import cloud, dedupe, fusion, neighbors, qa, split, sync
+from framewright.operators import cloud, dedupe, fusion, neighbors, octree, qa, split, sync
 from framewright.operators.ranking import chunked, dense_ids, exact_quantile, with_rank
 from framewright.sinks import labels as S
 from framewright.sources import labels as R
@@ -303,16 +303,56 @@ def test_neighbors_hot_cube_against_brute_force(spark):
     np.fill_diagonal(d, np.inf)
     got = dict(rows(neighbors.radius_counts(df, 1.0, block=16).select("point_idx", "neighbors")))
     assert got == {i: int((d[i] <= 1.0).sum()) for i in range(len(pts))}
-    near = {r["point_idx"]: [n["idx"] for n in r["neighbors"]] for r in neighbors.knn(df, 5, 1.0, block=16).collect()}
+    near = {r["point_idx"]: [n["idx"] for n in r["neighbors"]] for r in neighbors.knn(df, 5, block=16).collect()}
     for i in range(len(pts)):
         assert near[i] == sorted(range(len(pts)), key=lambda j: (d[i, j], j))[:5]
 
 
+def test_neighbors_of_many_equal_points(spark):
+    """200,000 equal points, some single ones around, and a far one."""
+    n = 200_000
+    same = spark.range(n).selectExpr("1L AS cloud_id", "id AS point_idx", "5.0D AS x", "5.0D AS y", "5.0D AS z")
+    rng = np.random.default_rng(3)
+    single = np.vstack([rng.uniform(0, 10, (3000, 3)), [[1e6, 0.0, 0.0]]])
+    rest = spark.createDataFrame([(1, n + i, *map(float, p)) for i, p in enumerate(single)], same.schema)
+    df = same.unionByName(rest)
+    d = np.sqrt(((single[:, None] - single[None]) ** 2).sum(-1))
+    to_same = np.sqrt(((single - 5.0) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    got = dict(rows(neighbors.radius_counts(df, 1.0, block=512).select("point_idx", "neighbors")))
+    assert len(got) == n + len(single)
+    assert {got[i] for i in range(n)} == {n - 1 + int((to_same <= 1.0).sum())}
+    assert [got[n + i] for i in range(len(single))] == [int((d[i] <= 1.0).sum()) + n * int(to_same[i] <= 1.0) for i in range(len(single))]
+    near = neighbors.nearest(df, 3, block=512)
+    assert near.count() == 3 * (n + len(single))
+    some = {}
+    for r in near.where(f"point_idx < 5 OR point_idx >= {n}").orderBy("rank").collect():
+        some.setdefault(r["point_idx"], []).append(r["idx"])
+    assert some[0] == [1, 2, 3] and some[2] == [0, 1, 3] and some[4] == [0, 1, 2]
+    for i in range(len(single)):
+        options = [(d[i, j], n + j) for j in np.argsort(d[i])[:4]] + [(to_same[i], j) for j in range(3)]
+        assert some[n + i] == [j for _, j in sorted(options)[:3]]
+
+
+def test_leaf_pairs_stay_few(spark):
+    """Dense and sparse regions: the pairs of leaves grow with the leaves, not with their square."""
+    rng = np.random.default_rng(4)
+    counts = {}
+    for n in (4000, 16000):
+        pts = np.vstack([rng.normal(0, 1e-4, (n // 2, 3)), rng.uniform(-50, 50, (n // 2, 3))])
+        df = cloud_df(spark, pts).selectExpr("cloud_id", "x", "y", "z", "array(point_idx) AS ids", "1L AS weight")
+        leaves = octree.packed(octree.leaves(df, 64))
+        sizes = [len(r["weights"]) // 8 for r in leaves.collect()]
+        assert sum(sizes) == n and max(sizes) <= 64 and min(sizes) >= 32
+        counts[n] = octree.leaf_pairs(leaves.withColumn("reach", F.lit(2e-5))).count()
+    assert counts[16000] < 8 * counts[4000]
+
+
 def test_normals_of_a_plane(spark):
     rng = np.random.default_rng(1)
     xy = rng.uniform(-3, 3, (80, 2))
     df = cloud_df(spark, np.column_stack([xy, np.full(80, -2.0)]))
-    n = neighbors.normals(df, 5.0, 10, 2.0).select("nx", "ny", "nz").collect()
+    n = neighbors.normals(df, 5.0, 10).select("nx", "ny", "nz").collect()
     assert all(abs(r["nz"] - 1.0) < 1e-6 for r in n)  # toward the origin
 
 
