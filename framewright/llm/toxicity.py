@@ -35,35 +35,36 @@ def _parts(texts: list[str | None], most: int) -> Iterator[tuple[int, bytes]]:
             yield i, data[at : at + most + keep]
 
 
-def ngram_ids(texts: list[str | None], wanted: np.ndarray, most: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hashed n-gram), each pair once, of those n-grams for which ``wanted`` (of 2**bits places) is true.
+def ngram_ids(texts: list[str | None], wanted: np.ndarray, most: int = SLICE) -> list[np.ndarray]:
+    """Sorted distinct hashed n-grams of each text, of those for which ``wanted`` (of 2**bits places) is true.
 
     Texts are UTF-8 bytes, ASCII letters in lower case and all other ASCII one blank; n-grams with two blanks in a row are left
     out. About ``most`` bytes are hashed together, so memory does not depend on the length of a text.
     """
-    ready, size, found = [], 0, []
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    ready, size = [], 0
     for part in _parts(texts, most):
         ready.append(part)
         size += len(part[1])
         if size >= most:
-            found.append(_hashed(ready, wanted))
+            _hashed(ready, wanted, found)
             ready, size = [], 0
-    found.append(_hashed(ready, wanted))
-    both = np.unique(np.concatenate(found))
-    return both // len(wanted), both % len(wanted)
+    if ready:
+        _hashed(ready, wanted, found)
+    return [f[0] if len(f) == 1 else np.unique(np.concatenate(f)) for f in found]
 
 
-def _hashed(parts: list[tuple[int, bytes]], wanted: np.ndarray) -> np.ndarray:
-    """Distinct ``text number * len(wanted) + hash`` of some parts."""
+def _hashed(parts: list[tuple[int, bytes]], wanted: np.ndarray, found: list[list[np.ndarray]]) -> None:
+    """Append the distinct hashes of some parts to those found of their texts."""
     bits = len(wanted).bit_length() - 1
     buf = np.frombuffer(b"".join(d for _, d in parts), np.uint8)
-    owner, ends = np.array([i for i, _ in parts], dtype=np.int64), np.cumsum([len(d) for _, d in parts], dtype=np.int64)
+    ends = np.cumsum([len(d) for _, d in parts], dtype=np.int64)
     blank = buf == 32
     cut = np.zeros(len(buf) + 1, np.int32)  # pairs of blanks, and ends of parts, that start before a place
     cut[np.flatnonzero(blank[:-1] & blank[1:]) + 1] = 1
     cut[ends] = 1
     cut = np.cumsum(cut, dtype=np.int32)
-    out = [np.empty(0, np.int64)]
+    pieces = []
     rolling = np.zeros(len(buf), np.uint32)
     for n in range(1, max(SIZES) + 1):
         k = len(buf) - n + 1
@@ -74,11 +75,12 @@ def _hashed(parts: list[tuple[int, bytes]], wanted: np.ndarray) -> np.ndarray:
             continue
         h = rolling ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-        h >>= np.uint32(32 - bits)
-        at = np.flatnonzero(wanted[h])
-        at = at[cut[at] == cut[at + n - 1]]
-        out.append(owner[np.searchsorted(ends, at, side="right")] * len(wanted) + h[at])
-    return np.unique(np.concatenate(out))
+        h = (h >> np.uint32(32 - bits)).astype(np.int32)
+        at = np.flatnonzero(wanted[h] & (cut[:k] == cut[n - 1 : n - 1 + k]))
+        pieces.append((h[at], np.append(0, np.searchsorted(at, ends))))
+    for j, (i, _) in enumerate(parts):  # sorting the few thousand hashes of a text is faster than those of all together
+        ids = np.sort(np.concatenate([h[edge[j] : edge[j + 1]] for h, edge in pieces])) if pieces else np.empty(0, np.int32)
+        found[i].append(ids[np.append(True, ids[1:] != ids[:-1])] if len(ids) else ids)
 
 
 def _slices(batch: pd.DataFrame, most: int = SLICE) -> Iterator[tuple[int, int]]:
@@ -158,13 +160,14 @@ def calibration(
 
 
 def train(
-    texts: DataFrame, sample: int = 10_000, least_z: float = 3.0, alpha: float = 1.0, l2: float = 3e-4, steps: int = 300, bits: int = 20, folds: int = 4
+    texts: DataFrame, sample: int = 4_000, least_z: float = 3.0, least_ratio: float = 0.7, alpha: float = 1.0, l2: float = 3e-4, steps: int = 300,
+    bits: int = 20, folds: int = 4
 ) -> Model:
     """Model from ``text, toxic`` (0/1) rows.
 
     The n-gram counts of both classes, hence the log-count ratios, are taken over all rows, each task sending its sums. N-grams
-    whose shares in the classes differ by ``least_z`` standard errors are kept, as many as there are, and scaled by their ratio: a few
-    rows of one class are enough for a rare one. The linear weights are fitted on at most ``sample`` different texts of a class, those of the smallest
+    whose shares in the classes differ by ``least_z`` standard errors, and by a log ratio of ``least_ratio`` (a factor of two), are kept, as many as
+    there are, and scaled by their ratio: a few rows of one class are enough for a rare one, and common ones that hardly differ are left out. The linear weights are fitted on at most ``sample`` different texts of a class, those of the smallest
     hashes, each counting as often as it occurs; that bound is the only sampling. Logits are
     calibrated on ``folds`` parts left out in turn (1: not). N-grams are hashed to ``bits`` bits. With one class or none the
     score is constant: the share of toxic rows, 0 without rows.
@@ -178,10 +181,9 @@ def train(
             for i, j in _slices(batch):
                 part = batch.iloc[i:j]
                 y = part["toxic"].to_numpy(dtype=np.int64)
-                rows, ids = ngram_ids(part["text"].tolist(), everything)
-                for c in (0, 1):
-                    np.add.at(sums[c], ids[y[rows] == c], 1)
-                    docs[c] += (y == c).sum()
+                for c, ids in zip(y.tolist(), ngram_ids(part["text"].tolist(), everything)):
+                    sums[c, ids] += 1
+                    docs[c] += 1
         seen = np.flatnonzero(sums.any(axis=0))
         yield pd.DataFrame({"id": np.append(seen, -1), "neg": np.append(sums[0, seen], docs[0]), "pos": np.append(sums[1, seen], docs[1])})
 
@@ -196,7 +198,7 @@ def train(
     q, p = (F.col("neg") + alpha) / (n[0] + 2 * alpha), (F.col("pos") + alpha) / (n[1] + 2 * alpha)
     both = (F.col("neg") + F.col("pos") + 2 * alpha) / (sum(n) + 4 * alpha)
     z = (p - q) / F.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    table = counts.where((F.col("id") >= 0) & (F.abs(z) >= least_z)).select("id", "neg", "pos").toPandas().sort_values("id")  # at most 2 ** bits rows
+    table = counts.where((F.col("id") >= 0) & (F.abs(z) >= least_z) & (F.abs(F.log(p / q)) >= least_ratio)).select("id", "neg", "pos").toPandas().sort_values("id")  # at most 2 ** bits rows
     ids = table["id"].to_numpy()
     if not len(ids):
         return constant
@@ -210,9 +212,8 @@ def train(
         for batch in batches:
             for i, j in _slices(batch):
                 part = batch.iloc[i:j]
-                rows, found = ngram_ids(part["text"].tolist(), wanted)
-                lists = np.split(place[found], np.searchsorted(rows, np.arange(1, len(part))))
-                yield part[["toxic", "h", "times"]].assign(ids=[x.astype("<i4").tobytes() for x in lists])
+                lists = ngram_ids(part["text"].tolist(), wanted)
+                yield part[["toxic", "h", "times"]].assign(ids=[place[x].astype("<i4").tobytes() for x in lists])
 
     def few(toxic: int) -> DataFrame:
         h = F.xxhash64(F.lit("fit"), "text")
@@ -245,8 +246,7 @@ def score_column(model: Model, text: Column) -> Column:
         batch = pd.DataFrame({"text": text})
         out = np.full(len(batch), bias)
         for i, j in _slices(batch):
-            rows, ids = ngram_ids(batch["text"].iloc[i:j].tolist(), wanted)
-            out[i:j] += np.bincount(rows, weights=weights[ids], minlength=j - i)
+            out[i:j] += [weights[ids].sum() for ids in ngram_ids(batch["text"].iloc[i:j].tolist(), wanted)]
         return pd.Series(1 / (1 + np.exp(-np.clip(out, -500, 500))))
 
     return score(text)
