@@ -533,6 +533,25 @@ def read_points_ascii(spark, sf):
     return _sums(P.read_pcd(spark, root), _cloud_of(F.col("path")))
 
 
+@query(
+    "read_points_kitti_bin",
+    sql(
+        """, narrow AS (SELECT cloud_id, x::FLOAT::DOUBLE AS x, y::FLOAT::DOUBLE AS y, z::FLOAT::DOUBLE AS z,
+        intensity::FLOAT::DOUBLE AS i, max(intensity::FLOAT::DOUBLE) OVER (PARTITION BY cloud_id) AS top FROM points)
+        SELECT cloud_id, count(*) AS points, round(sum(x), 3) AS x, round(sum(y), 3) AS y, round(sum(z), 3) AS z,
+        round(sum(CASE WHEN top > 1 THEN i / top ELSE i END), 3) AS intensity FROM narrow GROUP BY 1""",
+        "points",
+    ),
+)
+def read_points_kitti_bin(spark, sf):
+    root = scratch_path(spark, "kitti-bin")
+    S.write_float32(X.points(spark, sf), root)
+    got = P.read_float32(spark, root)
+    return got.groupBy(_cloud_of(F.col("path")).cast("bigint").alias("cloud_id")).agg(
+        F.count(F.lit(1)).alias("points"), *[F.round(F.sum(c), 3).alias(c) for c in ("x", "y", "z", "intensity")]
+    )
+
+
 @query("write_points", sql(_POINTS, "points"))
 def write_points(spark, sf):
     root = scratch_path(spark, "ply")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -79,6 +80,33 @@ def write_lines(lines: DataFrame, root: str, order: list[str], final_newline: bo
     ready.foreachPartition(save)
 
 
+def write_records(rows: DataFrame, root: str, order: list[str], kind: str = "<f4") -> int:
+    """Write ``rel`` and numbers (all columns but ``rel`` and ``order``) as files of fixed records below ``root``, in the given order.
+
+    A task appends Arrow batches to one file after the other, so memory does not depend on the size of a file. Returns the bytes written.
+    """
+    values = [c for c in rows.columns if c not in ("rel", *order)]
+    ready = rows.repartition("rel").sortWithinPartitions("rel", *order).select("rel", *[F.col(c).cast("double") for c in values])
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = open_fs(root)
+        current, target, size = None, None, 0
+        for batch in batches:
+            for rel, part in batch.groupby("rel", sort=False):
+                if rel != current:
+                    if target is not None:
+                        target.done()
+                    current, target = rel, _Target(fs, f"{base}/{rel}")
+                data = part[values].to_numpy().astype(kind).tobytes()
+                target.write(data)
+                size += len(data)
+        if target is not None:
+            target.done()
+        yield pd.DataFrame({"bytes": [size]})
+
+    return ready.mapInPandas(save, "bytes BIGINT").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+
+
 def write_blobs(files: DataFrame, root: str) -> None:
     """Write ``rel, data`` rows as binary files below ``root``."""
 

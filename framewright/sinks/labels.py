@@ -17,7 +17,7 @@ from framewright.model import Dataset, unit
 from framewright.operators.dataset import infer_classes
 from framewright.operators.ranking import dense_ids
 from framewright.operators.review import file_name, file_stem
-from framewright.sinks.files import ensure_output, write_lines
+from framewright.sinks.files import ensure_output, write_lines, write_records
 
 _ORDER = ["part", "a", "b", "c"]
 
@@ -366,3 +366,11 @@ def write_points(points: DataFrame, root: str, layout: str = "ply", overwrite: b
         _rows(points, rel, 1, F.concat_ws(" ", *cols), F.col("point_idx")),
     ]
     _write(parts, root, overwrite)
+
+
+def write_float32(points: DataFrame, root: str, overwrite: bool = False) -> None:
+    """One file of float32 records ``x, y, z, intensity`` per cloud, in point order; no intensity is 0."""
+    ensure_output(root, overwrite)
+    intensity = F.col("intensity") if "intensity" in points.columns else F.lit(0.0)
+    rel = F.concat(F.lit("cloud_"), F.col("cloud_id"), F.lit(".bin"))
+    write_records(points.select(rel.alias("rel"), "point_idx", "x", "y", "z", intensity.alias("intensity")), root, ["point_idx"])

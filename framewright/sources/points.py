@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from framewright.operators.cloud import normalize_intensity
 from framewright.operators.ranking import with_rank
-from framewright.sources.files import plain_path, split_lines
+from framewright.sinks.files import open_fs
+from framewright.sources.files import split_lines
 
 _PCD_WORDS = "VERSION|FIELDS|SIZE|TYPE|COUNT|WIDTH|HEIGHT|VIEWPOINT|POINTS|DATA"
 _PLY_WORDS = "ply|format|comment|obj_info|element|property|end_header"
@@ -62,28 +66,73 @@ def read_ply(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_float32(spark: SparkSession, root: str, fields: int = 4) -> DataFrame:
+class FloatRecords(DataSource):
+    """Files of little-endian float32 records (``x, y, z`` and the rest, of which the fourth is the intensity), read in byte ranges.
+
+    Ranges begin and end between records, so a file of any size is read by as many tasks as it has ranges, and small files share a task.
+    Options: ``path``, ``fields`` (4), ``rangeBytes`` (16 MB), ``glob`` suffix (``.bin``). A rest shorter than a record is left out.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "float_records"
+
+    def schema(self) -> str:
+        return "path STRING, point_idx BIGINT, x DOUBLE, y DOUBLE, z DOUBLE, intensity DOUBLE"
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _FloatReader(self.options)
+
+
+class _Ranges(InputPartition):
+    """Ranges ``(path, first record, number of records)`` of one task."""
+
+
+class _FloatReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.root, self.fields = options["path"], int(options.get("fields", 4))
+        if self.fields < 3:
+            raise ValueError(f"a record has at least three fields, got {self.fields}")
+        self.bytes, self.suffix = int(options.get("rangebytes", options.get("rangeBytes", 16 << 20))), options.get("glob", ".bin")
+
+    def partitions(self) -> list[InputPartition]:
+        """Listing only; no file is opened."""
+        fs, base = open_fs(self.root)
+        found = fs.get_file_info(base)
+        files = [found] if found.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(base, recursive=True))
+        width, out, waiting, size = 4 * self.fields, [], [], 0
+        step = max(1, self.bytes // width)
+        for info in sorted(files, key=lambda f: f.path):
+            if info.type != pafs.FileType.File or not info.path.endswith(self.suffix):
+                continue
+            n = info.size // width
+            for first in range(0, n, step):
+                waiting.append((info.path, first, min(step, n - first)))
+                size += waiting[-1][2]
+                if size >= step:
+                    out.append(_Ranges(waiting))
+                    waiting, size = [], 0
+        return [*out, _Ranges(waiting)] if waiting or not out else out
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        fs, _ = open_fs(self.root)
+        for path, first, n in partition.value:
+            with fs.open_input_file(path) as f:
+                for at in range(first, first + n, 100_000):
+                    count = min(100_000, first + n - at)
+                    f.seek(at * 4 * self.fields)
+                    rec = np.frombuffer(f.read(count * 4 * self.fields), "<f4").reshape(-1, self.fields).astype(np.float64)
+                    yield pa.record_batch({
+                        "path": pa.array([path] * len(rec)), "point_idx": pa.array(np.arange(at, at + len(rec), dtype=np.int64)),
+                        **{c: pa.array(rec[:, i]) for i, c in enumerate("xyz")},
+                        "intensity": pa.array(rec[:, 3] if self.fields > 3 else np.zeros(len(rec))),
+                    })
+
+
+def read_float32(spark: SparkSession, root: str, fields: int = 4, range_bytes: int = 16 << 20) -> DataFrame:
     """``path, point_idx, x, y, z, intensity`` of files of little-endian float32 records; intensity
-    above 1 is scaled down per file."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = 500_000
-        for b in batches:
-            for path, data in zip(b["path"], b["content"]):
-                flat = np.frombuffer(data, "<f4")
-                rec = flat[: len(flat) // fields * fields].reshape(-1, fields).astype(np.float64)
-                for s in range(0, len(rec), step):
-                    part = rec[s : s + step]
-                    out = pd.DataFrame(part[:, :3], columns=["x", "y", "z"])
-                    out["intensity"] = part[:, 3] if fields > 3 else 0.0
-                    out.insert(0, "point_idx", np.arange(s, s + len(part)))
-                    out.insert(0, "path", path)
-                    yield out
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.bin").load(root)
-    points = files.select(plain_path(F.col("path")).alias("path"), "content").mapInPandas(
-        decode, "path STRING, point_idx BIGINT, x DOUBLE, y DOUBLE, z DOUBLE, intensity DOUBLE"
-    )
+    above 1 is scaled down per file. See ``FloatRecords``."""
+    spark.dataSource.register(FloatRecords)
+    points = spark.read.format("float_records").option("fields", fields).option("rangeBytes", range_bytes).load(root)
     scaled = normalize_intensity(points.withColumnRenamed("path", "cloud_id"))
     return scaled.withColumnRenamed("cloud_id", "path")

@@ -439,6 +439,35 @@ def test_points_float32(spark, tmp_path):
     assert [(r["x"], r["intensity"]) for r in got] == [(1.0, 0.5), (4.0, 1.0)]
 
 
+def test_points_float32_in_ranges(spark, tmp_path):
+    """A file of 64 MB is read by several tasks, small files share one, and a rest shorter than a record is left out."""
+    n = 4 << 20
+    data = np.arange(n, dtype=np.float32)
+    np.column_stack([data, data % 7, -data, np.full(n, 2, np.float32)]).astype("<f4").tofile(tmp_path / "large.bin")
+    for i in range(20):
+        (tmp_path / f"small{i}.bin").write_bytes(np.full((3, 4), i, "<f4").tobytes() + b"rest")
+    (tmp_path / "empty.bin").write_bytes(b"")
+    (tmp_path / "other.txt").write_bytes(b"0" * 64)
+    spark.dataSource.register(P.FloatRecords)
+    plain = spark.read.format("float_records").load(str(tmp_path))
+    assert 4 <= plain.rdd.getNumPartitions() <= 6
+    got = P.read_float32(spark, str(tmp_path))
+    large = got.where("path LIKE '%large.bin'").agg(
+        F.count("x"), F.countDistinct("point_idx"), F.sum(F.abs(F.col("x") - F.col("point_idx"))), F.sum("y"), F.max("intensity")
+    ).first()
+    assert tuple(large) == (n, n, 0.0, float((data % 7).sum(dtype=np.float64)), 1.0)
+    assert got.where("path NOT LIKE '%large.bin'").count() == 60
+    fine = P.read_float32(spark, str(tmp_path / "small7.bin"), range_bytes=16)
+    assert [(r["point_idx"], r["x"]) for r in fine.orderBy("point_idx").collect()] == [(0, 7.0), (1, 7.0), (2, 7.0)]
+
+
+def test_records_of_a_file_larger_than_a_batch(spark, tmp_path):
+    pts = spark.range(30_000).selectExpr("id % 2 AS cloud_id", "id DIV 2 AS point_idx", "double(id) AS x", "1.5D AS y", "-2.0D AS z")
+    S.write_float32(pts, str(tmp_path / "out"))
+    got = P.read_float32(spark, str(tmp_path / "out")).where("path LIKE '%cloud_1.bin'").orderBy("point_idx").collect()
+    assert [r["x"] for r in got] == [float(2 * i + 1) for i in range(15_000)] and {r["intensity"] for r in got} == {0.0}
+
+
 def test_detect_format_rules(spark):
     files = [("a", "labels.yaml", "train: x\n"), ("b", "x.json", '{"images": [], "annotations": []}'),
              ("c", "x.xml", "<?xml version='1.0'?><annotations>"), ("d", "x.json", '{"openlabel": {}}'), ("e", "x.bin", None)]
