@@ -189,8 +189,8 @@ def grouped(classes: DataFrame, groups: DataFrame, block: int) -> DataFrame:
 
 
 def tile_links(members: DataFrame, threshold: float, block: int | None, window: int) -> DataFrame:
-    """``vec_id, linked, head``: per block pair and vector linked in it, the weight of the vectors it links with there and the
-    smallest id it is connected to there. Vectors without a link give no row.
+    """``vec_id, linked, head, whole``: per block pair and vector linked in it, the weight of the vectors it links with there and the
+    smallest id it is connected to there, and whether its part has no other block pair. Vectors without a link give no row.
 
     ``members``: ``part, vec_id, dim, copies, embedding``. The vectors of a part and length are dealt to blocks, and a task compares two of
     them, so every pair of a part is compared once. The product is in single precision; pairs closer to the threshold than its error
@@ -204,7 +204,8 @@ def tile_links(members: DataFrame, threshold: float, block: int | None, window:
     sizes, _ = small_side(stored(sizes.select("part", "dim", F.ceil(F.col("n") / most).cast("int").alias("blocks")), "vec-blocks"))
     rows = members.join(sizes, ["part", "dim"]).withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "part", "dim", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "vec_id", "copies", "embedding"
+        "part", "dim", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "vec_id", "copies", "embedding",
+        (F.col("blocks") == 1).alias("whole"),
     )
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -212,7 +213,7 @@ def tile_links(members: DataFrame, threshold: float, block: int | None, window:
         left = pdf[pdf["mine"] == i]
         right = pdf[pdf["mine"] == j] if i != j else left
         if left.empty or right.empty:
-            return pd.DataFrame({"vec_id": [], "linked": [], "head": []}).astype("int64")
+            return pd.DataFrame({"vec_id": [], "linked": [], "head": [], "whole": []}).astype({"vec_id": "int64", "linked": "int64", "head": "int64", "whole": bool})
         x = unit_vectors(left["embedding"])
         y = unit_vectors(right["embedding"]) if i != j else x
         shift = len(x) if i != j else 0
@@ -253,9 +254,11 @@ def tile_links(members: DataFrame, threshold: float, block: int | None, window:
         label = united(label, waiting)
         heads = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(heads, label, ids)
-        return pd.DataFrame({"vec_id": ids, "linked": linked, "head": heads[label]})[linked > 0]
+        return pd.DataFrame({"vec_id": ids, "linked": linked, "head": heads[label], "whole": bool(pdf["whole"].iloc[0])})[linked > 0]
 
-    return spread_by(rows, "part", "dim", "i", "j").groupBy("part", "dim", "i", "j").applyInPandas(compare, "vec_id LONG, linked LONG, head LONG")
+    return spread_by(rows, "part", "dim", "i", "j").groupBy("part", "dim", "i", "j").applyInPandas(
+        compare, "vec_id LONG, linked LONG, head LONG, whole BOOLEAN"
+    )
 
 
 def united(label: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -317,8 +320,10 @@ def near_duplicates(
     near = near.unionByName(rest.where("head < vec_id").select(F.col("head").alias("a"), F.col("vec_id").alias("b")).distinct())
     groups = stored(components(thinned(near, "a")).select(F.col("node").alias("vec_id"), "component"), "vec-near")
     tiles = stored(tile_links(grouped(plain, groups, 512), threshold, block, 256), "vec-tiles")
-    links = tiles.where("head < vec_id").select(F.col("head").alias("a"), F.col("vec_id").alias("b")).distinct()
-    found = components(thinned(links, "a")).select(F.col("node").alias("vec_id"), "component")
+    found = tiles.where("whole").select("vec_id", F.col("head").alias("component"))
+    links = stored(tiles.where("NOT whole AND head < vec_id").select(F.col("head").alias("a"), F.col("vec_id").alias("b")).distinct(), "vec-links")
+    if not links.isEmpty():
+        found = found.unionByName(components(thinned(links, "a")).select(F.col("node").alias("vec_id"), "component"))
     members = stored(classes.join(found, "vec_id").select("vec_id", "component", "head"), "vec-members")
     linked = tiles.groupBy("vec_id").agg(F.sum("linked").alias("linked"))
     lowest = members.groupBy("component").agg(F.min("head").alias("component_id"))
