@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.boxes import iou
+from framewright.session import materialize
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
@@ -27,6 +28,24 @@ def flag_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(hot, list(keys), "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
 
 
+def tiled(left: DataFrame, right: DataFrame, on: Sequence[str], groups: DataFrame, keys: Sequence[str], tile: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with ``_tile`` for a join on ``on``: where more than ``tile`` left rows meet, they are dealt to tiles and the
+    right rows are sent to each, so that no task forms all pairs of a crowd.
+
+    ``groups`` has the ``keys`` with more than ``tile`` rows. Without any, nothing is added.
+    """
+    on = list(on)
+    crowded = left.join(groups.select(*keys), list(keys), "left_semi").groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    crowded = materialize(crowded.where(F.col("_n") > tile).select(*on, F.ceil(F.col("_n") / tile).cast("int").alias("_tiles")))
+    if crowded.isEmpty():
+        return left, right, on
+    tiles = F.coalesce("_tiles", F.lit(1))
+    mine = F.pmod(F.xxhash64(*[c for c in left.columns if c not in on]), tiles).cast("int")
+    left = left.join(crowded, on, "left").withColumn("_tile", mine).drop("_tiles")
+    right = right.join(crowded, on, "left").withColumn("_tile", F.explode(F.sequence(F.lit(0), tiles - 1))).drop("_tiles")
+    return left, right, [*on, "_tile"]
+
+
 def iou_join(
     left: DataFrame,
     right: DataFrame,
@@ -34,6 +53,7 @@ def iou_join(
     threshold: float,
     where: Callable[[Column, Column], Column] | None = None,
     hot_rows: int = 256,
+    tile: int = 8192,
 ) -> DataFrame:
     """Pairs of boxes of the same key with an overlap ratio of at least ``threshold``.
 
@@ -43,7 +63,8 @@ def iou_join(
     of t or more forces widths and heights within a factor t and centers within (1 - t) times the
     larger side, so a left box takes the one cell of its size class and center and a right box
     takes every cell it may reach. Each pair meets in exactly one cell, so nothing has to be
-    de-duplicated and no pair is missed.
+    de-duplicated and no pair is missed. A crowd in one cell, as of equal boxes, or at threshold 0 in one group, is
+    joined in tiles of ``tile`` left boxes. To count a crowd's pairs instead of listing them see ``self_iou_counts``.
     """
     if not 0.0 <= threshold <= 1.0:
         raise ValueError(f"threshold must be between 0 and 1, got {threshold}")
@@ -93,6 +114,9 @@ def iou_join(
         on = keys + cells
     else:
         on = keys
+    large = materialize(hot_keys(every, keys, tile))
+    if not large.isEmpty():
+        lrow, rrow, on = tiled(lrow, rrow, on, large, keys, tile)
     pairs = lrow.join(rrow, on).select(
         *keys,
         F.struct(*[F.col(f"l_{c}").alias(c) for c in lcols]).alias("l"),
@@ -115,6 +139,7 @@ def self_iou_join(
     threshold: float,
     where: Callable[[Column, Column], Column] | None = None,
     hot_rows: int = 256,
+    tile: int = 8192,
 ) -> DataFrame:
     """Each unordered pair of a key once, the lower ``index`` on the left."""
 
@@ -122,4 +147,40 @@ def self_iou_join(
         cond = l[index] < r[index]
         return cond & where(l, r) if where is not None else cond
 
-    return iou_join(boxes, boxes, keys, threshold, ordered, hot_rows)
+    return iou_join(boxes, boxes, keys, threshold, ordered, hot_rows, tile)
+
+
+def self_iou_counts(
+    boxes: DataFrame, keys: Sequence[str], threshold: float, by: Sequence[str] = (), hot_rows: int = 256, tile: int = 8192
+) -> DataFrame:
+    """``pairs, max_iou, boxes`` per key: how many unordered pairs overlap by a ratio of at least ``threshold``, and how many boxes take part.
+
+    Nothing is listed box by box: equal boxes of a key (and equal ``by`` columns; pairs must agree in these) become one with a weight,
+    only different boxes are joined, and n equal boxes are n (n - 1) / 2 pairs of ratio 1. So 100,000 equal boxes are one row.
+    Boxes without area overlap with nothing.
+    """
+    keys, by = list(keys), list(by)
+    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    plain = boxes.where(solid).select(*keys, *by, *[(F.col(c) + 0.0).alias(c) for c in CORNERS])
+    classes = materialize(plain.groupBy(*keys, *by, *CORNERS).agg(F.count(F.lit(1)).alias("weight")).withColumn(
+        "place", F.xxhash64(*by, *CORNERS)).withColumn("twin", F.hash(*by, *CORNERS)))
+
+    def before(l: Column, r: Column) -> Column:
+        mine, other = (F.struct(x["place"], x["twin"], *[x[c] for c in (*CORNERS, *by)]) for x in (l, r))
+        return mine < other
+
+    pairs = iou_join(classes, classes, [*keys, *by], threshold, before, hot_rows, tile)
+    one = F.struct(F.col("l.weight").alias("mine"), *[F.col(f"l.{c}").alias(c) for c in CORNERS])
+    two = F.struct(F.col("r.weight").alias("mine"), *[F.col(f"r.{c}").alias(c) for c in CORNERS])
+    found = pairs.select(*keys, *by, (F.col("l.weight") * F.col("r.weight")).alias("n"), "iou", F.explode(F.array(one, two)).alias("box"))
+    # Every pair came twice, once for each of its boxes.
+    of_box = found.groupBy(*keys, *by, "box").agg(F.sum("n").alias("n"), F.max("iou").alias("iou"))
+    mixed = of_box.select(*keys, *by, *[F.col(f"box.{c}").alias(c) for c in CORNERS], F.col("n").alias("twice"), "iou")
+    own = F.col("weight") * (F.col("weight") - 1)
+    all_ = classes.join(mixed, [*keys, *by, *CORNERS], "left").select(
+        *keys, "weight", (F.coalesce("twice", F.lit(0)) + own).alias("twice"),
+        F.greatest(F.col("iou"), F.when(own > 0, 1.0)).alias("iou"),
+    ).where(F.col("twice") > 0)
+    return all_.groupBy(*keys).agg(
+        (F.sum("twice") / 2).cast("bigint").alias("pairs"), F.max("iou").alias("max_iou"), F.sum("weight").alias("boxes")
+    )

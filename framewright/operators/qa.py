@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.boxes import center_to_corners
-from framewright.functions.joins import self_iou_join
+from framewright.functions.joins import self_iou_counts, self_iou_join
 from framewright.model import Dataset
 from framewright.operators import dataset as D
 
@@ -90,6 +91,20 @@ def duplicate_labels(ds: Dataset) -> DataFrame:
     )
 
 
+def pair_counts(ds: Dataset, threshold: float = IOU) -> DataFrame:
+    """``sample_id, issue_type, pairs, boxes, max_iou``: how often both pair checks hit in a sample, without listing the pairs.
+
+    For corpora with crowds of equal boxes, whose pairs grow with the square.
+    """
+    slim = with_corners(ds.labels).select("sample_id", "class_id", "x1", "y1", "x2", "y2")
+    above = lambda t: math.nextafter(t, 2.0)  # noqa: E731  the checks ask for more than the threshold
+    kinds = (("overlapping_boxes", above(threshold), []), ("duplicate_label", above(DUPLICATE_IOU), ["class_id"]))
+    return reduce(DataFrame.unionByName, [
+        self_iou_counts(slim, ["sample_id"], t, by).select("sample_id", F.lit(kind).alias("issue_type"), "pairs", "boxes", "max_iou")
+        for kind, t, by in kinds
+    ])
+
+
 def pair_checks(ds: Dataset, threshold: float = IOU) -> DataFrame:
     """Overlapping boxes and duplicate labels from one pair join."""
     pairs = _pairs(ds.labels, min(threshold, DUPLICATE_IOU), same_class=False)

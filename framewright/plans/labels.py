@@ -616,6 +616,28 @@ def qa_overlap(spark, sf):
     )
 
 
+@query(
+    "qa_pair_counts",
+    sql(
+        f""", sup AS (SELECT l_suppkey AS sample_id, l_orderkey AS label_index, class_id, {X.KEY_SQL} AS k, x1, y1, x2, y2
+          FROM corners c JOIN lineitem l ON l.l_orderkey = c.sample_id AND {X.KEY_SQL} = c.label_index),
+        hits AS (SELECT a.sample_id, a.label_index AS i, a.k AS ik, b.label_index AS j, b.k AS jk, a.class_id = b.class_id AS same, """
+        + _IOU + """ AS iou FROM sup a JOIN sup b ON a.sample_id = b.sample_id AND (a.label_index, a.k) < (b.label_index, b.k)),
+        kinds AS (SELECT *, 'overlapping_boxes' AS issue_type FROM hits WHERE iou > 0.6
+          UNION ALL SELECT *, 'duplicate_label' FROM hits WHERE same AND iou > 0.95),
+        ends AS (SELECT issue_type, sample_id, count(DISTINCT (i, ik)) AS boxes FROM (SELECT issue_type, sample_id, i, ik FROM kinds
+          UNION ALL SELECT issue_type, sample_id, j, jk FROM kinds) GROUP BY 1, 2)
+        SELECT issue_type, sample_id, count(*) AS pairs, any_value(boxes) AS boxes, round(max(iou), 9) AS max_iou
+        FROM kinds JOIN ends USING (issue_type, sample_id) GROUP BY 1, 2""",
+        "corners",
+    ),
+)
+def qa_pair_counts(spark, sf):
+    labels = X.annotations(spark, sf, image="l_suppkey", index=F.col("l_orderkey"))
+    found = qa.pair_counts(Dataset(X.samples(spark, sf), labels), 0.6)
+    return found.select("issue_type", "sample_id", "pairs", "boxes", _r("max_iou").alias("max_iou"))
+
+
 @query(
     "qa_duplicate_label",
     sql(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framewright.functions import boxes as B
 from framewright.functions import geometry3d as G
 from framewright.functions.hashes import image_hashes
-from framewright.functions.joins import self_iou_join
+from framewright.functions.joins import self_iou_counts, self_iou_join
 from framewright.model import Dataset, checked_labels
 from framewright.operators import cloud, dedupe, fusion, neighbors, octree, qa, split, sync
 from framewright.operators.ranking import chunked, dense_ids, exact_quantile, with_rank
@@ -439,6 +439,26 @@ def test_points_float32(spark, tmp_path):
     assert [(r["x"], r["intensity"]) for r in got] == [(1.0, 0.5), (4.0, 1.0)]
 
 
+def test_counts_of_many_equal_boxes(spark):
+    """100,000 equal boxes in one image are counted without being listed, and what else is there is found."""
+    n = 100_000
+    same = spark.range(n).selectExpr("1 AS sample_id", "id AS i", "0.2D AS x1", "0.2D AS y1", "0.4D AS x2", "0.4D AS y2")
+    rest = [(1, n, .2, .2, .4, .39), (1, n + 1, .8, .8, .9, .9), (1, n + 2, .8, .8, .9, .905), (1, n + 3, .6, .6, .6, .6), (2, 0, .1, .1, .2, .2)]
+    boxes = same.unionByName(spark.createDataFrame(rest, same.schema))
+    got = rows(self_iou_counts(boxes, ["sample_id"], 0.9))
+    assert [(r[0], r[1], r[3]) for r in got] == [(1, n * (n - 1) // 2 + n + 1, n + 3)] and got[0][2] == 1.0
+
+
+def test_iou_join_in_tiles(spark):
+    rng = np.random.default_rng(6)
+    boxes = [(1, i, .1, .1, .2, .2) for i in range(60)] + [(1, 60 + i, *(a := rng.uniform(0, .8, 2)), *(a + .1)) for i in range(60)]
+    df = spark.createDataFrame([tuple(map(float, b)) for b in boxes], "k DOUBLE, i DOUBLE, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE")
+    for t in (0.0, 0.3):
+        plain = rows(self_iou_join(df, ["k"], "i", t).select("l.i", "r.i"))
+        small = rows(self_iou_join(df, ["k"], "i", t, hot_rows=8, tile=16).select("l.i", "r.i"))
+        assert plain == small and len(plain) >= 60 * 59 // 2
+
+
 def test_points_float32_in_ranges(spark, tmp_path):
     """A file of 64 MB is read by several tasks, small files share one, and a rest shorter than a record is left out."""
     n = 4 << 20
