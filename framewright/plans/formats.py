@@ -232,6 +232,64 @@ def write_coco(spark, sf):
     )
 
 
+def _rich(spark, sf) -> Dataset:
+    """The corpus with polygons on whole pixels and named values."""
+    ds = _corpus(spark, sf)
+    x, y = F.floor(F.col("cx") * 1270), F.floor(F.col("cy") * 710)
+    triangle = F.array(x / 1280, y / 720, (x + 5) / 1280, y / 720, x / 1280, (y + 7) / 720)
+    polygon = F.col("label_index") % 3 == 0
+    labels = ds.labels.withColumns({
+        "points": F.when(polygon, triangle), "shape_type": F.when(polygon, "polygon").otherwise("box"),
+        "segments": F.when(polygon, F.array(triangle)), "area": F.when(polygon, 17.5),
+        "rle": F.when(F.col("label_index") % 3 == 1, F.concat(F.lit('{"size":[720,1280],"counts":['), F.col("label_index"), F.lit("]}"))),
+        "iscrowd": F.col("label_index") % 3 == 1, "occluded": F.col("label_index") % 2 == 0,
+        "attributes": F.create_map(F.lit("kind"), F.concat(F.lit("<"), "class_name", F.lit('> & "more"')), F.lit("z_order"), (F.col("label_index") % 5).cast("string")),
+    })
+    return Dataset(ds.samples, labels, ds.classes, ds.name)
+
+
+_RICH = """, own AS (SELECT l_suppkey, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS k, l_returnflag || l_linestatus AS class_name,
+    floor(greatest(0, least(1, l_quantity / 50)) * 1270) AS x, floor(greatest(0, least(1, (l_extendedprice % 1000) / 1000)) * 710) AS y FROM lineitem) """
+
+
+@query(
+    "coco_fields",
+    "WITH one AS (SELECT 1)" + _RICH + """SELECT l_suppkey AS sample, class_name, k % 3 = 1 AS iscrowd, CASE WHEN k % 3 = 0 THEN 17.5 END AS area,
+    CASE WHEN k % 3 = 1 THEN '{"size":[720,1280],"counts":[' || k || ']}' END AS rle,
+    CASE WHEN k % 3 = 0 THEN concat_ws(',', x::BIGINT, y::BIGINT, (x + 5)::BIGINT, y::BIGINT, x::BIGINT, (y + 7)::BIGINT) END AS polygon, count(*) AS boxes
+    FROM own GROUP BY ALL""",
+)
+def coco_fields(spark, sf):
+    root = scratch_path(spark, "coco")
+    S.write_coco(_rich(spark, sf), root, shards=4)
+    ds = R.read_coco(spark, root, layout="lines")
+    rows = ds.labels.join(ds.samples.select("sample_id", "image_path"), "sample_id")
+    flat = F.transform(F.get("segments", F.lit(0)), lambda v, i: F.round(v * F.when(i % 2 == 0, 1280).otherwise(720)).cast("bigint").cast("string"))
+    return rows.select(
+        F.regexp_extract("image_path", r"sup_(\d+)", 1).cast("bigint").alias("sample"), "class_name", "iscrowd",
+        F.when(F.col("segments").isNotNull(), F.col("area")).alias("area"), "rle", F.array_join(flat, ",").alias("polygon"),
+    ).groupBy("sample", "class_name", "iscrowd", "area", "rle", "polygon").agg(F.count(F.lit(1)).alias("boxes"))
+
+
+@query(
+    "cvat_fields",
+    "WITH one AS (SELECT 1)" + _RICH + """SELECT l_suppkey AS sample, class_name, CASE WHEN k % 3 = 0 THEN 'polygon' ELSE 'box' END AS shape_type,
+    k % 2 = 0 AS occluded, '<' || class_name || '> & "more"' AS kind, (k % 5)::VARCHAR AS z_order,
+    CASE WHEN k % 3 = 0 THEN concat_ws(',', x::BIGINT, y::BIGINT, (x + 5)::BIGINT, y::BIGINT, x::BIGINT, (y + 7)::BIGINT) END AS polygon, count(*) AS shapes
+    FROM own GROUP BY ALL""",
+)
+def cvat_fields(spark, sf):
+    root = scratch_path(spark, "cvat")
+    S.write_cvat(_rich(spark, sf), root)
+    ds = R.read_cvat(spark, f"{root}/annotations.xml")
+    rows = ds.labels.join(ds.samples.select("sample_id", "ordinal"), "sample_id")
+    flat = F.transform("points", lambda v, i: F.round(v * F.when(i % 2 == 0, 1280).otherwise(720)).cast("bigint").cast("string"))
+    return rows.select(
+        F.col("ordinal").alias("sample"), "class_name", "shape_type", "occluded", F.col("attributes")["kind"].alias("kind"),
+        F.col("attributes")["z_order"].alias("z_order"), F.array_join(flat, ",").alias("polygon"),
+    ).groupBy("sample", "class_name", "shape_type", "occluded", "kind", "z_order", "polygon").agg(F.count(F.lit(1)).alias("shapes"))
+
+
 def _kitti_root(spark, sf) -> str:
     ds = _corpus(spark, sf, 1242, 375)
     root = scratch_path(spark, "kitti")

@@ -20,6 +20,8 @@ from framewright.operators.review import file_name, file_stem
 from framewright.sinks.files import ensure_output, write_lines, write_records
 
 _ORDER = ["part", "a", "b", "c"]
+#: Attributes of a CVAT shape that are attributes of its element.
+CVAT_OWN = ("source", "z_order", "group_id", "rotation", "keyframe")
 
 
 def _classes(ds: Dataset) -> DataFrame:
@@ -120,6 +122,28 @@ def _shard(key: Column, shards: int, template: str) -> Column:
     return F.format_string(template, number)
 
 
+def coco_segmentation(labels: DataFrame, width: Column, height: Column) -> Column:
+    """JSON of a label's mask: ``rle`` as it is, else the ``segments``, else the one ``polygon``, else an empty list.
+
+    Polygons of three points or more count; one whose values all lie between 0 and 1 is in shares of the image.
+    """
+    out = F.lit("[]")
+
+    def pixels(polygon: Column) -> Column:
+        shares = F.forall(polygon, lambda v: v.between(0, 1))
+        return F.transform(polygon, lambda v, i: F.when(shares, v * F.when(i % 2 == 0, width).otherwise(height)).otherwise(v))
+
+    def listed(polygons: Column) -> Column:
+        whole = F.filter(polygons, lambda p: (F.size(p) >= 6) & (F.size(p) % 2 == 0))
+        return F.when(F.size(whole) > 0, F.to_json(F.transform(whole, pixels)))
+
+    if "polygon" in labels.columns:
+        out = F.coalesce(listed(F.array(F.col("polygon").cast("array<double>"))), out)
+    if "segments" in labels.columns:
+        out = F.coalesce(listed(F.col("segments")), out)
+    return F.coalesce(F.col("rle"), out) if "rle" in labels.columns else out
+
+
 def write_coco(ds: Dataset, root: str, split: str = "train", shards: int = 1, overwrite: bool = False) -> None:
     """``annotations/instances_<split>[_NNNNN].json``: dense 1-based ids over all shards, one
     object per line. More shards write in parallel; each is a complete document."""
@@ -138,13 +162,14 @@ def write_coco(ds: Dataset, root: str, split: str = "train", shards: int = 1, ov
     w, h = F.col("w") * W, F.col("h") * H
     bbox = F.array((F.col("cx") - F.col("w") / 2) * W, (F.col("cy") - F.col("h") / 2) * H, w, h)
     crowd = F.col("iscrowd").cast("int") if "iscrowd" in ds.labels.columns else F.lit(0)
+    area = F.coalesce(F.col("area"), w * h) if "area" in ds.labels.columns else w * h
     ann = F.to_json(
         F.struct(
             "id", "image_id", (F.col("class_id") + 1).alias("category_id"), bbox.alias("bbox"),
-            (w * h).alias("area"), F.coalesce(crowd, F.lit(0)).alias("iscrowd"),
-            F.array().cast("array<array<double>>").alias("segmentation"),
+            area.alias("area"), F.coalesce(crowd, F.lit(0)).alias("iscrowd"),
         )
     )
+    ann = F.concat(F.substring(ann, 1, F.length(ann) - 1), F.lit(',"segmentation":'), coco_segmentation(labels, W, H), F.lit("}"))
     img = F.to_json(
         F.struct(
             F.col("image_id").alias("id"), file_name(F.col("image_path")).alias("file_name"),
@@ -265,13 +290,34 @@ def write_voc(ds: Dataset, root: str, split: str = "train", overwrite: bool = Fa
     _write(parts, root, overwrite)
 
 
-def _cvat_box(labels: DataFrame, extra: str = "", *args: Column) -> Column:
+def _cvat_shape(labels: DataFrame, extra: Column | None = None) -> Column:
+    """Element of a label: a box, or the ``shape_type`` of labels with ``points``, with its ``attributes`` inside."""
     W, H = F.col("image_width"), F.col("image_height")
     x1, y1, x2, y2 = center_to_corners(*(F.col(c) for c in ("cx", "cy", "w", "h")))
-    return F.format_string(
-        f'    <box{extra} label="%s" occluded="0" xtl="%.4f" ytl="%.4f" xbr="%.4f" ybr="%.4f"></box>',
-        *args, _xml(F.col("class_name")), x1 * W, y1 * H, x2 * W, y2 * H,
-    )
+    corners = F.format_string('xtl="%.4f" ytl="%.4f" xbr="%.4f" ybr="%.4f"', x1 * W, y1 * H, x2 * W, y2 * H)
+    tag, place = F.lit("box"), corners
+    if {"points", "shape_type"} <= set(labels.columns):
+        shares = F.forall("points", lambda v: v.between(0, 1))
+        flat = F.transform("points", lambda v, i: F.format_string(
+            "%.2f", F.when(shares, v * F.when(i % 2 == 0, W).otherwise(H)).otherwise(v)))
+        x, y = F.filter(flat, lambda v, i: i % 2 == 0), F.filter(flat, lambda v, i: i % 2 == 1)
+        points = F.array_join(F.zip_with(x, y, lambda a, b: F.concat_ws(",", a, b)), ";")
+        usable = (F.size("points") >= 2) & F.col("shape_type").isin("polygon", "polyline", "points", "cuboid")
+        tag = F.when(usable, F.col("shape_type")).otherwise(tag)
+        place = F.when(usable, F.concat(F.lit('points="'), points, F.lit('"'))).otherwise(place)
+    inside = F.lit("")
+    if "attributes" in labels.columns:
+        own = F.array(*[F.lit(k) for k in CVAT_OWN])
+        entries = F.map_entries("attributes")
+        set_ = F.filter(entries, lambda e: F.array_contains(own, e["key"]) & e["value"].isNotNull())
+        place = F.concat(place, F.coalesce(F.array_join(F.transform(
+            set_, lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), _xml(e["value"]), F.lit('"'))), ""), F.lit("")))
+        free = F.filter(entries, lambda e: ~F.array_contains(own, e["key"]) & e["value"].isNotNull())
+        inside = F.coalesce(F.array_join(F.transform(F.array_sort(free), lambda e: F.concat(
+            F.lit('<attribute name="'), _xml(e["key"]), F.lit('">'), _xml(e["value"]), F.lit("</attribute>"))), ""), inside)
+    hidden = F.coalesce(F.col("occluded").cast("int"), F.lit(0)) if "occluded" in labels.columns else F.lit(0)
+    start = F.concat(F.lit("    <"), tag, F.lit("") if extra is None else extra, F.lit(' label="'), _xml(F.col("class_name")))
+    return F.concat(start, F.lit('" occluded="'), F.when(hidden > 0, "1").otherwise("0"), F.lit('" '), place, F.lit(">"), inside, F.lit("</"), tag, F.lit(">"))
 
 
 def track_table(labels: DataFrame) -> DataFrame:
@@ -308,7 +354,7 @@ def write_cvat(ds: Dataset, root: str, overwrite: bool = False) -> None:
         _rows(classes, rel, 1, label, F.col("class_id")),
         _rows(one, rel, 2, F.lit("  </labels></task></meta>")),
         _rows(ds.samples, rel, 3, img, F.col("ordinal"), c=0),
-        _rows(plain, rel, 3, _cvat_box(plain), F.col("ordinal"), F.col("label_index"), c=1),
+        _rows(plain, rel, 3, _cvat_shape(plain), F.col("ordinal"), F.col("label_index"), c=1),
         _rows(ds.samples, rel, 3, F.lit("  </image>"), F.col("ordinal"), F.lit((1 << 63) - 1), c=2),
         _rows(one, rel, 5, F.lit("</annotations>")),
     ]
@@ -318,7 +364,7 @@ def write_cvat(ds: Dataset, root: str, overwrite: bool = False) -> None:
         tracks = track_table(labels)
         heads = tracks.groupBy("out_id").agg(F.first("track_class").alias("track_class"))
         shapes = labels.join(tracks, "track_id")
-        box = _cvat_box(shapes, ' frame="%d" outside="0"', F.col("ordinal"))
+        box = _cvat_shape(shapes, F.format_string(' frame="%d" outside="0"', "ordinal"))
         open_ = F.format_string('  <track id="%d" label="%s">', "out_id", _xml(F.col("track_class")))
         parts += [
             _rows(heads, rel, 4, open_, F.col("out_id"), F.lit(-1)),

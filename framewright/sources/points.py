@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +15,7 @@ from framewright.operators.cloud import normalize_intensity
 from framewright.operators.ranking import with_rank
 from framewright.sinks.files import open_fs
 from framewright.sources.files import split_lines
+from framewright.sources.records import listed
 
 _PCD_WORDS = "VERSION|FIELDS|SIZE|TYPE|COUNT|WIDTH|HEIGHT|VIEWPOINT|POINTS|DATA"
 _PLY_WORDS = "ply|format|comment|obj_info|element|property|end_header"
@@ -98,13 +98,9 @@ class _FloatReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         """Listing only; no file is opened."""
         fs, base = open_fs(self.root)
-        found = fs.get_file_info(base)
-        files = [found] if found.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(base, recursive=True))
         width, out, waiting, size = 4 * self.fields, [], [], 0
         step = max(1, self.bytes // width)
-        for info in sorted(files, key=lambda f: f.path):
-            if info.type != pafs.FileType.File or not info.path.endswith(self.suffix):
-                continue
+        for info in listed(fs, base, self.suffix):
             n = info.size // width
             for first in range(0, n, step):
                 waiting.append((info.path, first, min(step, n - first)))

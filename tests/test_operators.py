@@ -19,6 +19,7 @@ from framewright.sources import labels as R
 from framewright.sources import points as P
 from framewright.sources import registry, yolo
 from framewright.sources.files import detect_formats, numbered_lines
+from framewright.sources.records import xml_records
 
 LABEL = "sample_id INT, label_index INT, class_name STRING, class_id INT, cx DOUBLE, cy DOUBLE, w DOUBLE, h DOUBLE, confidence DOUBLE"
 
@@ -356,6 +357,64 @@ def test_normals_of_a_plane(spark):
     assert all(abs(r["nz"] - 1.0) < 1e-6 for r in n)  # toward the origin
 
 
+def test_xml_records_in_ranges(spark, tmp_path):
+    """Every range size gives the same elements, each once, wherever its borders fall."""
+    doc = '<?xml version="1.0"?>\n<annotations><meta><label><name>a &gt; b</name></label><labels/></meta>'
+    for i in range(200):
+        inner = "" if i % 5 == 0 else f'<box label="x>y" xtl="{i}"><attribute name="n">{"ä" * (i % 7)}</attribute></box>'
+        doc += f'<image id="{i}"/>' if i % 5 == 0 else f'\n  <image id="{i}" name="imagery &lt;{i}">{inner}</image >'
+    doc += "<track id='3' label='</image>'><box/></track></annotations>"
+    (tmp_path / "a.xml").write_text(doc)
+    want = None
+    for size in (7, 100, 1000, 1 << 20):
+        got = rows(xml_records(spark, str(tmp_path / "a.xml"), "image", "track", "label", range_bytes=size))
+        want = want or got
+        assert got == want
+    assert [(t, sum(r[1] == t for r in want)) for t in ("image", "label", "track")] == [("image", 200), ("label", 1), ("track", 1)]
+    raw = doc.encode()
+    assert all(raw[at:].startswith(x.encode()) for _, _, at, x in want)
+
+
+def test_coco_masks_round_trip(spark, tmp_path):
+    doc = {
+        "images": [{"id": 1, "file_name": "a.jpg", "width": 100, "height": 50}], "categories": [{"id": 1, "name": "car"}],
+        "annotations": [
+            {"id": 1, "image_id": 1, "category_id": 1, "bbox": [1, 1, 9, 9], "area": 12.5, "iscrowd": 0, "segmentation": [[10, 10, 20, 10, 20, 20], [1, 2]]},
+            {"id": 2, "image_id": 1, "category_id": 1, "bbox": [1, 1, 9, 9], "area": 81, "iscrowd": 1, "segmentation": {"size": [50, 100], "counts": "a1\"b"}},
+            {"id": 3, "image_id": 1, "category_id": 1, "bbox": [1, 1, 9, 9], "segmentation": []}],
+    }
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(doc))
+    first = R.read_coco(spark, str(tmp_path / "in"))
+    S.write_coco(first, str(tmp_path / "out"))
+    for ds in (first, R.read_coco(spark, str(tmp_path / "out")), R.read_coco(spark, str(tmp_path / "out"), layout="lines")):
+        a, b, c = ds.labels.orderBy("label_index").collect()
+        assert [list(map(list, a["segments"])), a["rle"], a["area"], a["iscrowd"]] == [[[.1, .2, .2, .2, .2, .4]], None, 12.5, False]
+        assert b["segments"] is None and json.loads(b["rle"]) == {"size": [50, 100], "counts": 'a1"b'} and b["iscrowd"]
+        assert c["segments"] is None and c["rle"] is None
+
+
+def test_cvat_fields_round_trip(spark, tmp_path):
+    shapes = (
+        '<box label="car" occluded="1" source="manual" z_order="4" xtl="10" ytl="5" xbr="20" ybr="10"><attribute name="color">red &amp; blue</attribute>'
+        '<attribute name=" color ">green</attribute><attribute name="">x</attribute></box>'
+        '<polyline label="lane" points="0,0;50.5,25;100,50" rotation="30"></polyline><points label="eye" points="10,10"/>'
+    )
+    (tmp_path / "a.xml").write_text(
+        "<annotations><meta><task><labels><label><name>car</name></label><label><name>lane</name></label><label><name>eye</name></label></labels></task></meta>"
+        f'<image id="0" name="i.jpg" width="100" height="50">{shapes}</image>'
+        '<track id="5" label="car"><box frame="0" outside="0" occluded="0" keyframe="1" xtl="1" ytl="1" xbr="2" ybr="2"><attribute name="speed"></attribute></box></track></annotations>')
+    first = R.read_cvat(spark, str(tmp_path / "a.xml"))
+    S.write_cvat(first, str(tmp_path / "out"))
+    for ds in (first, R.read_cvat(spark, str(tmp_path / "out" / "annotations.xml"))):
+        got = {(r["class_name"], r["track_id"]): r for r in ds.labels.collect()}
+        car, lane, eye, moving = (got[k] for k in (("car", None), ("lane", None), ("eye", None), ("car", 5)))
+        assert car["attributes"] == {"color": "green", "source": "manual", "z_order": "4"} and car["occluded"] and car["points"] is None
+        assert lane["shape_type"] == "polyline" and lane["points"] == [0, 0, .505, .5, 1, 1] and lane["attributes"] == {"rotation": "30"}
+        assert eye["shape_type"] == "points" and eye["points"] == [.1, .2]
+        assert moving["attributes"] == {"speed": "", "keyframe": "1"}
+
+
 def test_coco_document(spark, tmp_path):
     doc = {
         "images": [{"id": 1, "file_name": "img001.jpg", "width": 640, "height": 480},
