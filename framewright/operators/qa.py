@@ -107,7 +107,11 @@ def pair_counts(ds: Dataset, threshold: float = IOU) -> DataFrame:
 
 def pair_checks(ds: Dataset, threshold: float = IOU) -> DataFrame:
     """Overlapping boxes and duplicate labels from one pair join."""
-    pairs = _pairs(ds.labels, min(threshold, DUPLICATE_IOU), same_class=False)
+    return pair_issues(_pairs(ds.labels, min(threshold, DUPLICATE_IOU), same_class=False), threshold)
+
+
+def pair_issues(pairs: DataFrame, threshold: float = IOU) -> DataFrame:
+    """Issues of joined pairs ``sample_id, l, r, iou``, the lower label on the left."""
     twin = (F.col("iou") > DUPLICATE_IOU) & (F.col("l.class_id") == F.col("r.class_id"))
     kinds = F.filter(
         F.array(

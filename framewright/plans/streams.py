@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framewright.plans import fixtures as X
 from framewright.plans.fixtures import sql
+from framewright.plans.labels import _PAIRS
 from framewright.plans.registry import query
 from framewright.session import scratch_path
 from framewright.streaming import jobs
@@ -132,6 +133,38 @@ def stream_sync(spark, sf):
     return _out(spark, jobs.sync(clouds, images, 300_000_000), "sync")
 
 
+def _in_parts(spark, sf, n=6):
+    """The line items as files of a growing folder, dealt by price, so that boxes of an image arrive in different triggers."""
+    path = scratch_path(spark, "arrivals")
+    rows = X.table(spark, sf, "lineitem").withColumn("_part", F.pmod(F.xxhash64("l_extendedprice"), F.lit(n)))
+    rows.repartition(n, "_part").drop("_part").write.parquet(path)
+    return path
+
+
+@query(
+    "stream_label_pairs",
+    sql(
+        _PAIRS + """, kinds AS (SELECT *, 'overlapping_boxes' AS issue_type FROM pairs WHERE iou > 0.8
+        UNION ALL SELECT *, 'duplicate_label' FROM pairs WHERE iou > 0.95 AND id_i = id_j)
+        SELECT issue_type, sample_id, i AS label_index, j AS other_index, round(iou, 9) AS measure FROM kinds""",
+        "corners",
+    ),
+)
+def stream_label_pairs(spark, sf):
+    from framewright.model import unit
+
+    labels = jobs.file_stream(spark, _in_parts(spark, sf), "*.parquet", 1).select(
+        F.col("l_orderkey").alias("sample_id"), X.label_key().alias("label_index"),
+        F.concat("l_returnflag", "l_linestatus").alias("class_name"), X.class_id().alias("class_id"),
+        unit(F.col("l_quantity") / 50).alias("cx"),
+        unit((F.col("l_extendedprice") % 1000) / 1000).alias("cy"),
+        unit(F.lit(0.02) + F.lit(9.8) * F.col("l_discount")).alias("w"),
+        unit(F.lit(0.02) + F.lit(12.25) * F.col("l_tax")).alias("h"),
+    )
+    found = jobs.new_label_pairs(labels, scratch_path(spark, "label-pairs"))
+    return found.select("issue_type", "sample_id", "label_index", "other_index", F.round("measure", 9).alias("measure"))
+
+
 @query(
     "stream_review_state",
     sql(
@@ -143,11 +176,11 @@ def stream_sync(spark, sf):
 )
 def stream_review_state(spark, sf):
     status = F.when(F.col("l_returnflag") == "A", "approved").when(F.col("l_returnflag") == "R", "rejected")
-    edits = jobs.file_stream(spark, sf, "lineitem.parquet").select(
+    edits = jobs.file_stream(spark, _in_parts(spark, sf), "*.parquet", 1).select(
         F.col("l_orderkey").alias("item_id"), X.label_key().alias("edit_id"), F.col("l_shipdate").alias("ts"),
         status.alias("status"), (F.col("l_returnflag") == "N").alias("annotations_edited"),
     )
-    return jobs.review_state(edits, scratch_path(spark, "review"))
+    return jobs.review_state(edits, scratch_path(spark, "review"), fan=3)
 
 
 @query(

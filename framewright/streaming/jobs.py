@@ -3,15 +3,22 @@ the message, and late rows beyond the watermark are dropped by Spark."""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from framewright.functions.joins import iou_join, self_iou_join
 from framewright.operators import qa
 from framewright.operators.runs import RECENT
+from framewright.session import materialize
+from framewright.sinks.files import open_fs
 
 # Least milliseconds between events of a type; others take the first.
 DEFAULT_INTERVAL_MS = 100
@@ -155,28 +162,84 @@ def sync(clouds: DataFrame, images: DataFrame, tolerance_us: int, delay: str = "
     )
 
 
-def review_state(edits: DataFrame, out: str) -> DataFrame:
+class MergeLog:
+    """Reduced batches under a folder, merged in levels like a binary counter of base ``fan``.
+
+    A small file, replaced as a whole, names the live parts. A trigger writes its part aside and then names it; when ``fan`` parts of a
+    level are live, they are merged into one of the next level in the same step. So n triggers leave at most ``fan - 1`` parts a level on
+    log(n) levels, each row is rewritten once a level, and what a failed trigger left behind is not named and not read.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, merge: Callable[[DataFrame], DataFrame], fan: int = 8) -> None:
+        if fan < 2:
+            raise ValueError("fan must be at least 2")
+        self.spark, self.root, self.merge, self.fan = spark, root.rstrip("/"), merge, fan
+        self.fs, self.base = open_fs(self.root)
+
+    def manifest(self) -> dict:
+        path = f"{self.base}/manifest.json"
+        if self.fs.get_file_info(path).type == pafs.FileType.NotFound:
+            return {"last": -1, "parts": []}
+        with self.fs.open_input_stream(path) as f:
+            return json.loads(f.read())
+
+    def _name(self, manifest: dict) -> None:
+        self.fs.create_dir(self.base, recursive=True)
+        aside = f"{self.base}/.manifest-{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(aside) as f:
+            f.write(json.dumps(manifest).encode())
+        self.fs.move(aside, f"{self.base}/manifest.json")
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"part-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{name}")
+        return name
+
+    def add(self, rows: DataFrame, number: int) -> None:
+        """Take the rows of a trigger, once: a trigger that is repeated after it was named changes nothing."""
+        log = self.manifest()
+        if number <= log["last"]:
+            return
+        parts = [*log["parts"], [0, self._write(self.merge(rows))]]
+        made, level = {name for _, name in parts}, 0
+        while len(same := [p for p in parts if p[0] == level]) >= self.fan:
+            whole = self.merge(self.spark.read.parquet(*[f"{self.root}/{name}" for _, name in same]))
+            parts = [[level + 1, self._write(whole)], *[p for p in parts if p[0] != level]]
+            made.add(parts[0][1])
+            level += 1
+        self._name({"last": number, "parts": parts})
+        for name in made - {name for _, name in parts}:  # merged, and no longer named
+            self.fs.delete_dir(f"{self.base}/{name}")
+
+    def read(self) -> DataFrame | None:
+        parts = self.manifest()["parts"]
+        return self.merge(self.spark.read.parquet(*[f"{self.root}/{name}" for _, name in parts])) if parts else None
+
+
+def review_state(edits: DataFrame, out: str, fan: int = 8) -> DataFrame:
     """Latest status per item from a stream of edits.
 
-    Each trigger reduces its edits to one row per item and writes them under its batch number
-    (written again after a failure); the reader merges the batches, latest wins.
+    Each trigger reduces its edits to one row per item and adds them to a ``MergeLog``; the reader merges its few parts, latest wins.
     """
     at = F.struct("ts", "edit_id")
     new = F.when(F.col("annotations_edited"), "modified").otherwise(F.col("status"))
+    spark = edits.sparkSession
+    log = MergeLog(spark, f"{out}/data", lambda rows: rows.groupBy("item_id").agg(F.max("last").alias("last")), fan)
 
     def save(batch: DataFrame, number: int) -> None:
-        latest = batch.where(F.col("annotations_edited") | F.col("status").isNotNull()).groupBy("item_id").agg(
-            F.max(F.struct(at.alias("at"), new.alias("status"))).alias("last")
-        )
-        latest.write.mode("overwrite").parquet(f"{out}/data/batch={number}")
+        known = batch.where(F.col("annotations_edited") | F.col("status").isNotNull())
+        log.add(known.select("item_id", F.struct(at.alias("at"), new.alias("status")).alias("last")), number)
 
     q = (
         edits.writeStream.foreachBatch(save).option("checkpointLocation", f"{out}/_checkpoint")
         .trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    parts = edits.sparkSession.read.parquet(f"{out}/data")
-    return parts.groupBy("item_id").agg(F.max("last").alias("l")).select("item_id", "l.status", F.col("l.at.ts").alias("ts"))
+    rows = log.read()
+    if rows is None:
+        kind = edits.schema
+        return spark.createDataFrame([], T.StructType([kind["item_id"], kind["status"], kind["ts"]]))
+    return rows.select("item_id", F.col("last.status").alias("status"), F.col("last.at.ts").alias("ts"))
 
 
 def new_label_checks(labels: DataFrame) -> DataFrame:
@@ -184,18 +247,46 @@ def new_label_checks(labels: DataFrame) -> DataFrame:
     return qa.row_checks(labels)
 
 
-def pair_checks(samples: DataFrame, threshold: float = qa.IOU) -> Callable[[DataFrame, int], DataFrame]:
-    """For ``foreachBatch``: overlap and duplicate checks among the labels of one trigger."""
-    from framewright.model import Dataset
+def new_label_pairs(labels: DataFrame, out: str, threshold: float = qa.IOU, buckets: int = 64) -> DataFrame:
+    """Overlap and duplicate checks of arriving labels among each other and against those of all earlier triggers.
+
+    Arrived boxes are kept in buckets of their sample; a trigger reads the buckets that its own samples fall in and joins its
+    boxes with theirs, so a pair is found once, by the trigger that completes it. Boxes and issues of a trigger lie under its number
+    and are written again after a failure.
+    """
+    spark = labels.sparkSession
+    both = min(threshold, qa.DUPLICATE_IOU)
+    kept = ["sample_id", "label_index", "class_id", "class_name", "x1", "y1", "x2", "y2"]
+    store, issues = f"{out}/boxes", f"{out}/data"
+    kinds = labels.select("sample_id", "label_index", "class_id", "class_name").schema
+    schema = T.StructType([*kinds, *[T.StructField(c, T.DoubleType()) for c in kept[4:]], T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
 
-    def check(batch: DataFrame, _: int) -> DataFrame:
-        ds = Dataset(samples, batch)
-        return qa.overlapping(ds, threshold).unionByName(qa.duplicate_labels(ds))
+    def save(batch: DataFrame, number: int) -> None:
+        bucket = F.pmod(F.xxhash64("sample_id"), F.lit(buckets)).cast("int")
+        new = materialize(qa.with_corners(batch).select(*kept, bucket.alias("bucket")))
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most ``buckets``
+        pairs = self_iou_join(new, ["sample_id"], "label_index", both).select("sample_id", "l", "r", "iou")
+        if number and touched:
+            old = spark.read.schema(schema).parquet(store).where(F.col("bucket").isin(touched) & (F.col("batch") < number))
+            met = iou_join(new, old.select(*kept, "bucket"), ["sample_id"], both).select("sample_id", "l", "r", "iou")
+            turned = F.col("l.label_index") > F.col("r.label_index")
+            one, two = (F.when(turned, F.col(a)).otherwise(F.col(b)) for a, b in (("r", "l"), ("l", "r")))
+            pairs = pairs.unionByName(met.select("sample_id", one.alias("l"), two.alias("r"), "iou"))
+        qa.pair_issues(pairs, threshold).write.mode("overwrite").parquet(f"{issues}/batch={number}")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/batch={number}")
 
-    return check
+    q = (
+        labels.writeStream.foreachBatch(save).option("checkpointLocation", f"{out}/_checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(issues).drop("batch")
 
 
-def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
     """A growing folder of Parquet files as a stream; ``name`` is a file pattern in it."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(folder)
