@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Sequence
 
@@ -40,7 +41,7 @@ def url_tokens(host: Column, path: Column) -> Column:
     parts = F.transform(parts, lambda x: F.when(F.regexp_like(x, F.lit("^[0-9]+$")), "path=#").otherwise(F.concat(F.lit("path="), x)))
     words = F.flatten(F.transform(labels, lambda x: F.split(x, "-")))
     return F.array_distinct(F.concat(
-        F.transform(words, lambda x: F.concat(F.lit("host="), x)), F.slice(suffixes, 1, 8), parts
+        F.transform(words, lambda x: F.concat(F.lit("host="), x)), suffixes, parts
     ))
 
 
@@ -53,41 +54,66 @@ def listed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
     return out
 
 
-def mine(labelled: DataFrame, support: float, confidence: float, most: int = 3) -> DataFrame:
-    """``rule_id, tokens, verdict, confidence, support``: pruned rules from ``tokens, block``.
+def mined_rules(labelled: DataFrame, support: float, confidence: float) -> tuple[DataFrame, DataFrame]:
+    """``rule_id, tokens, verdict, confidence, support`` of the pruned rules from ``tokens, block``, and ``token, item``: which item of a
+    rule a token stands for.
 
     Spark's FP-growth finds the frequent combinations of URL tokens with the label; those holding a label are
     divided by the frequency of the rest. A rule stays if it is confident and no rule of a part of its tokens
-    is as confident. Rules have at most ``most`` tokens. Their number is bounded by ``support``, not by the rows.
+    is as confident. Combinations of any length count. Two steps before keep their number down and change no rule: a token that all
+    its URLs share with one verdict is a rule of confidence 1 by itself, which no larger combination beats, and takes no further
+    part; and tokens that occur in the same URLs are one item. So a long URL that is repeated a hundred times is a few items, not all
+    combinations of its parts. What remains doubles with each further item that a frequent combination shares with URLs of the
+    other verdict.
     """
     spark = labelled.sparkSession
-    rows = labelled.select(F.concat("tokens", F.array(F.when(F.col("block"), BLOCK).otherwise(ALLOW))).alias("items"))
-    rows = stored(rows.where(F.size("items") > 1), "url-baskets")
+    rows = stored(labelled.where(F.size("tokens") > 0).withColumn("id", F.monotonically_increasing_id()), "url-baskets")
     n = rows.count()
     schema = "rule_id LONG, tokens ARRAY<STRING>, verdict STRING, confidence DOUBLE, support DOUBLE"
     if n == 0:
-        return spark.createDataFrame([], schema)
-    sets = FPGrowth(itemsCol="items", minSupport=support).fit(rows).freqItemsets
-    sets = stored(sets.select(F.array_sort("items").alias("items"), "freq"), "url-sets")
-    label = F.when(F.array_contains("items", BLOCK), "block").when(F.array_contains("items", ALLOW), "allow")
-    with_label = sets.withColumn("verdict", label).where("verdict IS NOT NULL").select(
-        F.filter("items", lambda x: ~x.isin(BLOCK, ALLOW)).alias("tokens"), "verdict", F.col("freq").alias("both")
-    ).where(F.size("tokens").between(1, most))
-    alone = sets.select(F.col("items").alias("tokens"), F.col("freq").alias("all"))
-    rules = with_label.join(alone, "tokens").withColumn("confidence", F.col("both") / F.col("all"))
-    rules = stored(rules.where(F.col("confidence") >= confidence), "url-rules").withColumn("support", F.col("both") / n)
-    # a part of the tokens: drop one, and one more
-    drop_one = F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part")
-    parts = rules.select("tokens", "verdict", "confidence", drop_one)
-    parts = parts.unionByName(parts.select(
-        "tokens", "verdict", "confidence", F.explode(F.transform("part", lambda t: F.array_remove("part", t))).alias("part")
-    )).where(F.size("part") > 0)
-    shorter = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("c"))
-    beaten = parts.join(shorter, ["part", "verdict"]).where("c >= confidence").select("tokens", "verdict").distinct()
-    kept = rules.join(beaten, ["tokens", "verdict"], "left_anti")
-    return stored(
-        kept.select(F.xxhash64("tokens", "verdict").alias("rule_id"), "tokens", "verdict", "confidence", "support"), "url-kept"
+        return spark.createDataFrame([], schema), spark.createDataFrame([], "token STRING, item STRING")
+    each = rows.select("id", "block", F.explode(F.array_distinct("tokens")).alias("token"))
+    tokens = each.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("block").alias("blocks"),
+        F.bit_xor(F.xxhash64("id")).alias("one"), F.bit_xor(F.xxhash64(F.lit("two"), "id")).alias("two"),
     )
+    least = max(1, math.ceil(support * n))
+    tokens = stored(tokens.where(F.col("n") >= least), "url-tokens")
+    pure = (F.col("blocks") == 0) | (F.col("blocks") == F.col("n"))
+    mixed = tokens.where(~pure)
+    heads = mixed.groupBy("n", "blocks", "one", "two").agg(F.min("token").alias("item"))
+    items = stored(mixed.join(heads, ["n", "blocks", "one", "two"]).select("token", "item").unionByName(
+        tokens.where(pure).select("token", F.col("token").alias("item"))), "url-items")
+    alone = tokens.where(pure).select(
+        F.array("token").alias("tokens"), F.when(F.col("blocks") > 0, "block").otherwise("allow").alias("verdict"), F.col("n").alias("both"), F.col("n").alias("all")
+    )
+    heads, _ = small_side(stored(heads.select(F.col("item").alias("token")), "url-heads"))
+    baskets = each.join(heads, "token").groupBy("id").agg(F.collect_set("token").alias("items"), F.first("block").alias("block"))
+    baskets = stored(baskets.select(F.concat("items", F.array(F.when(F.col("block"), BLOCK).otherwise(ALLOW))).alias("items")), "url-reduced")
+    if not baskets.isEmpty():
+        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, baskets.count()))).fit(baskets).freqItemsets
+        sets = stored(sets.select(F.array_sort("items").alias("items"), "freq"), "url-sets")
+        label = F.when(F.array_contains("items", BLOCK), "block").when(F.array_contains("items", ALLOW), "allow")
+        with_label = sets.withColumn("verdict", label).where("verdict IS NOT NULL").select(
+            F.filter("items", lambda x: ~x.isin(BLOCK, ALLOW)).alias("tokens"), "verdict", F.col("freq").alias("both")
+        ).where(F.size("tokens") > 0)
+        plain = sets.select(F.col("items").alias("tokens"), F.col("freq").alias("all"))
+        alone = alone.unionByName(with_label.join(plain, "tokens").select("tokens", "verdict", "both", "all"))
+    rules = alone.withColumn("confidence", F.col("both") / F.col("all")).where(F.col("confidence") >= confidence)
+    rules = stored(rules.select(
+        F.xxhash64("tokens", "verdict").alias("rule_id"), "tokens", "verdict", "confidence", (F.col("both") / n).alias("support")), "url-rules")
+    # A part of a rule's tokens: filed under its first token, looked up by all tokens of the rule, then compared.
+    short = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("c"), F.get("tokens", F.lit(0)).alias("token"))
+    long = rules.select("rule_id", "tokens", "verdict", "confidence", F.explode("tokens").alias("token")).where(F.size("tokens") > 1)
+    beaten = long.join(short, ["token", "verdict"]).where(
+        (F.size("part") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("part", "tokens")) == 0)
+    ).select("rule_id").distinct()
+    return stored(rules.join(beaten, "rule_id", "left_anti"), "url-kept"), items
+
+
+def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
+    """The rules alone, see ``mined_rules``."""
+    return mined_rules(labelled, support, confidence)[0]
 
 
 def judge(
@@ -123,10 +149,11 @@ def judge(
     else:
         train = train.withColumn("mark", F.lit(None).cast("boolean"))
     block = F.coalesce(F.col("listed.verdict") == "block", F.col("mark"))
-    mined = mine(train.select("tokens", block.alias("block")).where("block IS NOT NULL"), support, confidence)
+    mined, items = mined_rules(train.select("tokens", block.alias("block")).where("block IS NOT NULL"), support, confidence)
 
-    open_urls = rows.where("listed IS NULL").select("host", "path").distinct().withColumn("tokens", tokens)
-    open_urls = open_urls.withColumn("url_key", F.xxhash64("host", "path"))
+    open_urls = rows.where("listed IS NULL").select("host", "path").distinct()
+    found = open_urls.select("host", "path", F.explode(tokens).alias("token")).join(small_side(items)[0], "token")
+    open_urls = stored(found.groupBy("host", "path").agg(F.collect_set("item").alias("tokens")), "url-open")
     filed = mined.select("*", F.explode("tokens").alias("token"))
     common = filed.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     seen = open_urls.select(F.explode("tokens").alias("token"))

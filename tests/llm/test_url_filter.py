@@ -1,3 +1,5 @@
+import itertools
+import random
 import re
 
 from framewright.llm import url_filter as uf
@@ -62,6 +64,46 @@ def test_rules_against_counts(spark):
     assert (("a", "c"), "block") not in found  # no better than ("c",)
 
 
+def test_rules_of_any_length_against_all_combinations(spark):
+    """Every confident combination that no part beats, also of four and more tokens; tokens that go together are one item."""
+    rng = random.Random(3)
+    data = []
+    for _ in range(120):
+        tokens = [t for t in "abcde" if rng.random() < 0.75]
+        tokens += ["x", "y"] * (rng.random() < 0.4)
+        data.append((tokens or ["a"], set("abcd") <= set(tokens) or rng.random() < 0.1))
+    rules, items = uf.mined_rules(spark.createDataFrame(data, "tokens ARRAY<STRING>, block BOOLEAN"), 0.05, 0.85)
+    of = {r["token"]: r["item"] for r in items.collect()}
+    assert of["y"] == of["x"] == "x"
+    want = {}
+    for k in range(1, 7):
+        for combo in itertools.combinations("abcdex", k):
+            rows = [b for t, b in data if set(combo) <= set(t)]
+            for verdict in (True, False):
+                both = sum(b == verdict for b in rows)
+                if both >= 0.05 * len(data) and both / len(rows) >= 0.85:
+                    want[combo, verdict] = both / len(rows)
+    kept = {r for r in want if not any(set(p) < set(r[0]) and v == r[1] and want[p, v] >= want[r] for p, v in want)}
+    got = {(tuple(sorted(r["tokens"])), r["verdict"] == "block"): r["confidence"] for r in rules.collect()}
+    assert set(got) == kept and all(got[r] == want[r] for r in got)
+    assert max(len(r[0]) for r in kept) >= 4
+
+
+def test_long_repeated_url_and_many_labels(spark):
+    """Forty parts a hundred times over, six of them shared with other URLs, and a rule on the longest host suffix."""
+    path = "/".join(f"p{i}" for i in range(40))
+    rows = [(i, f"http://a.org/{path}") for i in range(100)] + [(100 + i, f"http://b{i}.org/p{i % 6}/other") for i in range(100)]
+    deep = ".".join(f"l{i}" for i in range(12)) + ".org"
+    rows += [(200 + i, f"http://{'x' if i % 2 else 'y'}.{deep}/q") for i in range(100)]
+    marks = [(i, int(i < 100 or (i >= 200 and i % 2))) for i in range(300) if i % 10]
+    got = uf.judge(spark.createDataFrame(rows, "page_id LONG, url STRING"), spark.createDataFrame(marks, "doc_id LONG, toxic INT"), support=0.02)
+    got = got.toPandas().set_index("page_id")
+    assert (got.loc[range(100), "verdict"] == "block").all() and (got.loc[range(100, 200), "verdict"] == "allow").all()
+    assert all(got.loc[200 + i, "verdict"] == ("block" if i % 2 else "allow") for i in range(100))
+    one = spark.range(1).select(uf.url_tokens(F.lit(deep), F.lit("/")).alias("t")).first()["t"]
+    assert "under=" + deep in one
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id LONG, url STRING")
     assert uf.judge(pages, spark.createDataFrame([], "doc_id LONG, toxic INT")).count() == 0
