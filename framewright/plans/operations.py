@@ -672,6 +672,10 @@ def _faces(spark, sf):
     )
 
 
+def _hits(spark, sf, faces):
+    return redact.face_hits(X.points(spark, sf), redact.virtual_cameras(X.raw_points(spark, sf)), faces)
+
+
 @query(
     "redact_points",
     sql(
@@ -681,13 +685,20 @@ def _faces(spark, sf):
     ),
 )
 def redact_points(spark, sf):
-    hit = redact.face_points(_viewed(spark, sf), _faces(spark, sf))
+    hit = _hits(spark, sf, _faces(spark, sf))
     return redact.redact_points(X.points(spark, sf), hit).select("cloud_id", "point_idx")
 
 
-@query("redact_points_noise")
+@query(
+    "redact_points_noise",
+    sql(
+        _FACES + """ SELECT p.cloud_id, count(*) AS points, count(h.point_idx) AS noised FROM points p
+        LEFT JOIN hit h ON h.cloud_id = p.cloud_id AND h.point_idx = p.point_idx GROUP BY 1""",
+        "points",
+    ),
+)
 def redact_points_noise(spark, sf):
-    hit = redact.face_points(_viewed(spark, sf), _faces(spark, sf))
+    hit = _hits(spark, sf, _faces(spark, sf))
     out = redact.redact_points(X.points(spark, sf), hit, mode="noise", sigma=0.1, seed=3)
     return out.groupBy("cloud_id").agg(
         F.count(F.lit(1)).alias("points"), F.count_if("noised").alias("noised")
@@ -707,5 +718,5 @@ def redact_points_noise(spark, sf):
 )
 def redact_summary(spark, sf):
     faces = _faces(spark, sf)
-    hit = redact.face_points(_viewed(spark, sf), faces)
+    hit = _hits(spark, sf, faces)
     return redact.redact_summary(X.raw_points(spark, sf), hit, faces)

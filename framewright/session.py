@@ -59,6 +59,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write rows to the shared folder and read them back. Unlike ``materialize`` the result has a known size, so that Spark
+    can tell a side that is small enough to broadcast."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition by the keys of a following Python group function.
 
