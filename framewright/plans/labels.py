@@ -516,7 +516,25 @@ def path_distinct(spark, sf):
     )
 
 
-@query("augment_boxes")
+def _draw_sql(tag: str) -> str:
+    return f"('0x' || substr(md5(sample_id || ':' || copy || ':7{tag}'), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE"
+
+
+@query(
+    "augment_boxes",
+    sql(
+        f""", copies AS (SELECT a.*, copy FROM annotations a, (SELECT unnest([0, 1, 2]) AS copy)),
+        drawn AS (SELECT *, CASE WHEN {_draw_sql("flip")} < 0.5 AND copy > 0 THEN 1 - cx ELSE cx END AS fx,
+          CASE WHEN copy > 0 THEN ({_draw_sql("dx")} * 2 - 1) * 0.1::DOUBLE ELSE 0 END AS dx,
+          CASE WHEN copy > 0 THEN ({_draw_sql("dy")} * 2 - 1) * 0.1::DOUBLE ELSE 0 END AS dy FROM copies),
+        cut AS (SELECT *, greatest(0, fx + dx - w / 2) AS x1, least(1, fx + dx + w / 2) AS x2,
+          greatest(0, cy + dy - h / 2) AS y1, least(1, cy + dy + h / 2) AS y2 FROM drawn)
+        SELECT copy, class_name, count(*) AS boxes, round(avg(CASE WHEN copy = 0 THEN cx ELSE (x1 + x2) / 2 END), 6) AS mean_cx,
+        round(min(CASE WHEN copy = 0 THEN w * h ELSE (x2 - x1) * (y2 - y1) END), 9) AS min_area FROM cut
+        WHERE copy = 0 OR (x2 > x1 AND y2 > y1 AND (x2 - x1) * (y2 - y1) >= 0.01 * w * h) GROUP BY 1, 2""",
+        "annotations",
+    ),
+)
 def augment_boxes(spark, sf):
     ds = D.augment_boxes(X.dataset(spark, sf), copies=2, seed=7)
     return ds.labels.groupBy("copy", "class_name").agg(

@@ -644,7 +644,19 @@ def view_projection(spark, sf):
     )
 
 
-@query("depth_raster")
+@query(
+    "depth_raster",
+    sql(
+        _VIEWS + """, base AS (SELECT cloud_id, view, trunc(u)::INT AS pu, trunc(v)::INT AS pv, max(1.0 / greatest(depth, 0.01)) AS inv
+        FROM shown GROUP BY 1, 2, 3, 4),
+      tops AS (SELECT cloud_id, view, max(inv) AS top FROM base GROUP BY 1, 2),
+      lit AS (SELECT cloud_id, view, greatest(0, least(pu + dx, 639)) AS x, greatest(0, least(pv + dy, 479)) AS y, max(inv) AS inv
+        FROM base, (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy) GROUP BY 1, 2, 3, 4)
+      SELECT cloud_id, view, count(*) AS lit_pixels, sum(floor(inv / top * 255)::BIGINT)::BIGINT AS gray_sum, max(floor(inv / top * 255)::INT) AS brightest
+      FROM lit JOIN tops USING (cloud_id, view) GROUP BY 1, 2""",
+        "points",
+    ),
+)
 def depth_raster(spark, sf):
     raster = redact.depth_raster(_viewed(spark, sf), point_radius=2)
     return raster.groupBy("cloud_id", "view").agg(

@@ -126,7 +126,17 @@ def stream_quality(spark, sf):
     )
 
 
-@query("stream_sync")
+@query(
+    "stream_sync",
+    sql(
+        """, mark AS (SELECT least(max(ts_us) FILTER (topic = 'view'), max(ts_us) FILTER (topic = 'click')) // 1000 * 1000 - 600000000 AS w
+          FROM messages)
+        SELECT c.idx AS cloud_idx, arg_min(i.idx, (abs(i.ts_us - c.ts_us), i.idx)) AS image_idx, min(abs(i.ts_us - c.ts_us)) / 1000.0 AS error_ms
+        FROM messages c JOIN messages i ON c.topic = 'view' AND i.topic = 'click' AND abs(i.ts_us - c.ts_us) <= 300000000, mark
+        WHERE (c.ts_us // 600000000 + 1) * 600000000 <= w GROUP BY c.idx""",
+        "messages",
+    ),
+)
 def stream_sync(spark, sf):
     clouds = _events(spark, sf).where("type = 'view'").withColumnRenamed("event_id", "idx")
     images = _events(spark, sf).where("type = 'click'").withColumnRenamed("event_id", "idx")
