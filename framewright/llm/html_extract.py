@@ -44,6 +44,7 @@ SPACE = re.compile(r"\s+")
 LEVELS = 16
 #: Siblings of the best container that are article text by their kind, unless they are mostly links.
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
+TEXT_ELEMENTS = frozenset("p pre blockquote li dd td".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article".split())
 
 
@@ -195,9 +196,11 @@ def _score(nodes: list[Node]) -> dict[Node, tuple[int, int]]:
 
 
 def _container(nodes: list[Node]) -> list[Node]:
-    """The best container and those siblings that hold paragraphs too and are not mostly links, in page order.
+    """The best container; what does not belong to it is marked to be skipped.
 
-    If the best container stands inside an article or main element, that element is the container.
+    If the best container stands inside an article or main element, that element is the container. Otherwise it is the lowest element
+    around the best container and all paragraphs that are not mostly links, with its siblings that hold text paragraphs, its inline
+    siblings and the bare text beside it.
     """
     size = _score(nodes)
 
@@ -211,20 +214,35 @@ def _container(nodes: list[Node]) -> list[Node]:
     up: Node | None = best
     while up is not None:
         if up.tag in ("article", "main"):
-            best = up
-            break
+            return [up]
         up = up.parent
-    if best.parent is None or best.tag in ("body", "main", "html"):
-        return [best]
-    kept = []
-    for c in best.parent.children:
-        if not isinstance(c, Node) or c.skip or c not in size:
-            continue
-        chars, linked = size[c]
-        textual = c.score > 0 or c.tag in TEXTUAL
-        if c is best or (chars and textual and linked < 0.33 * chars):
-            kept.append(c)
-    return kept
+
+    def textual(n: Node) -> bool:
+        chars, linked = size[n]
+        return chars >= 25 and linked < 0.33 * chars
+
+    above, below = set(), set()  # below: elements whose way up has been walked
+    up = best
+    while up is not None:
+        above.add(up)
+        up = up.parent
+    for n in nodes:
+        if n.tag in TEXT_ELEMENTS and textual(n):
+            up = n
+            while up not in above and up not in below:
+                below.add(up)
+                up = up.parent
+            while up in above and best is not up:
+                above.discard(best)
+                below.add(best)
+                best = best.parent
+    around = best if best.tag in ("body", "html") or best.parent is None else best.parent
+    for c in around.children:
+        if isinstance(c, Node) and c is not best and not c.skip and c in size:
+            chars, linked = size[c]
+            kind = c.score > 0 or c.tag in TEXTUAL or c.tag not in BLOCKS or any(n.tag in TEXT_ELEMENTS for n in _walk(c))
+            c.skip = not (chars and kind and linked < 0.33 * chars)
+    return [around]
 
 
 def _blocks(tops: list[Node]) -> list[str]:

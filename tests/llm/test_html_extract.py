@@ -49,3 +49,23 @@ def test_frame_edges(spark):
     got = sorted((tuple(r) for r in he.extract(pages).collect()), key=str)
     assert got == sorted([(1, "u", "", 0), (None, None, "x\U0001f600", 2), (2, "u", "", 0), (2, "u", "", 0)], key=str)
     assert he.extract(pages.where("false")).count() == 0
+
+
+LONG = "This is a long paragraph, with commas, and it goes on for quite a while. " * 4
+SHORT = "A second one, shorter, but real text all the same."
+
+
+def test_pages_without_article():
+    """Branches of other containers, bare text, inline elements and short paragraphs beside the best one stay; link lists go."""
+    long = LONG.strip()
+    got = he.main_text(f"<body><div><div><p>{LONG}</p></div></div><div><div><p>{SHORT}</p></div></div></body>")
+    assert got == f"{long}\n{SHORT}"
+    page = (
+        f"<body><nav>top</nav><div><div id=b><p>{LONG}</p><p>{LONG}</p></div>bare text <b>bold</b><div><p>short</p></div>"
+        "<div><a href=x>one</a> <a>two</a></div></div><div class=footer>foot</div></body>"
+    )
+    assert he.main_text(page) == f"{long}\n{long}\nbare text bold\nshort"
+    page = f"<html><body><ul><li><a href=1>Home page of the site</a></li><li><a>Another long link text</a></li></ul><div><p>{LONG}</p></div><div><p>{SHORT}</p></div></body></html>"
+    assert he.main_text(page) == f"{long}\n{SHORT}"
+    deep = "<div>" * 50_000 + f"<p>{LONG}</p>" + "</div>" * 50_000 + f"<div><p>{SHORT}</p></div>" * 500
+    assert he.main_text(deep).count("\n") == 500
