@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators import octree
 from framewright.operators.cloud import XYZ
-from framewright.session import materialize, spread_by
+from framewright.session import materialize, spread_by, stored
 
 _POINT = "cloud_id BIGINT, point_idx BIGINT"
 _NEAR = f"{_POINT}, rank INT, dist DOUBLE, idx BIGINT, nx DOUBLE, ny DOUBLE, nz DOUBLE"
@@ -30,7 +30,8 @@ def _sq_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _by_size(points: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
-    """Points of clouds of up to ``block`` points, and of the others if there are any."""
+    """Points of clouds of up to ``block`` points, and of the others if there are any. Stored first: they are read two times or more."""
+    points = stored(points.select("cloud_id", "point_idx", *XYZ), "cloud-points")
     counts = points.groupBy("cloud_id").agg(F.count(F.lit(1)).alias("_n"))
     large = materialize(counts.where(F.col("_n") > block).select("cloud_id"))
     if large.isEmpty():
