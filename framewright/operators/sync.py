@@ -27,13 +27,13 @@ def nearest(
 
     ends = r.groupBy(*keys, "_b").agg(F.max(mark).alias("_last"), F.min(head).alias("_first"))
     slots = ends.join(left.withColumn("_b", b).select(*keys, "_b").distinct(), [*keys, "_b"], "full_outer")
-    w = Window.partitionBy(*keys).orderBy("_b")
-    back = w.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    # Both ways are running frames: one that ends at the last row is computed anew for every row, in quadratic time.
+    back = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.select(
         *keys, "_b",
         F.last("_last", ignorenulls=True).over(back).alias("_before"),
-        F.first("_first", ignorenulls=True).over(ahead).alias("_after"),
+        F.last("_first", ignorenulls=True).over(ahead).alias("_after"),
     )
     both = lrow.withColumn("_m", F.lit(None).cast("struct<ts_us:bigint,nidx:bigint>")).withColumn(
         "_h", F.lit(None).cast("struct<ts_us:bigint,idx:bigint>")
@@ -42,10 +42,10 @@ def nearest(
                  mark.alias("_m"), head.alias("_h")),
         allowMissingColumns=True,
     )
-    inner = Window.partitionBy(*keys, "_b").orderBy("ts_us")
+    inner = Window.partitionBy(*keys, "_b")
     # Range frames include every message of the same instant.
-    upto = inner.rangeBetween(Window.unboundedPreceding, 0)
-    from_ = inner.rangeBetween(0, Window.unboundedFollowing)
+    upto = inner.orderBy("ts_us").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    from_ = inner.orderBy(F.desc("ts_us")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("_p", F.max("_m").over(upto)).withColumn("_n", F.min("_h").over(from_))
     rows = seen.where("_is_left").join(slots, [*keys, "_b"], "left")
     prev, nxt = F.coalesce("_p", "_before"), F.coalesce("_n", "_after")
