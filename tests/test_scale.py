@@ -43,3 +43,44 @@ def test_voc_scan_takes_the_files_of_all_lists():
     from framewright.plans.catalog import ORACLES
 
     assert "acctbal" not in ORACLES["voc_split_scan"]
+
+
+def test_hash_tiles_match_bands(spark):
+    import random
+
+    from framewright.operators import dedupe
+
+    rnd = random.Random(3)
+    base = [rnd.getrandbits(64) for _ in range(400)]
+    near = [h ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(1, 21))) for h in base]
+    signed = [h - (1 << 64) if h >= 1 << 63 else h for h in {*base, *near}]
+    uniq = spark.createDataFrame([(h,) for h in signed], "hash BIGINT")
+    want = sorted((min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 17)
+    for got in (dedupe._tiled_hash_pairs(uniq, len(signed), 17, 64, tile=100), dedupe.hash_pairs(uniq, 0.72), dedupe.hash_pairs(uniq, 0.72, expected=20000)):
+        assert rows(got.select("hash_a", "hash_b")) == sorted(want, key=repr)
+    assert dedupe._band_work(120000, 17, 64, dedupe._combination_size(120000, 17, 64)) > 120000 / 16
+    assert "FlatMapGroupsInPandas" in dedupe.hash_pairs(uniq, 0.72, expected=120000)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in dedupe.hash_pairs(uniq, 0.95, expected=120000)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_file_is_written_by_many_tasks(spark, tmp_path):
+    from framewright.sinks import files as W
+
+    big = spark.range(30000).select(
+        F.lit("big.json").alias("rel"), F.col("id").alias("a"), F.when(F.col("id").between(11, 28999), "s").alias("section"),
+        F.col("id").cast("string").alias("line"))
+    small = spark.range(300).select(
+        F.format_string("d/%03d.txt", F.col("id") % 100).alias("rel"), F.col("id").alias("a"), F.lit(None).cast("string").alias("section"),
+        F.when(F.col("id") % 100 != 7, F.col("id").cast("string")).alias("line"))
+    W.write_lines(big.union(small), str(tmp_path), ["a"])
+    assert (tmp_path / "big.json").read_text() == "".join(f"{i}{',' if 11 <= i < 28999 else ''}\n" for i in range(30000))
+    texts = {p.name: p.read_text() for p in (tmp_path / "d").iterdir()}
+    assert texts == {f"{i:03d}.txt": "" if i == 7 else f"{i}\n{i + 100}\n{i + 200}\n" for i in range(100)}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["big.json", "d"]
+
+
+def test_coco_documents_grow_in_number(spark):
+    from framewright.model import Dataset
+    from framewright.sinks import labels as S
+
+    assert [S.coco_shards(Dataset(None, spark.range(n)), 4, 10) for n in (3, 41, 105)] == [4, 5, 11]
