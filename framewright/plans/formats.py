@@ -207,8 +207,9 @@ def yolo_label_match(spark, sf):
 )
 def read_coco(spark, sf):
     root = scratch_path(spark, "coco")
-    S.write_coco(_corpus(spark, sf), root, shards=4)
-    ds = R.read_coco(spark, root)  # four whole documents; ``convert`` reads the line layout
+    ds = _corpus(spark, sf)
+    S.write_coco(ds, root, shards=S.coco_shards(ds))
+    ds = R.read_coco(spark, root)  # whole documents, more of them for more boxes; ``convert`` reads the line layout
     return ds.labels.join(ds.samples.select("sample_id", "image_path"), "sample_id").select(
         file_stem(F.col("image_path")).alias("stem"), "class_name", "class_id",
         *[F.round(c, 6).alias(c) for c in BOX],

@@ -144,6 +144,11 @@ def coco_segmentation(labels: DataFrame, width: Column, height: Column) -> Colum
     return F.coalesce(F.col("rle"), out) if "rle" in labels.columns else out
 
 
+def coco_shards(ds: Dataset, least: int = 4, boxes: int = 100_000) -> int:
+    """Number of whole documents that hold some ``boxes`` labels each, as one task parses a document."""
+    return max(least, -(-ds.labels.count() // boxes))
+
+
 def write_coco(ds: Dataset, root: str, split: str = "train", shards: int = 1, overwrite: bool = False) -> None:
     """``annotations/instances_<split>[_NNNNN].json``: dense 1-based ids over all shards, one
     object per line. More shards write in parallel; each is a complete document."""
