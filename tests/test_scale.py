@@ -84,3 +84,16 @@ def test_coco_documents_grow_in_number(spark):
     from framewright.sinks import labels as S
 
     assert [S.coco_shards(Dataset(None, spark.range(n)), 4, 10) for n in (3, 41, 105)] == [4, 5, 11]
+
+
+def test_raster_copies_are_not_shuffled(spark):
+    from framewright.operators import redact
+
+    seen = spark.createDataFrame(
+        [(c, v, float(x), float(y), 1.0 + x, 20, 10, True) for c in (1, 2) for v in (0, 1) for x, y in ((0, 0), (5, 5), (19, 9))],
+        "cloud_id BIGINT, view INT, u DOUBLE, v DOUBLE, depth DOUBLE, width INT, height INT, valid BOOLEAN")
+    got = redact.depth_raster(seen, 2)
+    per = rows(got.groupBy("cloud_id", "view").agg(F.count(F.lit(1)), F.max("gray")))
+    assert per == [(c, v, 9 + 25 + 9, 255) for c in (1, 2) for v in (0, 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not any("Exchange" in line and "_pix" in line for line in plan.splitlines())
