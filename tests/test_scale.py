@@ -97,3 +97,15 @@ def test_raster_copies_are_not_shuffled(spark):
     assert per == [(c, v, 9 + 25 + 9, 255) for c in (1, 2) for v in (0, 1)]
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert not any("Exchange" in line and "_pix" in line for line in plan.splitlines())
+
+
+def test_cvat_elements_are_parsed_once(spark, tmp_path):
+    from framewright.sources import labels as R
+
+    (tmp_path / "a.xml").write_text(
+        '<annotations><image id="0" name="a.jpg" width="100" height="50"><box label="x" xtl="0" ytl="0" xbr="10" ybr="10"></box>'
+        '<polygon label="y" points="0,0;10,0;10,10"></polygon></image><image id="1" name="b.jpg" width="100" height="50"></image></annotations>')
+    ds = R.read_cvat(spark, str(tmp_path / "a.xml"))
+    assert rows(ds.samples.select("ordinal", "image_path")) == [(0, "a.jpg"), (1, "b.jpg")]
+    assert rows(ds.labels.select("class_name", "shape_type")) == [("x", "box"), ("y", "polygon")]
+    assert "from_xml" not in ds.samples._jdf.queryExecution().optimizedPlan().toString()
