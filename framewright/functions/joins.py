@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +133,41 @@ def iou_join(
     )
 
 
+def crowd_counts(xy: np.ndarray, threshold: float, by: np.ndarray | None = None, cells: int = 1 << 15) -> tuple[int, int, float | None]:
+    """``self_iou_counts`` of the solid boxes of one key, given as rows ``x1, y1, x2, y2`` of finite numbers, at a
+    threshold above 0: pairs, boxes and the largest ratio. Some ``cells`` pairs are formed at a time."""
+    if by is not None:  # pairs agree in ``by``, so each of its values is a crowd of its own
+        some = [crowd_counts(xy[by == v], threshold, None, cells) for v in np.unique(by)]
+        tops = [top for _, _, top in some if top is not None]
+        return sum(s[0] for s in some), sum(s[1] for s in some), max(tops, default=None)
+    xy = xy[np.lexsort(xy.T)]
+    starts = np.flatnonzero(np.r_[True, (xy[1:] != xy[:-1]).any(axis=1)])
+    weight = np.diff(np.r_[starts, len(xy)])
+    x1, y1, x2, y2 = xy[starts].T.copy()
+    area, own = (x2 - x1) * (y2 - y1), weight * (weight - 1)
+    twice, top = own.copy(), 1.0 if own.any() else 0.0
+    step = max(1, cells // len(starts))
+    for lo in range(0, len(starts), step):
+        s = slice(lo, lo + step)
+        ix = np.minimum(x2[s, None], x2)
+        ix -= np.maximum(x1[s, None], x1)
+        iy = np.minimum(y2[s, None], y2)
+        iy -= np.maximum(y1[s, None], y1)
+        inter = np.maximum(ix, 0.0, out=ix)
+        inter *= np.maximum(iy, 0.0, out=iy)
+        union = area[s, None] + area
+        union -= inter
+        with np.errstate(invalid="ignore", divide="ignore"):
+            ratio = np.divide(inter, union, out=inter)
+        one = np.arange(len(ratio))
+        ratio[one, lo + one] = 0.0
+        i, j = np.nonzero(ratio >= threshold)
+        if len(i):
+            np.add.at(twice, lo + i, weight[lo + i] * weight[j])
+            top = max(top, float(ratio[i, j].max()))
+    return int(twice.sum()) // 2, int(weight[twice > 0].sum()), top or None
+
+
 def self_iou_join(
     boxes: DataFrame,
     keys: Sequence[str],

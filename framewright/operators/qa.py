@@ -7,13 +7,16 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.functions.boxes import center_to_corners
-from framewright.functions.joins import self_iou_counts, self_iou_join
+from framewright.functions.joins import CORNERS, crowd_counts, self_iou_counts, self_iou_join
 from framewright.model import Dataset
 from framewright.operators import dataset as D
+from framewright.operators import hooks
+from framewright.session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -91,18 +94,43 @@ def duplicate_labels(ds: Dataset) -> DataFrame:
     )
 
 
-def pair_counts(ds: Dataset, threshold: float = IOU) -> DataFrame:
+def pair_counts(ds: Dataset, threshold: float = IOU, most: int = 4096) -> DataFrame:
     """``sample_id, issue_type, pairs, boxes, max_iou``: how often both pair checks hit in a sample, without listing the pairs.
 
-    For corpora with crowds of equal boxes, whose pairs grow with the square.
+    For corpora with crowds of equal boxes, whose pairs grow with the square. The boxes of a sample of up to ``most`` are shuffled once and
+    counted together; larger samples, and those with a missing class or boxes without end, are cut into cells by ``self_iou_counts``.
     """
-    slim = with_corners(ds.labels).select("sample_id", "class_id", "x1", "y1", "x2", "y2")
+    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    slim = with_corners(ds.labels).where(solid).select("sample_id", "class_id", *[(F.col(c) + 0.0).alias(c) for c in CORNERS])
     above = lambda t: math.nextafter(t, 2.0)  # noqa: E731  the checks ask for more than the threshold
-    kinds = (("overlapping_boxes", above(threshold), []), ("duplicate_label", above(DUPLICATE_IOU), ["class_id"]))
-    return reduce(DataFrame.unionByName, [
-        self_iou_counts(slim, ["sample_id"], t, by).select("sample_id", F.lit(kind).alias("issue_type"), "pairs", "boxes", "max_iou")
-        for kind, t, by in kinds
-    ])
+    kinds = (("overlapping_boxes", above(threshold), False), ("duplicate_label", above(DUPLICATE_IOU), True))
+    odd = F.col("class_id").isNull()
+    for c in CORNERS:
+        odd = odd | F.col(c).isNaN() | (F.abs(F.col(c)) == float("inf"))
+    sizes = slim.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n"), F.max(odd).alias("_odd"))
+    large = materialize(sizes.where((F.col("_n") > most) | F.col("_odd") | F.col("sample_id").isNull()).select(F.col("sample_id").alias("_large")))
+    parts, small = [], slim
+    if not large.isEmpty():
+        same = F.col("sample_id").eqNullSafe(F.col("_large"))
+        crowds, small = slim.join(large, same, "left_semi"), slim.join(large, same, "left_anti")
+        parts = [
+            self_iou_counts(crowds, ["sample_id"], t, ["class_id"] if by else []).select(
+                "sample_id", F.lit(kind).alias("issue_type"), "pairs", "boxes", "max_iou")
+            for kind, t, by in kinds
+        ]
+
+    def counted(rows: pd.DataFrame) -> tuple:
+        xy, classes = rows[list(CORNERS)].to_numpy(), rows["class_id"].to_numpy()
+        return (rows["sample_id"].iloc[0], *[v for _, t, by in kinds for v in crowd_counts(xy, t, classes if by else None)])
+
+    fields = ", ".join(f"pairs_{i} BIGINT, boxes_{i} BIGINT, max_{i} DOUBLE" for i in range(len(kinds)))
+    wide = hooks.apply_sample(small, counted, f"sample_id {slim.schema['sample_id'].dataType.simpleString()}, {fields}")
+    each = [
+        F.struct(F.lit(kind).alias("issue_type"), F.col(f"pairs_{i}").alias("pairs"), F.col(f"boxes_{i}").alias("boxes"), F.col(f"max_{i}").alias("max_iou"))
+        for i, (kind, _, _) in enumerate(kinds)
+    ]
+    found = wide.select("sample_id", F.explode(F.array(*each)).alias("k")).select("sample_id", "k.*").where("pairs > 0")
+    return reduce(DataFrame.unionByName, [found, *parts])
 
 
 def pair_checks(ds: Dataset, threshold: float = IOU) -> DataFrame:

@@ -109,3 +109,22 @@ def test_cvat_elements_are_parsed_once(spark, tmp_path):
     assert rows(ds.samples.select("ordinal", "image_path")) == [(0, "a.jpg"), (1, "b.jpg")]
     assert rows(ds.labels.select("class_name", "shape_type")) == [("x", "box"), ("y", "polygon")]
     assert "from_xml" not in ds.samples._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pair_counts_of_small_samples_need_no_cells(spark):
+    import random
+
+    from framewright.model import Dataset
+    from framewright.operators import qa
+
+    rnd = random.Random(5)
+    data = [(k, i, rnd.randrange(3) if k != 4 or i else None, rnd.randrange(4) / 40, rnd.randrange(4) / 40, rnd.choice((0.2, 0.22)), 0.2)
+            for k in (1, 2, 3, 4, None) for i in range(40)]
+    data += [(6, 0, 1, 0.0, 0.0, 0.0, 1.0), (7, 0, 1, 0.5, 0.5, 0.1, 0.1), (7, 1, 2, 0.5, 0.5, 0.1, 0.1)]
+    labels = spark.createDataFrame(data, "sample_id BIGINT, label_index BIGINT, class_id INT, cx DOUBLE, cy DOUBLE, w DOUBLE, h DOUBLE")
+    ds = Dataset(None, labels)
+    got = qa.pair_counts(ds, 0.6)
+    assert rows(got) == rows(qa.pair_counts(ds, 0.6, most=0))  # every sample cut into cells
+    assert rows(got.where("sample_id = 7")) == [(7, "overlapping_boxes", 1, 2, 1.0)]
+    plan = qa.pair_counts(Dataset(None, labels.where("sample_id < 4")), 0.6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
