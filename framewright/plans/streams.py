@@ -143,12 +143,21 @@ def stream_sync(spark, sf):
     return _out(spark, jobs.sync(clouds, images, 300_000_000), "sync")
 
 
-def _in_parts(spark, sf, n=6):
-    """The line items as files of a growing folder, dealt by price, so that boxes of an image arrive in different triggers."""
+def _in_parts(spark, sf, n=6, rows=500_000):
+    """The line items as files of a growing folder, dealt by their values, so that boxes of an image arrive in different triggers.
+
+    ``n`` triggers take ``m`` files each; a file holds about ``rows`` line items at most. Returns the folder and ``m``.
+    """
     path = scratch_path(spark, "arrivals")
-    rows = X.table(spark, sf, "lineitem").withColumn("_part", F.pmod(F.xxhash64("l_extendedprice"), F.lit(n)))
-    rows.repartition(n, "_part").drop("_part").write.parquet(path)
-    return path
+    table = X.table(spark, sf, "lineitem")
+    m = max(1, -(-table.count() // (n * rows)))
+    table.repartition(n * m, *table.columns).write.parquet(path)
+    return path, m
+
+
+def _arrivals(spark, sf):
+    folder, files = _in_parts(spark, sf)
+    return jobs.file_stream(spark, folder, "*.parquet", files)
 
 
 @query(
@@ -163,7 +172,7 @@ def _in_parts(spark, sf, n=6):
 def stream_label_pairs(spark, sf):
     from framewright.model import unit
 
-    labels = jobs.file_stream(spark, _in_parts(spark, sf), "*.parquet", 1).select(
+    labels = _arrivals(spark, sf).select(
         F.col("l_orderkey").alias("sample_id"), X.label_key().alias("label_index"),
         F.concat("l_returnflag", "l_linestatus").alias("class_name"), X.class_id().alias("class_id"),
         unit(F.col("l_quantity") / 50).alias("cx"),
@@ -186,7 +195,7 @@ def stream_label_pairs(spark, sf):
 )
 def stream_review_state(spark, sf):
     status = F.when(F.col("l_returnflag") == "A", "approved").when(F.col("l_returnflag") == "R", "rejected")
-    edits = jobs.file_stream(spark, _in_parts(spark, sf), "*.parquet", 1).select(
+    edits = _arrivals(spark, sf).select(
         F.col("l_orderkey").alias("item_id"), X.label_key().alias("edit_id"), F.col("l_shipdate").alias("ts"),
         status.alias("status"), (F.col("l_returnflag") == "N").alias("annotations_edited"),
     )

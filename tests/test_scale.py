@@ -128,3 +128,15 @@ def test_pair_counts_of_small_samples_need_no_cells(spark):
     assert rows(got.where("sample_id = 7")) == [(7, "overlapping_boxes", 1, 2, 1.0)]
     plan = qa.pair_counts(Dataset(None, labels.where("sample_id < 4")), 0.6)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+def test_arrivals_are_cut_into_files_of_bounded_size(spark, tmp_path):
+    from framewright.plans import streams
+
+    items = spark.range(3000).select(F.col("id").alias("l_orderkey"), (F.col("id") % 1500).cast("double").alias("l_extendedprice"))
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    folder, files = streams._in_parts(spark, str(tmp_path), n=6, rows=100)
+    got = spark.read.parquet(folder)
+    assert files == 5 and len(got.inputFiles()) == 30 and rows(got) == rows(items)
+    assert max(r["count"] for r in got.groupBy(F.input_file_name()).count().collect()) < 250
+    assert streams._in_parts(spark, str(tmp_path))[1] == 1
