@@ -160,6 +160,11 @@ def test_openlabel_lines_match_documents(spark, tmp_path):
     try:
         got, want = R.read_openlabel(spark, root, layout="lines"), R.read_openlabel(spark, root)
         assert rows(got.samples) == rows(want.samples)
+        again = str(tmp_path / "again")
+        S.write_openlabel(Dataset(samples.union(samples.where("sample_id = 2")), labels, None, "t"), again)  # a frame of s0 is opened twice
+        whole = R.openlabel_documents(spark, again).select("path", F.explode("openlabel.frames"))
+        _, frames, _ = R.openlabel_lines(spark, again)
+        assert rows(frames.select("path").distinct()) == rows(whole.select("path").distinct()) and frames.select("path").distinct().count() == 1
         assert got.labels.count() == 30 and rows(got.labels.drop("num", "text", "flags")) == rows(want.labels.drop("num", "text", "flags"))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
