@@ -189,3 +189,28 @@ def test_groups_of_key_frames_are_bounded(spark):
 
     assert finely(spark.range(1000), "id", rows=20).rdd.getNumPartitions() == 50
     assert finely(spark.range(10), "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_lines_are_written_as_runs_of_bytes(spark, tmp_path):
+    from framewright.sinks import files as W
+
+    lines = [("ä", "s", 0, "é,"), ("ä", "s", 1, ""), ("ä", None, 2, None), ("ä", None, 3, ""), ("ä", None, 4, "\n"), ("ä", "t", 5, "x"), ("ä", "s", 6, None),
+             ("ä", "u", 7, "y"), ("b", None, 0, None), ("b", None, 1, None), ("c", None, 0, ""), ("d", "s", 0, "z"), ("d", "s", 1, None), ("d", "s", 2, "z")]
+    df = spark.createDataFrame([(r, s, a, t) for r, s, a, t in lines], "rel STRING, section STRING, a INT, line STRING")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        W.write_lines(df, str(tmp_path), ["a"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {p.name: p.read_text() for p in tmp_path.iterdir()}
+    assert got == {"ä": "é,,\n\n\n\n\nx\ny\n", "b": "", "c": "\n", "d": "z,\nz\n"}
+
+
+def test_changes_take_no_object_per_line():
+    import pyarrow as pa
+
+    from framewright.sinks import files as W
+
+    assert W._changes(pa.array([None, None, "a", "a", None, "b"])).tolist() == [2, 4, 5, 6]
+    offsets, data = W._bytes_of(pa.array(["x", None, "äy", ""]).slice(1))
+    assert bytes(data[offsets[0] : offsets[3]]).decode() == "äy"
