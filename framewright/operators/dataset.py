@@ -184,12 +184,14 @@ def augment_boxes(
     samples = samples.withColumn(
         "image_path", F.when(F.col("copy") == 0, F.col("image_path")).otherwise(renamed)
     ).withColumn("augmented", F.col("copy") > 0)
-    labels = (
-        ds.labels.withColumn("copy", every)
-        .withColumn("_flip", (draw("flip") < 0.5) & (F.col("copy") > 0))
-        .withColumn("_dx", F.when(F.col("copy") > 0, (draw("dx") * 2 - 1) * max_shift).otherwise(0.0))
-        .withColumn("_dy", F.when(F.col("copy") > 0, (draw("dy") * 2 - 1) * max_shift).otherwise(0.0))
+    copied = F.col("copy") > 0
+    drawn = F.struct(
+        F.when(copied, draw("flip") < 0.5).otherwise(F.lit(False)).alias("_flip"),
+        F.when(copied, (draw("dx") * 2 - 1) * max_shift).otherwise(0.0).alias("_dx"),
+        F.when(copied, (draw("dy") * 2 - 1) * max_shift).otherwise(0.0).alias("_dy"),
     )
+    # The generator of one row keeps Spark from drawing again in the filter and in every corner.
+    labels = ds.labels.withColumn("copy", every).select("*", F.inline(F.array(drawn)))
     cx = F.when(F.col("_flip"), 1 - F.col("cx")).otherwise(F.col("cx")) + F.col("_dx")
     cy = F.col("cy") + F.col("_dy")
     one, zero = F.lit(1.0), F.lit(0.0)

@@ -214,3 +214,14 @@ def test_changes_take_no_object_per_line():
     assert W._changes(pa.array([None, None, "a", "a", None, "b"])).tolist() == [2, 4, 5, 6]
     offsets, data = W._bytes_of(pa.array(["x", None, "äy", ""]).slice(1))
     assert bytes(data[offsets[0] : offsets[3]]).decode() == "äy"
+
+
+def test_draws_are_made_once(spark):
+    from framewright.model import Dataset
+    from framewright.operators import dataset as D
+
+    labels = spark.createDataFrame([(1, 0.5, 0.5, 0.1, 0.1), (2, 0.99, 0.5, 0.02, 0.1)], "sample_id BIGINT, cx DOUBLE, cy DOUBLE, w DOUBLE, h DOUBLE")
+    samples = spark.createDataFrame([(1, "/a.jpg"), (2, "/b.jpg")], "sample_id BIGINT, image_path STRING")
+    got = D.augment_boxes(Dataset(samples, labels, None, "t"), copies=2, seed=7).labels
+    assert got.columns == ["sample_id", "cx", "cy", "w", "h", "copy"] and got.where("copy = 0").count() == 2
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 3
