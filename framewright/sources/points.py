@@ -14,7 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from framewright.operators.cloud import normalize_intensity
 from framewright.operators.ranking import with_rank
 from framewright.sinks.files import open_fs
-from framewright.sources.files import split_lines
+from framewright.sources.files import split_lines, words
 from framewright.sources.records import listed
 
 _PCD_WORDS = "VERSION|FIELDS|SIZE|TYPE|COUNT|WIDTH|HEIGHT|VIEWPOINT|POINTS|DATA"
@@ -35,7 +35,7 @@ def read_pcd(spark: SparkSession, root: str) -> DataFrame:
     heads = lines.where(F.col("line").startswith("FIELDS")).groupBy("path").agg(
         F.first(names).alias("_fields")
     )
-    rows = lines.where(~is_head).withColumn("_v", F.split("line", r"\s+")).where(F.size("_v") >= 3)
+    rows = lines.where(~is_head).withColumn("_v", words(F.col("line"))).where(F.size("_v") >= 3)
     rows = rows.join(heads, "path", "left")
 
     def field(name: str, default: int | None) -> Column:
@@ -59,7 +59,7 @@ def read_ply(spark: SparkSession, root: str) -> DataFrame:
     heads = lines.where(n != "").groupBy("path").agg(F.max(n.cast("bigint")).alias("_n"))
     rows = lines.where(~is_head)
     ranked = with_rank(rows, ["path"], [F.col("offset")], F.col("offset._start"), "point_idx")
-    v = F.split("line", r"\s+")
+    v = words(F.col("line"))
     return (
         ranked.join(heads, "path").where(F.col("point_idx") < F.col("_n"))
         .select("path", "point_idx", *_values({c: F.get(v, F.lit(i)) for i, c in enumerate("xyz")}))

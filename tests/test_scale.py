@@ -225,3 +225,29 @@ def test_draws_are_made_once(spark):
     got = D.augment_boxes(Dataset(samples, labels, None, "t"), copies=2, seed=7).labels
     assert got.columns == ["sample_id", "cx", "cy", "w", "h", "copy"] and got.where("copy = 0").count() == 2
     assert got._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 3
+
+
+def test_words_match_the_pattern(spark):
+    from framewright.sources import files as FS
+
+    texts = ["", "a", "a b", "a  b", "a\tb", "\ta b ", " a b", "a \x0bb", "a b c", "a\r b", "a b ", "a\fb"]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    got = df.select("t", FS.words(F.col("t")).alias("a"), F.split("t", r"\s+").alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got]
+
+
+def test_yolo_lines_are_read_once_for_names(spark, tmp_path):
+    from framewright.sources import files as FS
+    from framewright.sources import yolo
+
+    for folder, name in (("a", "cat"), ("b c", "dog")):
+        (tmp_path / folder / "labels").mkdir(parents=True)
+        (tmp_path / folder / "data.yaml").write_text(f"names:\n  0: {name}\n")
+        (tmp_path / folder / "labels" / "x.txt").write_text("0 0.5 0.5 0.1 0.1\n# no\n0 0.5 0.5\n0 0.5 x 0.1 0.1\n7\t0.5 0.5 0.2 0.2 0.9\n0 0.1 0.1 0.3 0.1 0.3 0.3\n")
+    root = str(tmp_path)
+    lines, maps = FS.numbered_lines(spark, root, "*.txt"), yolo.class_maps(spark, root)
+    maps = spark.createDataFrame(maps.collect(), maps.schema)
+    for parse in (yolo.parse_lines, yolo.parse_scored):
+        got = parse(lines, maps, FS.line_files(spark, root, "*.txt"))
+        assert rows(got) == rows(parse(lines, maps)) and {r["class_name"] for r in got.collect()} >= {"cat", "dog"}
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("split(value") == 1
