@@ -251,3 +251,22 @@ def test_yolo_lines_are_read_once_for_names(spark, tmp_path):
         got = parse(lines, maps, FS.line_files(spark, root, "*.txt"))
         assert rows(got) == rows(parse(lines, maps)) and {r["class_name"] for r in got.collect()} >= {"cat", "dog"}
         assert got._jdf.queryExecution().optimizedPlan().toString().count("split(value") == 1
+
+
+def test_files_are_parsed_once_and_listed_at_once(spark, tmp_path):
+    from framewright.sources import labels as R
+
+    folder = tmp_path / "Annotations"
+    (folder / "more").mkdir(parents=True)
+    body = "<annotation><filename>{}</filename><size><width>10</width><height>10</height></size>{}</annotation>"
+    box = "<object><name>{}</name><bndbox><xmin>1</xmin><ymin>1</ymin><xmax>{}</xmax><ymax>5</ymax></bndbox></object>"
+    (folder / "a.xml").write_text(body.format("a.jpg", box.format("dog", 4) + box.format("yak", 5)))
+    (folder / "b.xml").write_text(body.format("b.jpg", ""))
+    (folder / "c.txt").write_text(body.format("c.jpg", box.format("cat", 4)))
+    (folder / "more" / "d.xml").write_text(body.format("d.jpg", box.format("cat", 4)))
+    kept, plain = R.read_voc(spark, str(tmp_path), kept=True), R.read_voc(spark, str(tmp_path))
+    assert rows(plain.samples) == [("a", "a.jpg", 10, 10), ("b", "b.jpg", 10, 10)]
+    for name in ("samples", "labels", "classes"):
+        assert rows(getattr(kept, name)) == rows(getattr(plain, name))
+    assert [r[0] for r in plain.labels.orderBy("label_index").select("class_name").collect()] == ["dog", "yak"]
+    assert "xml" not in kept.labels._jdf.queryExecution().executedPlan().toString()
