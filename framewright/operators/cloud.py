@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.ranking import exact_quantile, with_rank, with_shuffled_rank
+from framewright.session import finely, stored
 
 XYZ = ("x", "y", "z")
 
@@ -136,22 +137,30 @@ def _shift(col: str, depth: int, level: Column) -> Column:
     return F.floor(F.col(col) / F.pow(F.lit(2.0), depth - level)).cast("bigint")
 
 
+_NODE = ["cloud_id", "level", "nx", "ny", "nz"]
+
+
 def octree_nodes(
     points: DataFrame, limit: int = 10_000, depth: int = 8, target: int = 5_000
 ) -> DataFrame:
     """Nodes of the tree: level, cell, points below, leaf or not, points kept and the step.
 
     A node exists when its parent holds more than ``limit`` points. Counts roll up from the
-    deepest cells, so points are aggregated once.
+    deepest cells level by level, so points are aggregated once and a node meets at most its eight children. Cells are
+    cut by their number, as the tables of a group grow with what a task gets.
     """
-    cells = octree_codes(points, depth).groupBy("cloud_id", "cx", "cy", "cz").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    levels = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    cell = ["cloud_id", "cx", "cy", "cz"]
+    codes = octree_codes(points.select("cloud_id", *XYZ), depth).select(*cell)
+    cells = stored(finely(codes, *cell, count=points.count()).groupBy(*cell).agg(F.count(F.lit(1)).alias("point_count")), "octree-cells")
+    many = cells.count()
+    at = cells.select("cloud_id", F.lit(depth).alias("level"), *[F.col(f"c{c}").alias(f"n{c}") for c in XYZ], "point_count")
+    nodes = at
+    for level in reversed(range(depth)):
+        up = at.select("cloud_id", F.lit(level).alias("level"), *[F.floor(F.col(f"n{c}") / 2).alias(f"n{c}") for c in XYZ], "point_count")
+        at = stored(finely(up, *_NODE, count=many).groupBy(*_NODE).agg(F.sum("point_count").alias("point_count")), "octree-level")
+        many = at.count()
+        nodes = nodes.unionByName(at)
     lv = F.col("level")
-    nodes = levels.groupBy(
-        "cloud_id", "level", *[_shift(f"c{c}", depth, lv).alias(f"n{c}") for c in XYZ]
-    ).agg(F.sum("n").alias("point_count"))
     inner = nodes.where((F.col("point_count") > limit) & (lv < depth)).select(
         "cloud_id", (lv + 1).alias("level"), *[F.col(f"n{c}").alias(f"p{c}") for c in XYZ]
     )
@@ -168,23 +177,22 @@ def octree_nodes(
 def octree_points(
     points: DataFrame, limit: int = 10_000, depth: int = 8, target: int = 5_000
 ) -> DataFrame:
-    """Points shown at each node: all at a leaf, every step-th by index at an inner node."""
-    nodes = octree_nodes(points, limit, depth, target).select(
-        "cloud_id", "level", "nx", "ny", "nz", "step", "is_leaf"
-    )
+    """Points shown at each node: all at a leaf, every step-th by index at an inner node.
+
+    Cells learn their nodes first, so a point is copied only for the nodes that hold it. Ranks are taken in parts of bounded size.
+    """
+    coded = stored(octree_codes(points, depth), "octree-points")
+    nodes = stored(octree_nodes(coded.select("cloud_id", *XYZ), limit, depth, target).select(*_NODE, "step", "is_leaf", "point_count"), "octree-nodes")
+    cell = ["cloud_id", "cx", "cy", "cz"]
     lv = F.col("level")
-    spread = (
-        octree_codes(points, depth)
-        .withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-        .withColumns({f"n{c}": _shift(f"c{c}", depth, lv) for c in XYZ})
-        .drop("cx", "cy", "cz")
-    )
-    keys = ["cloud_id", "level", "nx", "ny", "nz"]
-    shown = spread.join(nodes, keys)
-    ranked = with_rank(
-        shown, keys, [F.col("point_idx")], F.floor(F.col("point_idx") / 65536), "_rank"
+    levels = coded.select(*cell).distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    held = levels.withColumns({f"n{c}": _shift(f"c{c}", depth, lv) for c in XYZ}).join(nodes.drop("point_count"), _NODE)
+    shown = coded.join(held, cell).drop("cx", "cy", "cz").withColumn("_part", F.floor(F.col("point_idx") / 65536))
+    many = nodes.agg(F.coalesce(F.sum("point_count"), F.lit(0))).first()[0]  # a point stands in each of its nodes
+    ranked = with_rank(finely(shown, *_NODE, "_part", count=many), _NODE, [F.col("point_idx")], F.col("_part"), "_rank")
+    return ranked.where(F.col("_rank") % F.col("step") == 0).select(
+        "cloud_id", "level", "nx", "ny", "nz", *[c for c in points.columns if c != "cloud_id"], "is_leaf"
     )
-    return ranked.where(F.col("_rank") % F.col("step") == 0).drop("_rank", "step")
 
 
 # ---- coarse clusters ------------------------------------------------------------------------

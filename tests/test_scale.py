@@ -270,3 +270,28 @@ def test_files_are_parsed_once_and_listed_at_once(spark, tmp_path):
         assert rows(getattr(kept, name)) == rows(getattr(plain, name))
     assert [r[0] for r in plain.labels.orderBy("label_index").select("class_name").collect()] == ["dog", "yak"]
     assert "xml" not in kept.labels._jdf.queryExecution().executedPlan().toString()
+
+
+def test_octree_counts_roll_up_level_by_level(spark):
+    import random
+
+    from framewright.operators import cloud
+
+    rnd = random.Random(1)
+    data = [(c, i, rnd.choice((0.0, 1.0, rnd.random())), rnd.random(), rnd.random()) for c in (1, 2) for i in range(300)] + [(3, 0, 1.0, 1.0, 1.0)]
+    points = spark.createDataFrame(data, "cloud_id BIGINT, point_idx BIGINT, x DOUBLE, y DOUBLE, z DOUBLE")
+    limit, depth, target = 20, 3, 7
+    at = {(r["cloud_id"], r["point_idx"]): (r["cx"], r["cy"], r["cz"]) for r in cloud.octree_codes(points, depth).collect()}
+    count = {}
+    for (c, i), cell in at.items():
+        for level in range(depth + 1):
+            count.setdefault((c, level, *(v >> depth - level for v in cell)), []).append(i)
+    tree = {k for k in count if k[1] == 0 or len(count[k[0], k[1] - 1, k[2] >> 1, k[3] >> 1, k[4] >> 1]) > limit}
+    leaf = {k: len(count[k]) <= limit or k[1] >= depth for k in tree}
+    step = {k: 1 if leaf[k] else -(-len(count[k]) // target) for k in tree}
+    nodes = cloud.octree_nodes(points, limit, depth, target)
+    assert rows(nodes) == sorted([(*k, len(count[k]), leaf[k], step[k], -(-len(count[k]) // step[k])) for k in tree], key=repr)
+    shown = cloud.octree_points(points, limit, depth, target).select("cloud_id", "level", "nx", "ny", "nz", "point_idx", "is_leaf")
+    assert rows(shown) == sorted([(*k, i, leaf[k]) for k in tree for r, i in enumerate(sorted(count[k])) if r % step[k] == 0], key=repr)
+    plan = shown._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence" not in plan.split("RepartitionByExpression")[0]
