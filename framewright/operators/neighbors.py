@@ -125,6 +125,17 @@ def _ranks(row: np.ndarray) -> np.ndarray:
     return (np.arange(len(row)) - np.searchsorted(row, row)).astype(np.int32)
 
 
+def _nearest_alone(idx: np.ndarray, xyz: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and distance of the k nearest other points of each point of a small cloud."""
+    parts = []
+    for s in range(0, len(xyz), 512):
+        d = _sq_dist(xyz[s : s + 512], xyz)
+        d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
+        row, col = _nearest(d, idx, k)
+        parts.append((row + s, col, np.sqrt(d[row, col])))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
 def nearest(points: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """``cloud_id, point_idx, rank, dist, idx, nx, ny, nz``: the k nearest other points of each, ranked from 0, ties by index; fewer only when
     the cloud has fewer. Coordinates must be finite.
@@ -136,13 +147,7 @@ def nearest(points: DataFrame, k: int, block: int = 2048) -> DataFrame:
         raise ValueError("k must be positive")
 
     def alone(idx: np.ndarray, xyz: np.ndarray) -> dict:
-        parts = []
-        for s in range(0, len(xyz), 512):
-            d = _sq_dist(xyz[s : s + 512], xyz)
-            d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
-            row, col = _nearest(d, idx, k)
-            parts.append((row + s, col, np.sqrt(d[row, col])))
-        row, col, dist = (np.concatenate(p) for p in zip(*parts))
+        row, col, dist = _nearest_alone(idx, xyz, k)
         return {"point_idx": idx[row], "rank": _ranks(row), "dist": dist, "idx": idx[col], **{f"n{c}": xyz[col, i] for i, c in enumerate(XYZ)}}
 
     small, large = _by_size(points, block)
@@ -218,13 +223,23 @@ def knn(points: DataFrame, k: int, block: int = 2048) -> DataFrame:
     return found.select("cloud_id", "point_idx", F.coalesce(plain, none).alias("neighbors"))
 
 
-def statistical_outliers(points: DataFrame, nb_neighbors: int, std_ratio: float) -> DataFrame:
+def statistical_outliers(points: DataFrame, nb_neighbors: int, std_ratio: float, block: int = 2048) -> DataFrame:
     """Points whose mean distance to their neighbors (themselves counted as the first) is below
     the cloud's mean plus ``std_ratio`` sample deviations."""
     if nb_neighbors < 2 or std_ratio <= 0:
         raise ValueError("nb_neighbors must be at least 2 and std_ratio positive")
-    near = nearest(points, nb_neighbors - 1).groupBy("cloud_id", "point_idx")
-    mean = materialize(near.agg((F.sum("dist") / (F.count(F.lit(1)) + 1)).alias("mean_dist")))
+    k = nb_neighbors - 1
+
+    def alone(idx: np.ndarray, xyz: np.ndarray) -> dict:
+        row, _, dist = _nearest_alone(idx, xyz, k)
+        at, n = np.unique(row, return_counts=True)
+        return {"point_idx": idx[at], "total": np.bincount(row, dist, len(xyz))[at], "n": n}
+
+    small, large = _by_size(points, block)
+    near = _alone(small, alone, f"{_POINT}, total DOUBLE, n BIGINT")  # a row per point, not per neighbor
+    if large is not None:
+        near = near.unionByName(_nearest_large(large, k, block).select("cloud_id", "point_idx", F.col("dist").alias("total"), F.lit(1).cast("bigint").alias("n")))
+    mean = materialize(near.groupBy("cloud_id", "point_idx").agg((F.sum("total") / (F.sum("n") + 1)).alias("mean_dist")))
     rule = mean.where("mean_dist > 0").groupBy("cloud_id").agg(
         (F.avg("mean_dist") + std_ratio * F.coalesce(F.stddev_samp("mean_dist"), F.lit(0.0))).alias("_limit")
     )
@@ -234,14 +249,13 @@ def statistical_outliers(points: DataFrame, nb_neighbors: int, std_ratio: float)
     return points.join(keep.select("cloud_id", "point_idx", "mean_dist"), ["cloud_id", "point_idx"])
 
 
-def normals(points: DataFrame, radius: float, max_nn: int) -> DataFrame:
-    """Unit normal from the spread of the nearest ``max_nn`` points (itself included) within
-    ``radius``; (0, 0, 1) below three points; turned toward the origin. ``used`` is the number of other points, ``residual``
-    the variance along the normal (0 below three points)."""
-    near = knn(points, max_nn - 1).withColumn(
-        "neighbors", F.filter("neighbors", lambda n: n["dist"] <= radius)
-    )
-    local = points.join(near, ["cloud_id", "point_idx"])
+_PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
+
+
+def _spread_of_lists(points: DataFrame, near: DataFrame, radius: float) -> DataFrame:
+    """``used`` and the covariances ``cxx`` to ``czz`` of points and the listed neighbors within ``radius``."""
+    near = near.withColumn("neighbors", F.filter("neighbors", lambda n: n["dist"] <= radius))
+    local = points.select("cloud_id", "point_idx", *XYZ).join(near, ["cloud_id", "point_idx"])
     n = (F.size("neighbors") + 1).cast("double")
 
     def total(f: Callable[[Column, Column, Column], Column]) -> Column:
@@ -251,7 +265,6 @@ def normals(points: DataFrame, radius: float, max_nn: int) -> DataFrame:
 
     mean = {c: total(lambda x, y, z, c=c: {"x": x, "y": y, "z": z}[c]) / n for c in XYZ}
     local = local.withColumns({f"m{c}": e for c, e in mean.items()})
-    pairs = ("xx", "xy", "xz", "yy", "yz", "zz")
 
     def cov(ab: str) -> Column:
         a, b = ab
@@ -260,7 +273,35 @@ def normals(points: DataFrame, radius: float, max_nn: int) -> DataFrame:
             * ({"x": x, "y": y, "z": z}[b] - F.col(f"m{b}"))
         ) / n
 
-    local = local.withColumns({f"c{ab}": cov(ab) for ab in pairs})
+    return local.select("cloud_id", "point_idx", *XYZ, F.size("neighbors").alias("used"), *[cov(ab).alias(f"c{ab}") for ab in _PAIRS])
+
+
+def normals(points: DataFrame, radius: float, max_nn: int, block: int = 2048) -> DataFrame:
+    """Unit normal from the spread of the nearest ``max_nn`` points (itself included) within
+    ``radius``; (0, 0, 1) below three points; turned toward the origin. ``used`` is the number of other points, ``residual``
+    the variance along the normal (0 below three points). A small cloud's neighbors stay in its task, which gives a row per point."""
+    k = max_nn - 1
+    if k < 1:
+        raise ValueError("max_nn must be at least 2")
+
+    def alone(idx: np.ndarray, xyz: np.ndarray) -> dict:
+        row, col, dist = _nearest_alone(idx, xyz, k)
+        row, col = row[dist <= radius], col[dist <= radius]
+        used = np.bincount(row, minlength=len(xyz))
+        mean = np.stack([(np.bincount(row, xyz[col, i], len(xyz)) + xyz[:, i]) / (used + 1) for i in range(3)], axis=1)
+        off, own = xyz[col] - mean[row], xyz - mean
+        at = [("xyz".index(a), "xyz".index(b)) for a, b in _PAIRS]
+        covs = [(np.bincount(row, off[:, i] * off[:, j], len(xyz)) + own[:, i] * own[:, j]) / (used + 1) for i, j in at]
+        return {
+            "point_idx": idx, **{c: xyz[:, i] for i, c in enumerate(XYZ)}, "used": used.astype(np.int32),
+            **{f"c{ab}": v for ab, v in zip(_PAIRS, covs)},
+        }
+
+    small, large = _by_size(points, block)
+    kinds = ", ".join(f"{c} DOUBLE" for c in XYZ), ", ".join(f"c{ab} DOUBLE" for ab in _PAIRS)
+    local = _alone(small, alone, f"{_POINT}, {kinds[0]}, used INT, {kinds[1]}").where("cloud_id IS NOT NULL AND point_idx IS NOT NULL")
+    if large is not None:
+        local = local.unionByName(_spread_of_lists(large, knn(large, k, block), radius))
 
     @F.pandas_udf("struct<nx:double,ny:double,nz:double>")
     def smallest(
@@ -270,14 +311,14 @@ def normals(points: DataFrame, radius: float, max_nn: int) -> DataFrame:
         _, vec = np.linalg.eigh(m)
         return pd.DataFrame(vec[:, :, 0], columns=["nx", "ny", "nz"])
 
-    local = local.withColumn("_v", smallest(*[F.col(f"c{ab}") for ab in pairs]))
+    local = local.withColumn("_v", smallest(*[F.col(f"c{ab}") for ab in _PAIRS]))
     toward = -(F.col("_v.nx") * F.col("x") + F.col("_v.ny") * F.col("y") + F.col("_v.nz") * F.col("z"))
     sign = F.when(toward < 0, -1.0).otherwise(1.0)
-    enough = F.size("neighbors") >= 2
+    enough = F.col("used") >= 2
     flat = {"nx": 0.0, "ny": 0.0, "nz": 1.0}
-    along = [F.col(f"_v.n{a}") * F.col(f"_v.n{b}") * F.col(f"c{a}{b}") * (1 if a == b else 2) for a, b in pairs]
+    along = [F.col(f"_v.n{a}") * F.col(f"_v.n{b}") * F.col(f"c{a}{b}") * (1 if a == b else 2) for a, b in _PAIRS]
     return local.select(
         "cloud_id", "point_idx", *XYZ,
         *[F.when(enough, F.col(f"_v.{c}") * sign).otherwise(v).alias(c) for c, v in flat.items()],
-        F.size("neighbors").alias("used"), F.when(enough, sum(along[1:], along[0])).otherwise(0.0).alias("residual"),
+        "used", F.when(enough, sum(along[1:], along[0])).otherwise(0.0).alias("residual"),
     )

@@ -295,3 +295,23 @@ def test_octree_counts_roll_up_level_by_level(spark):
     assert rows(shown) == sorted([(*k, i, leaf[k]) for k in tree for r, i in enumerate(sorted(count[k])) if r % step[k] == 0], key=repr)
     plan = shown._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(sequence" not in plan.split("RepartitionByExpression")[0]
+
+
+def test_neighbors_leave_the_task_as_one_row_a_point(spark):
+    import random
+
+    from framewright.operators import neighbors
+
+    rnd = random.Random(2)
+    data = [(c, i, rnd.random(), rnd.random(), rnd.choice((0.0, rnd.random()))) for c in (1, 2) for i in range(90)] + [(3, 0, 1.0, 1.0, 1.0), (4, 0, 1.0, 1.0, 1.0), (4, 1, 1.0, 1.0, 2.0)]
+    points = spark.createDataFrame(data, "cloud_id BIGINT, point_idx BIGINT, x DOUBLE, y DOUBLE, z DOUBLE")
+
+    def near(f):
+        small, large = ({tuple(r)[:2]: tuple(r)[2:] for r in f(block).collect()} for block in (2048, 16))
+        assert small.keys() == large.keys() and len(small) > 90
+        assert all(abs(a - b) < 1e-6 for k in small for a, b in zip(small[k], large[k]))
+
+    near(lambda block: neighbors.statistical_outliers(points, 5, 1.5, block).select("cloud_id", "point_idx", "mean_dist"))
+    near(lambda block: neighbors.normals(points, 0.4, 6, block).select("cloud_id", "point_idx", "used", "residual", "x", "nz"))
+    plan = neighbors.normals(points, 0.4, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Join" not in plan
