@@ -188,7 +188,7 @@ def octree_levels(spark, sf):
     ),
 )
 def octree_points(spark, sf):
-    return cloud.octree_points(X.points(spark, sf), limit=50, depth=4, target=20).select(
+    return cloud.octree_points(X.points(spark, sf).drop("intensity"), limit=50, depth=4, target=20).select(
         "cloud_id", "level", "nx", "ny", "nz", "point_idx", "is_leaf"
     )
 
