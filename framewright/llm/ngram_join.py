@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import small_side, stored, thinned, whole_row
+from framewright.llm.common import BROADCAST_ROWS, small_side, stored, thinned, whole_row
 from framewright.operators.dedupe import components
 
 #: Cost model of the allocation: documents of a size band that meet in one index, and the chance that a shingle of one also
@@ -23,6 +23,8 @@ BAND_ROWS, SHARED = 1e6, 0.005
 BAND = 1.25
 #: Up to so many shared index keys (two numbers each, some 100 MB) the keys are filtered by broadcast.
 SHARED_KEYS = 3_000_000
+#: Up to so many classes that share an index key or an element are compared pair by pair.
+FEW = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -232,42 +234,110 @@ def leaders(counted: DataFrame, jumps: int = 3) -> DataFrame:
     return now
 
 
-def followers_linked(judged: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: links between classes with the same leader of which one at least does not link with the leader.
+def banded_sets(texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``grp, cid, n, toks``: the set of every class once for each of its bands. Classes that link meet in the band of the smaller."""
 
-    With x and y given by what they differ in from their leader (deltas), x and y differ in |dx| + |dy| - 2 * overlap
-    elements. If y does not link with the leader, |dx| + |dy| alone is more than a link allows, so the deltas must overlap by
-    ``o = (|dx| + |dy| - H(x, y)) / 2``. That is a prefix-filtered join: deltas ordered by the rarity of their tokens among the
-    followers, the first ``H(x) + 1`` tokens (of linked followers about half) joined, positions bounded, then exact.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                rows = []
+                for cid, text in zip(batch["cid"].tolist(), batch["text"]):
+                    tokens = shingle_set(text, shingle)
+                    rows += [(band, cid, len(tokens), tokens.view(np.int64)) for band in bands_for(len(tokens), percent)]
+                yield pd.DataFrame(rows, columns=["grp", "cid", "n", "toks"])
+
+    return texts.mapInPandas(run, "grp LONG, cid LONG, n LONG, toks ARRAY<LONG>")
+
+
+def by_group(rows: DataFrame, side: DataFrame, fits: bool, salts: int = 32) -> DataFrame:
+    """``rows`` with the columns of stored ``side``, one row a ``grp``; a large group is dealt over many tasks."""
+    if fits:
+        return rows.join(F.broadcast(side), "grp", "left")
+    side = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(salts)).cast("int")).join(side, ["grp", "salt"], "left").drop("salt")
+
+
+def linked_in_groups(rows: DataFrame, percent: int, few: int) -> DataFrame:
+    """``a, b``: links between members of a group, enough to connect what all its links connect.
+
+    ``rows`` has ``grp, cid, n, toks``: a class, its size and its set, or what it differs in from some set of the group; ``u``,
+    elements it is known not to share; ``part`` and ``leader``: members with equal ones need no link.
+
+    In each group the elements that more than half of the members have are taken for its centre, and members are given by
+    what they differ in from it: ``w`` elements with ``u``. Two members differ in ``w + w' - 2 * overlap`` and link if
+    ``v + v' <= 2 * (100 + percent) * overlap`` with ``v = (100 + percent) * w - (100 - percent) * n``. Those with ``v + v' <= 0``
+    link at once, also with the member of the smallest ``v``, which stands for them. The others must overlap: differences are ordered by
+    rarity, those of one member only cannot overlap, and the first ones are joined as far as ``v`` and the smallest ``v`` allow.
+    Up to ``few`` members that share an element are compared; more are a group of the next round, where the elements up to the shared one
+    are known not to be shared (pairs that share one meet there). Such a group has half of the members at most. Where the
+    new groups would not save half of the pairs, they are compared at once.
     """
-    k = (100 - percent) / (100 + percent)
-    failed = judged.where("NOT linked").select("leader").distinct()
-    rows = judged.join(failed, "leader", "left_semi").join(sizes.select("cid", "n"), "cid")
-    rows = stored(rows.select("leader", "cid", "n", "linked", "delta", F.size("delta").alias("d")), "join-deltas")
-    tokens = rows.select("leader", "cid", "n", "linked", "d", F.explode("delta").alias("token"))
-    counts = tokens.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("f"))
-    most = F.floor(F.col("n") * (100 - percent) / percent) + 1  # H for any partner, plus one
-    half = F.col("d") - F.ceil((1 - k) * F.col("d") / 2 - 1e-9) + 1
-    width = F.least(F.col("d"), F.when(F.col("linked"), F.least(half, most)).otherwise(most))
-    order = Window.partitionBy("leader", "cid").orderBy("f", "token")
-    prefix = tokens.join(counts, ["leader", "token"]).withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= width)
-    prefix = stored(prefix.join(counts.where("f > 1").select("leader", "token"), ["leader", "token"], "left_semi").drop("f"), "join-prefix")
-    left = prefix.where("NOT linked").select("leader", "token", *[F.col(c).alias(f"l_{c}") for c in ("cid", "n", "d", "pos")])
-    right = prefix.select("leader", "token", "linked", *[F.col(c).alias(f"r_{c}") for c in ("cid", "n", "d", "pos")])
-    n, m = F.col("l_n"), F.col("r_n")
-    overlap = (F.col("l_d") + F.col("r_d") - F.floor((n + m) * k + 1e-9)) / 2
-    rest = F.least(F.col("l_d") - F.col("l_pos"), F.col("r_d") - F.col("r_pos")) + 1
-    near = left.join(right, ["leader", "token"]).where(
-        (F.col("l_cid") != F.col("r_cid")) & (F.col("linked") | (F.col("l_cid") < F.col("r_cid")))
-        & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (rest >= overlap)
-    )
-    near = stored(near.select(F.col("l_cid").alias("a"), F.col("r_cid").alias("b")).distinct(), "join-near")
-    side = rows.select("cid", "n", "delta", "leader")
-    both = near.join(side.select(F.col("cid").alias("a"), F.col("n").alias("an"), F.col("delta").alias("ad"), "leader"), "a")
-    both = both.join(side.select(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("delta").alias("bd")), "b")
-    differ = F.size("ad") + F.size("bd") - 2 * F.size(F.array_intersect("ad", "bd"))
-    both = both.where(links(F.col("an"), F.col("bn"), differ, percent))
-    return thinned(both.select("leader", F.pmod(F.xxhash64("a"), F.lit(8)).alias("salt"), "a", "b"), "leader", "salt")
+    up, down = 100 + percent, 100 - percent
+    found = None
+    rows = stored(rows, "join-members")
+    while not rows.isEmpty():
+        counts = rows.select("grp", F.explode("toks").alias("token")).groupBy("grp", "token").agg(F.count(F.lit(1)).alias("f"))
+        counts = counts.join(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("g")), "grp").where("2 * f > g")
+        centre = stored(counts.groupBy("grp").agg(F.collect_list("token").alias("centre")), "join-centre")
+        fits = (centre.agg(F.sum(F.size("centre"))).first()[0] or 0) <= BROADCAST_ROWS
+        based = by_group(rows, centre, fits).withColumn("centre", F.coalesce("centre", F.array().cast("array<long>")))
+        based = based.withColumn("toks", F.concat(F.array_except("toks", "centre"), F.array_except("centre", "toks")))
+        based = based.withColumn("v", up * (F.col("u") + F.size("toks")) - down * F.col("n"))
+        based = stored(based.select("grp", "cid", "n", "v", (F.col("u") + F.size("toks")).alias("w"), "part", "leader", "toks"), "join-based")
+
+        best = based.groupBy("grp").agg(F.min(F.struct("v", "cid", "part")).alias("best"), F.count(F.lit(1)).alias("g"))
+        best = stored(best.where("g > 1").select("grp", "g", "best.v", "best.cid", "best.part").toDF("grp", "g", "v0", "c0", "part0"), "join-best")
+        few_groups = best.count() <= BROADCAST_ROWS
+        core = F.col("v") + F.col("v0") <= 0
+        near = by_group(based.drop("toks"), best, few_groups).where(core & (F.col("cid") != F.col("c0")) & (F.col("part") != F.col("part0")))
+        links_now = stored(near.select(F.col("c0").alias("a"), F.col("cid").alias("b")), "join-links")
+        found = links_now if found is None else found.unionByName(links_now)
+
+        tokens = based.withColumn("token", F.explode("toks")).drop("toks")
+        counts = tokens.groupBy("grp", "token").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+        counts, _ = small_side(stored(counts, "join-tokens"))
+        ranked = tokens.join(counts, ["grp", "token"]).groupBy("grp", "cid", "n", "v", "w", "part", "leader")
+        ranked = ranked.agg(F.sort_array(F.collect_list(F.struct("f", "token"))).getField("token").alias("toks"))
+        ranked = by_group(ranked, best, few_groups).where("v0 IS NOT NULL").withColumn("core", core)
+        need = F.greatest(F.lit(1), F.ceil((F.col("v") + F.when(F.col("core"), -F.col("v0")).otherwise(F.col("v0"))) / (2 * up)))
+        ranked = ranked.withColumn("part", F.when(F.col("core"), F.col("part0")).otherwise(F.col("part")))
+        ranked = ranked.withColumn("d", F.size("toks")).withColumn("width", (F.col("d") - need + 1).cast("int")).where("width > 0")
+        ranked = stored(ranked.select("grp", "cid", "n", "v", "w", "part", "leader", "core", "d", "width", "toks"), "join-ranked")
+
+        names = ["cid", "n", "v", "part", "leader", "core", "d", "pos"]
+        heads = ranked.select("*", F.posexplode(F.slice("toks", F.lit(1), F.col("width"))).alias("pos", "token"))
+        met = heads.groupBy("grp", "token").agg(
+            F.count(F.lit(1)).alias("k"), F.min("part").alias("lo"), F.max("part").alias("hi"),
+            F.min("leader").alias("from"), F.max("leader").alias("to"), F.min("core").alias("all_core"),
+        ).where("k > 1 AND lo <> hi AND from <> to AND NOT all_core")
+        met = stored(met.select("grp", "token", "k"), "join-met")
+        large = met.where(F.col("k") > few)
+        cost = large.groupBy("grp").agg(F.sum(F.col("k") * F.col("k")).alias("cost")).join(best, "grp")
+        large = stored(large.join(cost.where("2 * cost <= g * g").select("grp"), "grp", "left_semi").select("grp", "token"), "join-large")
+        small = met.join(large, ["grp", "token"], "left_anti").select("grp", "token")
+
+        meet = heads.drop("toks").join(small, ["grp", "token"])
+        left, right = (meet.select("grp", "token", *[F.col(c).alias(f"{s}_{c}") for c in names]) for s in "lr")
+        rest = F.least(F.col("l_d") - F.col("l_pos"), F.col("r_d") - F.col("r_pos"))
+        pairs = left.where("NOT l_core").join(right, ["grp", "token"]).where(
+            (F.col("l_cid") != F.col("r_cid")) & (F.col("r_core") | (F.col("l_cid") < F.col("r_cid")))
+            & (F.col("l_part") != F.col("r_part")) & (F.col("l_leader") != F.col("r_leader"))
+            & (100 * F.least("l_n", "r_n") >= percent * F.greatest("l_n", "r_n")) & (2 * up * rest >= F.col("l_v") + F.col("r_v"))
+        )
+        pairs = stored(pairs.select("grp", F.col("l_cid").alias("a"), F.col("r_cid").alias("b")).distinct(), "join-near")
+        for s in "ab":
+            pairs = pairs.join(ranked.select("grp", *[F.col(c).alias(f"{s}{t}") for c, t in (("cid", ""), ("v", "v"), ("toks", "t"))]), ["grp", s])
+        pairs = pairs.where(F.col("av") + F.col("bv") <= 2 * up * F.size(F.array_intersect("at", "bt")))
+        pairs = pairs.select("grp", F.pmod(F.xxhash64("a"), F.lit(8)).alias("salt"), "a", "b")
+        found = found.unionByName(stored(thinned(pairs, "grp", "salt"), "join-links"))
+
+        side, _ = small_side(large)
+        rows = heads.join(side, ["grp", "token"]).select(
+            F.xxhash64("grp", "token").alias("grp"), "cid", "n", (F.col("w") - F.col("d") + F.col("pos")).alias("u"), "part", "leader",
+            F.slice("toks", F.col("pos") + 2, F.col("d")).alias("toks"),
+        )
+        rows = stored(rows, "join-members")
+    return rows.select(F.col("cid").alias("a"), F.col("cid").alias("b")) if found is None else found
 
 
 def near_copies(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
@@ -277,9 +347,9 @@ def near_copies(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFra
     reachable by links, and ``kept`` marks the row with that id (of several, one text).
 
     Equal sets collapse to classes first. Classes that share an index key are candidates. Each class is verified against its
-    leader (``leaders``); links between followers of one leader come from a join of their differences from it
-    (``followers_linked``); pairs with enough common keys, different leaders and not yet one component are verified one by one.
-    So no link between different texts is lost, and a group of copies never becomes all its pairs.
+    leader (``leaders``). Links between followers of one leader, and between classes that share a key with more than ``FEW`` others, come from
+    a join of their differences (``linked_in_groups``); other pairs with enough common keys, different leaders and not yet
+    one component are verified one by one. So no link between different texts is lost, and a group of copies never becomes all its pairs.
 
     Null and empty texts and those without words have size 0 and link with nothing. A null id is reached like any other,
     but never named; alone it has a null component. Repeated rows link with each other. Empty tables
@@ -303,17 +373,32 @@ def near_copies(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFra
     judged = stored(verified(docs, led, classes, shingle, percent).dropDuplicates(["a", "b"]), "join-judged")
     judged = judged.select(F.col("a").alias("leader"), F.col("b").alias("cid"), "linked", "delta")
     found = judged.where("linked").select(F.col("leader").alias("a"), F.col("cid").alias("b"))
-    found = stored(found.unionByName(followers_linked(judged, classes, percent)), "join-links")
+    open_groups = judged.groupBy("leader").agg(F.count(F.lit(1)).alias("k"), F.min("linked").alias("all")).where("k > 1 AND NOT all")
+    members = judged.join(open_groups.select("leader"), "leader", "left_semi").join(classes.select("cid", "n"), "cid")
+    members = members.select(
+        F.xxhash64("leader").alias("grp"), "cid", "n", F.lit(0).cast("long").alias("u"),
+        F.when(F.col("linked"), F.col("leader")).otherwise(F.col("cid")).alias("part"), F.col("cid").alias("leader"), F.col("delta").alias("toks"),
+    )
 
     # A follower that links with its leader is already one with it, which spares most of the pairs below.
     part = judged.where("linked").select("cid", F.col("leader").alias("part"))
     tagged = shared.join(part, "cid", "left").join(led.select(F.col("b").alias("cid"), F.col("a").alias("leader")), "cid", "left")
     tagged = tagged.select("sig", "cid", "n", "need", F.coalesce("part", "cid").alias("part"), F.coalesce("leader", "cid").alias("leader"))
     mixed = tagged.groupBy("sig").agg(
-        F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("leader").alias("from"), F.max("leader").alias("to")
-    ).where("lo <> hi AND from <> to").select("sig")
+        F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("leader").alias("from"), F.max("leader").alias("to"),
+        F.count(F.lit(1)).alias("k"),
+    ).where("lo <> hi AND from <> to").select("sig", "k")
     open_rows = stored(tagged.join(mixed, "sig"), "join-open")
-    left, right = (open_rows.select("sig", *[F.col(c).alias(f"{s}_{c}") for c in ("cid", "n", "need", "part", "leader")]) for s in "lr")
+
+    # Pairs that share a key with many are found as members of groups, by that key alone, the others by all their keys.
+    many = stored(open_rows.where(F.col("k") > FEW).select("cid", "part", "leader").distinct(), "join-many")
+    texts = class_texts(docs, stored(classes.join(many, "cid").select("cid", "row_key"), "join-need"))
+    sets = banded_sets(texts, shingle, percent).dropDuplicates(["grp", "cid"]).join(many, "cid")
+    members = members.unionByName(sets.withColumn("u", F.lit(0).cast("long")))
+    found = found.unionByName(linked_in_groups(members, percent, FEW))
+
+    few = open_rows.where(F.col("k") <= FEW)
+    left, right = (few.select("sig", *[F.col(c).alias(f"{s}_{c}") for c in ("cid", "n", "need", "part", "leader")]) for s in "lr")
     n, m = F.col("l_n"), F.col("r_n")
     rest = left.join(right, "sig").where(
         (F.col("l_cid") < F.col("r_cid")) & (F.col("l_part") != F.col("r_part")) & (F.col("l_leader") != F.col("r_leader"))

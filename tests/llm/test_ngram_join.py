@@ -67,6 +67,43 @@ def test_brute_force(spark, seed, size, percent):
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, size, percent)
 
 
+def cloud(seed, n=240):
+    """Texts of one base with changes that are too many for most pairs to link, some of them with a passage all others have too."""
+    rng = random.Random(seed)
+    base, passage = [f"b{i}" for i in range(120)], [f"p{i}" for i in range(40)]
+    rows = []
+    for k in range(n):
+        words = list(base) if k % 3 else [f"o{k}_{i}" for i in range(80)]
+        for _ in range(rng.choice([3, 4, 5])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(words + passage)))
+        if k % 20 == 1:
+            rows.append((1000 + k, " ".join(words + passage[:-1])))
+    return rows
+
+
+def test_pairs_of_a_cloud(spark, monkeypatch):
+    rows, found, stored = cloud(4), {}, nj.stored
+
+    def counted(df, label):
+        out = stored(df, label)
+        found[label] = found.get(label, 0) + (out.count() if label in ("join-near", "join-rest") else 0)
+        return out
+
+    monkeypatch.setattr(nj, "stored", counted)
+    got = nj.near_copies(frame(spark, rows), 5, 80).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 5, 80)
+    assert found["join-near"] + found["join-rest"] <= 4 * len(rows)
+
+
+@pytest.mark.parametrize("size, percent", [(5, 80), (1, 60)])
+def test_groups_of_many_rounds(spark, monkeypatch, size, percent):
+    monkeypatch.setattr(nj, "FEW", 2)
+    rows = make(7, 90) + [(2000 + i, t) for i, t in cloud(8, 60)]
+    got = nj.near_copies(frame(spark, rows), size, percent).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, size, percent)
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90, 95])
 def test_linked_sets_share_a_key(percent):
     rng = np.random.default_rng(percent)
