@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewright.operators.ranking import exact_quantile, with_rank, with_shuffled_rank
-from framewright.session import finely, stored
+from framewright.session import finely, shuffled, stored
 
 XYZ = ("x", "y", "z")
 
@@ -165,7 +165,7 @@ def octree_nodes(
         "cloud_id", (lv + 1).alias("level"), *[F.col(f"n{c}").alias(f"p{c}") for c in XYZ]
     )
     keyed = nodes.withColumns({f"p{c}": F.floor(F.col(f"n{c}") / 2) for c in XYZ})
-    children = keyed.join(inner, ["cloud_id", "level", "px", "py", "pz"], "left_semi")
+    children = keyed.join(shuffled(inner), ["cloud_id", "level", "px", "py", "pz"], "left_semi")
     tree = keyed.where("level = 0").unionByName(children).drop("px", "py", "pz")
     leaf = (F.col("point_count") <= limit) | (lv >= depth)
     step = F.when(leaf, F.lit(1)).otherwise(F.ceil(F.col("point_count") / target)).cast("bigint")
@@ -186,8 +186,8 @@ def octree_points(
     cell = ["cloud_id", "cx", "cy", "cz"]
     lv = F.col("level")
     levels = coded.select(*cell).distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-    held = levels.withColumns({f"n{c}": _shift(f"c{c}", depth, lv) for c in XYZ}).join(nodes.drop("point_count"), _NODE)
-    shown = coded.join(held, cell).drop("cx", "cy", "cz").withColumn("_part", F.floor(F.col("point_idx") / 65536))
+    held = levels.withColumns({f"n{c}": _shift(f"c{c}", depth, lv) for c in XYZ}).join(shuffled(nodes.drop("point_count")), _NODE)
+    shown = coded.join(shuffled(stored(held, "octree-held")), cell).drop("cx", "cy", "cz").withColumn("_part", F.floor(F.col("point_idx") / 65536))
     many = nodes.agg(F.coalesce(F.sum("point_count"), F.lit(0))).first()[0]  # a point stands in each of its nodes
     ranked = with_rank(finely(shown, *_NODE, "_part", count=many), _NODE, [F.col("point_idx")], F.col("_part"), "_rank")
     return ranked.where(F.col("_rank") % F.col("step") == 0).select(

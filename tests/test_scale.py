@@ -297,6 +297,35 @@ def test_octree_counts_roll_up_level_by_level(spark):
     assert "explode(sequence" not in plan.split("RepartitionByExpression")[0]
 
 
+def test_nodes_of_an_octree_are_not_sent_to_every_task(spark, monkeypatch):
+    from framewright.operators import cloud
+
+    points = spark.createDataFrame([(1, i, i / 9.0, i / 7.0, 0.0) for i in range(90)], "cloud_id BIGINT, point_idx BIGINT, x DOUBLE, y DOUBLE, z DOUBLE")
+    plans, kept = [], cloud.stored
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return kept(df, label)
+
+    monkeypatch.setattr(cloud, "stored", noted)
+    plans.append(cloud.octree_points(points, 20, 3, 7)._jdf.queryExecution().sparkPlan().toString())
+    joins = [line.split("Join ")[1].split("]")[0] for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert not [j for j in joins if "px#" in j or "nx#" in j and "_bucket" not in j or "cx#" in j]
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 3
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    from framewright.session import stored
+
+    sc = spark.sparkContext._jsc.sc()
+    blocks = lambda: sc.env().shuffleManager().shuffleBlockResolver().getStoredShuffles().size()
+    before, key = blocks(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    df = stored(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert spark.conf.get(key, None) == was and blocks() <= before
+    assert df.count() == 7 and df.agg(F.sum("count")).first()[0] == 1000
+
+
 def test_neighbors_leave_the_task_as_one_row_a_point(spark):
     import random
 
