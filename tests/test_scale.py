@@ -344,3 +344,41 @@ def test_neighbors_leave_the_task_as_one_row_a_point(spark):
     near(lambda block: neighbors.normals(points, 0.4, 6, block).select("cloud_id", "point_idx", "used", "residual", "x", "nz"))
     plan = neighbors.normals(points, 0.4, 6)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "Join" not in plan
+
+
+def test_pieces_of_a_large_file_are_packed(spark, tmp_path, monkeypatch):
+    from framewright.sinks.files import write_lines
+
+    text = '{"token": "%05d", "rotation": [1.0, 0.0, 0.0, 0.0], "translation": [0.0, 0.0, 0.0]}'
+    large = spark.range(20000).select(
+        F.lit("a/large.json").alias("rel"), F.col("id").alias("n"), F.format_string(text, "id").alias("line"), F.lit("list").alias("section"))
+    more = spark.createDataFrame(
+        [("a/large.json", -1, "[", None), ("a/large.json", 99999, "]", None), ("b/none.txt", 0, None, None), ("c/few.txt", 1, "x", None), ("c/few.txt", 2, "y", None)],
+        "rel STRING, n BIGINT, line STRING, section STRING")
+    made, sizes = spark.createDataFrame, []
+
+    def noted(*args, **kw):
+        sizes.extend(p.stat().st_size for p in tmp_path.rglob(".large.json.*"))
+        return made(*args, **kw)
+
+    rows_of = large.unionByName(more)
+    monkeypatch.setattr(rows_of.sparkSession, "createDataFrame", noted)
+    write_lines(rows_of, str(tmp_path), ["n"])
+    want = "[\n" + ",\n".join(text % i for i in range(20000)) + "\n]\n"
+    assert (tmp_path / "a/large.json").read_text() == want
+    assert (tmp_path / "b/none.txt").read_bytes() == b"" and (tmp_path / "c/few.txt").read_text() == "x\ny\n"
+    assert len(sizes) > 3 and sum(sizes) < len(want) / 3
+    assert not [p for p in tmp_path.rglob(".*") if not p.name.endswith(".crc")]
+
+
+def test_numbered_rows_are_pinned_as_parquet(spark):
+    from framewright.operators.ranking import dense_ids, range_rank
+
+    df = spark.createDataFrame([(i % 3, -i, None) for i in range(50)], "k BIGINT, v BIGINT, w STRING")
+    got = dense_ids(df, [F.col("v")], "n")
+    assert "Scan ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString().split("Broadcast")[0]
+    assert [r["n"] for r in got.orderBy("v").collect()] == list(range(50))
+    ranked = range_rank(df, ["k"], [F.col("v")], "r", "n")
+    assert rows(ranked.select("k", "v", "r", "n")) == rows(df.selectExpr("k", "v", "int(-v / 3) r", "count(*) OVER (PARTITION BY k) n").selectExpr("k", "v", "n - 1 - r r", "n"))
+    bare = df.select("v", F.lit(None).alias("nothing"))
+    assert dense_ids(bare, [F.col("v")], "n").where("n = 0 AND nothing IS NULL").count() == 1
