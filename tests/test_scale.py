@@ -1,5 +1,7 @@
 """Work that grew faster than its input, on small rows that show how it is done."""
 
+from pathlib import Path
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -382,3 +384,51 @@ def test_numbered_rows_are_pinned_as_parquet(spark):
     assert rows(ranked.select("k", "v", "r", "n")) == rows(df.selectExpr("k", "v", "int(-v / 3) r", "count(*) OVER (PARTITION BY k) n").selectExpr("k", "v", "n - 1 - r r", "n"))
     bare = df.select("v", F.lit(None).alias("nothing"))
     assert dense_ids(bare, [F.col("v")], "n").where("n = 0 AND nothing IS NULL").count() == 1
+
+
+def _boxes(spark):
+    from framewright.model import Dataset
+
+    samples = spark.createDataFrame(
+        [(i, i, f"/d/im{i}.jpg", 100, 50, "s1" if i < 3 else "s2", "cam", i * 10) for i in range(5)],
+        "sample_id BIGINT, ordinal BIGINT, image_path STRING, image_width INT, image_height INT, scene STRING, camera STRING, timestamp BIGINT")
+    labels = spark.createDataFrame(
+        [(i % 5, i, "car" if i % 2 else "van", i % 2, 0.5, 0.5, 0.2, 0.2, 1.0, None if i % 7 == 0 else i % 4) for i in range(60)],
+        "sample_id BIGINT, label_index BIGINT, class_name STRING, class_id INT, cx DOUBLE, cy DOUBLE, w DOUBLE, h DOUBLE, confidence DOUBLE, track_id BIGINT")
+    classes = spark.createDataFrame([(0, "van"), (1, "car")], "class_id INT, class_name STRING")
+    return Dataset(samples, labels, classes, "boxes")
+
+
+def test_openlabel_rows_are_worked_out_once_and_scratch_goes(spark, tmp_path):
+    from framewright.session import shared_dir
+    from framewright.sinks import scenes as S
+    from framewright.sources import scenes as R
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    S.write_openlabel(_boxes(spark), str(tmp_path / "ol"))
+    assert not [p for p in set(shared.iterdir()) - before if p.name.startswith("openlabel")]
+    labels = R.read_openlabel(spark, str(tmp_path / "ol"), layout="lines").labels
+    assert labels.count() == 60 and labels.select("sample_id", "uid").distinct().count() == 60
+    plain = [r["uid"] for r in labels.collect() if r["uid"].count("-") == 1]
+    assert len(plain) == len({(i % 5, i % 4) for i in range(60) if i % 7})  # the first of a track in a frame keeps its name
+    assert "Scan text" not in labels._jdf.queryExecution().executedPlan().toString()  # lines were parsed before, once
+
+
+def test_cvat_text_and_tables_of_a_writer_do_not_stay(spark, tmp_path):
+    from framewright.session import shared_dir
+    from framewright.sinks import labels as S
+    from framewright.sources import registry
+    from framewright.sources import labels as R
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.iterdir())
+    ds = _boxes(spark)
+    S.write_cvat(ds, str(tmp_path / "a"))
+    assert R.read_cvat(spark, str(tmp_path / "a/annotations.xml")).labels.count() == 60
+    left = {p.name.rpartition("-")[0] for p in set(shared.iterdir()) - before if p.name.rpartition("-")[0]}
+    assert left == {"cvat-elements", "cvat-classes"}
+    before = set(shared.iterdir())
+    registry.convert(spark, "cvat", str(tmp_path / "a/annotations.xml"), "coco", str(tmp_path / "b"))
+    assert not [p for p in set(shared.iterdir()) - before if p.name.startswith(("cvat", "xml", "pinned"))]
+    assert R.read_coco(spark, str(tmp_path / "b"), layout="lines").labels.count() == 60
