@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.joins import iou_join
 from framewright.operators.ranking import exact_quantile
-from framewright.session import materialize, spread_by
+from framewright.session import shuffled, spread_by, stored
 
 # Smallest lifted box, spread factor, confidence of lifted boxes.
 LIFT_MIN, LIFT_PAD, LIFT_CONF, LIFT_POINTS = 0.5, 1.1, 0.5, 3
@@ -53,15 +53,15 @@ def greedy_match(pairs: DataFrame, gather: int = 20_000) -> DataFrame:
     exactly the pairs that are best for both ends once earlier picks are gone, so every round takes all
     mutual best pairs at once; the rounds needed are the longest chain of dependent picks.
     """
-    pairs = materialize(pairs.select("frame_id", "i", "j", "iou"))
+    pairs = shuffled(stored(pairs.select("frame_id", "i", "j", "iou"), "match-pairs"))
     large = pairs.groupBy("frame_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > gather).select("frame_id")
-    large = materialize(large)
+    large = stored(large, "match-large")
     small = spread_by(pairs.join(large, "frame_id", "left_anti"), "frame_id")
     small = small.sortWithinPartitions("frame_id", F.desc("iou"), "i", "j")
     done = small.mapInPandas(_match_frames, pairs.schema)
     if large.isEmpty():
         return done
-    left = materialize(pairs.join(large, "frame_id", "left_semi"))
+    left = shuffled(stored(pairs.join(large, "frame_id", "left_semi"), "match-left"))
     # Smallest (-iou, i, j) is first in the sorted list.
     order = F.struct((-F.col("iou")).alias("s"), "i", "j")
     while True:
@@ -70,13 +70,13 @@ def greedy_match(pairs: DataFrame, gather: int = 20_000) -> DataFrame:
         picked = best_i.select("frame_id", "best.*").join(
             best_j.select("frame_id", "best.*"), ["frame_id", "s", "i", "j"], "left_semi"
         )
-        picked = materialize(picked.select("frame_id", "i", "j", (-F.col("s")).alias("iou")))
+        picked = shuffled(stored(picked.select("frame_id", "i", "j", (-F.col("s")).alias("iou")), "match-picked"))
         done = done.unionByName(picked)
-        left = materialize(
+        left = shuffled(stored(
             left.join(picked.select("frame_id", "i"), ["frame_id", "i"], "left_anti").join(
                 picked.select("frame_id", "j"), ["frame_id", "j"], "left_anti"
-            )
-        )
+            ), "match-left"
+        ))
         if left.limit(1).count() == 0:
             return done
 
