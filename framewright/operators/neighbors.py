@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from framewright.operators import octree
 from framewright.operators.cloud import XYZ
-from framewright.session import materialize, spread_by, stored
+from framewright.session import materialize, shuffled, spread_by, stored
 
 _POINT = "cloud_id BIGINT, point_idx BIGINT"
 _NEAR = f"{_POINT}, rank INT, dist DOUBLE, idx BIGINT, nx DOUBLE, ny DOUBLE, nz DOUBLE"
@@ -95,8 +95,8 @@ def radius_counts(points: DataFrame, radius: float, block: int = 2048) -> DataFr
         return {"head": ids, "n": n}
 
     equal = large.groupBy("cloud_id", *XYZ).agg(F.array(F.min("point_idx")).alias("ids"), F.count(F.lit(1)).alias("weight"))
-    equal = materialize(equal)
-    leaves = materialize(octree.packed(octree.leaves(equal, block)))
+    equal = shuffled(stored(equal, "equal-points"))
+    leaves = shuffled(stored(octree.packed(octree.leaves(equal, block)), "cloud-leaves"))
     pairs = octree.leaf_pairs(leaves.withColumn("reach", F.lit(float(radius))))
     heads = _together(leaves, pairs, near, "cloud_id BIGINT, head BIGINT, n BIGINT").groupBy("cloud_id", "head").agg(F.sum("n").alias("n"))
     places = equal.select("cloud_id", *XYZ, F.col("ids")[0].alias("head")).join(heads, ["cloud_id", "head"])
@@ -159,7 +159,7 @@ def _nearest_large(points: DataFrame, k: int, block: int) -> DataFrame:
     same = Window.partitionBy("cloud_id", *XYZ).orderBy("point_idx")
     first = points.select("cloud_id", "point_idx", *XYZ).withColumn("_rn", F.row_number().over(same)).where(F.col("_rn") <= k + 1)
     equal = first.groupBy("cloud_id", *XYZ).agg(F.sort_array(F.collect_list("point_idx")).alias("ids"))  # k + 1 at most
-    equal = materialize(equal.withColumn("weight", F.lit(1).cast("bigint")))
+    equal = shuffled(stored(equal.withColumn("weight", F.lit(1).cast("bigint")), "equal-points"))
     leaves = octree.packed(octree.leaves(equal, block))
 
     def bound(batches):
@@ -177,7 +177,7 @@ def _nearest_large(points: DataFrame, k: int, block: int) -> DataFrame:
             yield batch.assign(bound=[r.tobytes() for r in reach], reach=[float(np.sqrt(r.max())) for r in reach])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in leaves.schema)
-    leaves = materialize(leaves.mapInPandas(bound, f"{kinds}, bound BINARY, reach DOUBLE"))
+    leaves = shuffled(stored(leaves.mapInPandas(bound, f"{kinds}, bound BINARY, reach DOUBLE"), "cloud-leaves"))
     pairs = octree.leaf_pairs(leaves)
 
     def near(query: pd.Series, partners, chunks: int) -> dict:
@@ -200,7 +200,7 @@ def _nearest_large(points: DataFrame, k: int, block: int) -> DataFrame:
         return {"head": heads[i], "chunks": chunks, "dist": np.sqrt(d), "idx": ids, **{f"n{c}": at[:, n] for n, c in enumerate(XYZ)}}
 
     rows = _together(leaves, pairs, near, "cloud_id BIGINT, head BIGINT, chunks INT, dist DOUBLE, idx BIGINT, nx DOUBLE, ny DOUBLE, nz DOUBLE")
-    rows = materialize(rows)
+    rows = shuffled(stored(rows, "cloud-near"))
     by = Window.partitionBy("cloud_id", "head").orderBy("dist", "idx")
     once = rows.where("chunks = 1").drop("chunks")
     several = rows.where("chunks > 1").withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= k + 1).select(*once.columns)
@@ -239,14 +239,15 @@ def statistical_outliers(points: DataFrame, nb_neighbors: int, std_ratio: float,
     near = _alone(small, alone, f"{_POINT}, total DOUBLE, n BIGINT")  # a row per point, not per neighbor
     if large is not None:
         near = near.unionByName(_nearest_large(large, k, block).select("cloud_id", "point_idx", F.col("dist").alias("total"), F.lit(1).cast("bigint").alias("n")))
-    mean = materialize(near.groupBy("cloud_id", "point_idx").agg((F.sum("total") / (F.sum("n") + 1)).alias("mean_dist")))
+    mean = near.groupBy("cloud_id", "point_idx").agg((F.sum("total") / (F.sum("n") + 1)).alias("mean_dist"))
+    mean = stored(mean, "cloud-means")
     rule = mean.where("mean_dist > 0").groupBy("cloud_id").agg(
         (F.avg("mean_dist") + std_ratio * F.coalesce(F.stddev_samp("mean_dist"), F.lit(0.0))).alias("_limit")
     )
     keep = mean.join(rule, "cloud_id").where(
         (F.col("mean_dist") > 0) & (F.col("mean_dist") < F.col("_limit"))
     )
-    return points.join(keep.select("cloud_id", "point_idx", "mean_dist"), ["cloud_id", "point_idx"])
+    return points.join(shuffled(keep.select("cloud_id", "point_idx", "mean_dist")), ["cloud_id", "point_idx"])
 
 
 _PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
