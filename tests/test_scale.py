@@ -432,3 +432,86 @@ def test_cvat_text_and_tables_of_a_writer_do_not_stay(spark, tmp_path):
     registry.convert(spark, "cvat", str(tmp_path / "a/annotations.xml"), "coco", str(tmp_path / "b"))
     assert not [p for p in set(shared.iterdir()) - before if p.name.startswith(("cvat", "xml", "pinned"))]
     assert R.read_coco(spark, str(tmp_path / "b"), layout="lines").labels.count() == 60
+
+
+def test_a_tile_of_equal_vectors_does_not_list_its_pairs(spark):
+    import numpy as np
+
+    from framewright.operators import dedupe
+
+    near = np.ones((300, 400), bool)
+    i, j = dedupe._branches(near)
+    assert len(i) == 699 and near[i, j].all()
+    rnd = np.random.default_rng(3)
+    for share in (0.0, 0.002, 0.01, 0.2):
+        near = rnd.random((60, 80)) < share
+        edges = lambda i, j: dedupe._spanning(pd.DataFrame({"a": i, "b": np.asarray(j) + 1000}))
+        thin, full = edges(*dedupe._branches(near)), edges(*np.nonzero(near))
+        assert len(thin) == len(full) == len(dedupe._branches(near)[0])
+
+
+def test_copies_of_vectors_leave_in_bounded_batches(spark, monkeypatch):
+    import math
+
+    from framewright.operators import dedupe
+
+    data = [(i, [math.cos(i / 50), math.sin(i / 50), 1.0]) for i in range(300)]
+    df = spark.createDataFrame(data, "id BIGINT, vector ARRAY<DOUBLE>")
+    want = {(a, b) for a, va in data for b, vb in data if a < b and sum(x * y for x, y in zip(va, vb)) / 2 >= 0.99}
+    got = dedupe.cosine_pairs(df, 0.99, tile=16)
+    assert {(r["a"], r["b"]) for r in got.collect()} == want
+    plain = dedupe.components(dedupe.cosine_pairs(df, 0.99, tile=16, forest=True))
+    assert rows(plain) == rows(dedupe.components(got.select("a", "b")))
+    assert dedupe._COPIES * 64 * 8 < 16 << 20
+
+
+def test_yolo_listings_are_taken_once(spark, tmp_path):
+    from framewright.sources import yolo
+
+    (tmp_path / "train/images").mkdir(parents=True)
+    (tmp_path / "train/labels").mkdir()
+    (tmp_path / "data.yaml").write_text("train: train/images\nval: val/images\nnames:\n  0: 'car'\n")
+    for i in range(3):
+        (tmp_path / f"train/images/a b{i}.jpg").write_text("image")
+        (tmp_path / f"train/labels/a b{i}.txt").write_text("0 0.5 0.5 0.2 0.2\n" * i + "#\n")
+    ds = yolo.read_yolo(spark, str(tmp_path))
+    labels = ds.labels.join(ds.samples.select("sample_id", "split"), "sample_id")
+    plan = labels._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in plan and plan.count(" text") <= 1  # one listing is left, that of the label files
+    assert ds.samples.where("split = 'train' AND label_path IS NOT NULL").count() == 3
+
+
+def test_coco_documents_are_read_twice_at_most(spark, tmp_path):
+    from framewright.sinks import labels as S
+    from framewright.sources import labels as R
+
+    S.write_coco(_boxes(spark), str(tmp_path), shards=2)
+    ds = R.read_coco(spark, str(tmp_path))
+    assert ds.labels.count() == 60 and ds.samples.count() == 5
+    assert ds.labels._jdf.queryExecution().optimizedPlan().toString().count(" json") == 1
+
+
+def test_coco_documents_are_one_record_each(spark, tmp_path):
+    from framewright.sources import labels as R
+
+    text = """{"images": [{"id": 1, "file_name": "a.jpg", "width": 10, "height": 10}],
+      "annotations": [
+        {"id": 1, "image_id": 1, "category_id": 1, "bbox": [1, 1, 2, 2], "segmentation": { "size": [10, 10],\n "counts": [1.50, 2] }},
+        {"id": 2, "image_id": 1, "category_id": 1, "bbox": [1, 1, 2, 2], "segmentation": []}],
+      "categories": [{"id": 1, "name": "\u0101 car"}]}"""
+    for i in range(3):
+        (tmp_path / f"{i}.json").write_text("\n" * i + text, encoding="utf-16" if i == 2 else "utf-8")
+    (tmp_path / "bad.json").write_text('{"images": [')
+    (tmp_path / "none.json").write_text("")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        _, anns, cats = R.coco_tables(spark, str(tmp_path))
+        got = rows(anns.select(F.regexp_extract("path", "([^/]+)$", 1), "id", "segmentation"))
+        names = rows(cats.select("name"))
+        plan = anns._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    mask = '{ "size": [10, 10],\n "counts": [1.50, 2] }'
+    assert [g for g in got if not g[0].startswith("2")] == [(f"{i}.json", n, s) for i in range(2) for n, s in ((1, mask), (2, "[]"))]
+    assert names == [("\u0101 car",)] * 3 and len(got) == 6 and " json" in plan
