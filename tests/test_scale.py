@@ -399,15 +399,20 @@ def _boxes(spark):
     return Dataset(samples, labels, classes, "boxes")
 
 
-def test_openlabel_rows_are_worked_out_once_and_scratch_goes(spark, tmp_path):
-    from framewright.session import shared_dir
+def test_openlabel_rows_are_worked_out_once_and_scratch_goes(spark, tmp_path, monkeypatch):
+    from framewright import session
     from framewright.sinks import scenes as S
     from framewright.sources import scenes as R
 
-    shared = Path(shared_dir(spark).removeprefix("file:"))
-    before = set(shared.iterdir())
+    made, path_of = [], session.scratch_path
+
+    def noted(*args):
+        made.append(path_of(*args))
+        return made[-1]
+
+    monkeypatch.setattr(session, "scratch_path", noted)
     S.write_openlabel(_boxes(spark), str(tmp_path / "ol"))
-    assert not [p for p in set(shared.iterdir()) - before if p.name.startswith("openlabel")]
+    assert made and not [p for p in made if Path(p.removeprefix("file:")).exists()]
     labels = R.read_openlabel(spark, str(tmp_path / "ol"), layout="lines").labels
     assert labels.count() == 60 and labels.select("sample_id", "uid").distinct().count() == 60
     plain = [r["uid"] for r in labels.collect() if r["uid"].count("-") == 1]
@@ -415,22 +420,27 @@ def test_openlabel_rows_are_worked_out_once_and_scratch_goes(spark, tmp_path):
     assert "Scan text" not in labels._jdf.queryExecution().executedPlan().toString()  # lines were parsed before, once
 
 
-def test_cvat_text_and_tables_of_a_writer_do_not_stay(spark, tmp_path):
-    from framewright.session import shared_dir
+def test_cvat_text_and_tables_of_a_writer_do_not_stay(spark, tmp_path, monkeypatch):
+    from framewright import session
     from framewright.sinks import labels as S
-    from framewright.sources import registry
     from framewright.sources import labels as R
+    from framewright.sources import registry
+
+    made, path_of = [], session.scratch_path
+
+    def noted(*args):
+        made.append(path_of(*args))
+        return made[-1]
 
-    shared = Path(shared_dir(spark).removeprefix("file:"))
-    before = set(shared.iterdir())
-    ds = _boxes(spark)
-    S.write_cvat(ds, str(tmp_path / "a"))
+    monkeypatch.setattr(session, "scratch_path", noted)
+    left = lambda: {p.rpartition("/")[2].rpartition("-")[0] for p in made if Path(p.removeprefix("file:")).exists()}
+    S.write_cvat(_boxes(spark), str(tmp_path / "a"))
+    assert made and not left()
     assert R.read_cvat(spark, str(tmp_path / "a/annotations.xml")).labels.count() == 60
-    left = {p.name.rpartition("-")[0] for p in set(shared.iterdir()) - before if p.name.rpartition("-")[0]}
-    assert left == {"cvat-elements", "cvat-classes"}
-    before = set(shared.iterdir())
+    assert left() == {"cvat-elements", "cvat-classes"}
+    made.clear()
     registry.convert(spark, "cvat", str(tmp_path / "a/annotations.xml"), "coco", str(tmp_path / "b"))
-    assert not [p for p in set(shared.iterdir()) - before if p.name.startswith(("cvat", "xml", "pinned"))]
+    assert made and not left()
     assert R.read_coco(spark, str(tmp_path / "b"), layout="lines").labels.count() == 60
 
 
